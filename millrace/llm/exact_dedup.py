@@ -61,7 +61,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     while mark in docs.columns:
         mark += "_"
     kept = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, **options).where("kept")
-    kept = kept.select(F.col("doc_id").alias(f"{mark}id"), F.unhex("text_sha256").alias(mark)).distinct()
+    kept = written(kept.groupBy(F.col("doc_id").alias(f"{mark}id"), F.unhex("text_sha256").alias(mark)).agg(F.count(F.lit(1)).alias(f"{mark}n")), "kept")
     left = docs.withColumn(f"{mark}sha", F.unhex(F.sha2(text_or_empty(text_col), 256)))
     rows = left.join(kept, left[id_col].eqNullSafe(kept[f"{mark}id"]) & (left[f"{mark}sha"] == kept[mark]), "left_semi")
-    return rows.dropDuplicates([id_col, f"{mark}sha"]).drop(f"{mark}sha")
+    if not kept.where(f"{mark}n > 1").isEmpty():  # rows that repeat both id and text
+        rows = rows.dropDuplicates([id_col, f"{mark}sha"])
+    return rows.drop(f"{mark}sha")
