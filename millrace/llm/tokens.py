@@ -1,9 +1,10 @@
-"""Encoding with a public tokenizer file, with the ids of space-separated chunks remembered."""
+"""Encoding with a public tokenizer file, with the ids of chunks remembered."""
 
 from __future__ import annotations
 
 import os
 import re
+from array import array
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -11,23 +12,40 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks whose ids one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 _ENCODERS: dict[str, "Encoder"] = {}
-_SPACE_RUN = re.compile(r" \s|\s ")
+_SPACE_RUN = re.compile(r"[ \n]\s|\s[ \n]")
+#: Chunks that are encoded in one go
+GROUP = 2000
+#: Up to this letter texts are in normal form, and lower-casing gives one letter for one.
+_LATIN = "\u012f"
+#: Byte-level tokenizers write a byte as itself where it is printable, the others as letters from U+0100 on.
+_SHOWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(b) if b in _SHOWN else chr(256 + k) for k, b in [(sum(x not in _SHOWN for x in range(b)), b) for b in range(256)]}
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, equal to the library's own for whole texts.
 
-    A tokenizer that drops white space splits at every space. A byte-level one splits before a space
-    that stands alone, with the space going to what follows; texts where a space touches other white
-    space are encoded whole.
+    Every tokenizer here splits a text between white space and what is before it, before it looks for
+    ids; so chunks that are cut there give the ids of the whole. White space next to other white space
+    may go together: such texts are encoded whole, unless the tokenizer drops white space. New chunks are encoded
+    many at a time, with one of the tokenizer's own special tokens between them, at which it splits first of all.
+    The bulk of them, plain Latin words with at most a comma or full stop after, go to the tokenizer's
+    model itself, as splitting takes longer than the model: if words tried at the start come out alike both ways.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.keeps_space = len(self.tokenizer.encode("a a", add_special_tokens=False).ids) != 2 * len(self.tokenizer.encode("a", add_special_tokens=False).ids) or self.tokenizer.encode("a a", add_special_tokens=False).ids[0] != self.tokenizer.encode("a a", add_special_tokens=False).ids[-1]
+        ids = self.tokenizer.encode("a  a", add_special_tokens=False).ids
+        self.drops_space = ids == 2 * self.tokenizer.encode("a", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
+        plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
+        self.between = plain[0] if plain else None
+        self.lowers = self._whole(["Word"]) == self._whole(["word"])
+        self.marks = dict(zip(".,\n", self._whole([".", ",", "\n"])))
+        tried = ["word", "The", "Éaß", "thndhain", "reê,", "is.", *([] if self.drops_space else [" word", " Éa.", "\nOf", "\nThe,"])]
+        self.plain = [self._word(c) for c in tried] == self._whole(tried)
 
     @property
     def width(self) -> int:
@@ -35,24 +53,64 @@ class Encoder:
         return 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
 
     def _whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _word(self, chunk: str) -> bytes | None:
+        """The ids of a plain word from the model, else None."""
+        core, head, tail, space = chunk, b"", b"", ""
+        if not self.drops_space:
+            if core[:1] == "\n":
+                core, head = core[1:], self.marks["\n"]
+            elif core[:1] == " ":
+                core, space = core[1:], _BYTES[32]
+        if core[-1:] in (".", ","):
+            core, tail = core[:-1], self.marks[core[-1]]
+        if not core.isalpha() or max(core) > _LATIN:
+            return None
+        if self.lowers:
+            core = core.lower()
+        if not core.isascii():
+            core = core.encode().decode("latin-1").translate(_BYTES)
+        return head + array("I", [t.id for t in self.tokenizer.model.tokenize(space + core)]).tobytes() + tail
+
+    def _new(self, chunks: list[str]) -> list[bytes]:
+        if not self.plain:
+            return self._joined(chunks)
+        out = [self._word(c) for c in chunks]
+        rest = [k for k, x in enumerate(out) if x is None]
+        for k, x in zip(rest, self._joined([chunks[k] for k in rest])):
+            out[k] = x
+        return out
+
+    def _joined(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks in one go."""
+        if not chunks:
+            return []
+        if self.between is None or any("<|" in c or self.between[0] in c for c in chunks):
+            return self._whole(chunks)
+        content, number = self.between
+        ids = np.array(self.tokenizer.encode(content.join(chunks), add_special_tokens=False).ids, "<u4")
+        cut = [-1, *np.flatnonzero(ids == number).tolist(), len(ids)]
+        if len(cut) != len(chunks) + 1:
+            return self._whole(chunks)
+        raw = ids.tobytes()
+        return [raw[4 * x + 4 : 4 * y] for x, y in zip(cut[:-1], cut[1:])]
+
+    def _chunks(self, text: str) -> list[str] | None:
+        if self.drops_space:
+            return text.replace("\n", " ").split(" ")
+        if "\0" in text or _SPACE_RUN.search(text):
+            return None
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks: list[list[str] | None] = []
-        for t in texts:
-            if not self.keeps_space:
-                chunks.append(t.split(" "))
-            elif _SPACE_RUN.search(t):
-                chunks.append(None)
-            else:
-                first, *rest = t.split(" ")
-                chunks.append([first, *[" " + x for x in rest]])
+        chunks = [self._chunks(t) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         missing = list(set().union(*(c for c in chunks if c)).difference(self.known))
-        for at in range(0, len(missing), 20_000):
-            part = missing[at : at + 20_000]
-            self.known.update(zip(part, self._whole(part)))
+        for at in range(0, len(missing), GROUP):
+            part = missing[at : at + GROUP]
+            self.known.update(zip(part, self._new(part)))
         get = self.known.__getitem__
         return [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
 
