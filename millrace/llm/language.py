@@ -45,9 +45,12 @@ def letters(text: str) -> bytes:
 def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
     """language: dictionary bytes, from a bounded sample of rows with a text and a label."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id"))
-    top = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()]
+    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
     first = Window.partitionBy("lang").orderBy("h", "id")
-    picked = rows.where(F.col("lang").isin(top)).withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
+    # a threshold that some 4 * sample hashes of the language stay under: no language's rows meet in one task
+    low = [F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample / n))) for lang, n in top.items()]
+    rows = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.coalesce(*low, F.lit(-1.0)))
+    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.left(text_col, F.lit(dictionary)).alias("text"))
     texts = texts.join(F.broadcast(picked.select("id", "lang", "h").distinct()), ["id", "lang"])  # at most sample * languages ids
     found: dict[str, list[str]] = {}
