@@ -44,7 +44,7 @@ _FEATURES: dict[bytes, int] = {}
 def features(text: str) -> np.ndarray:
     """The feature of each word: case and punctuation at its ends don't count."""
     known, out = _FEATURES, []
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     for w in text.lower().encode().split():
         f = known.get(w)

@@ -97,7 +97,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
     return plan, bins
 
 
-def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows_per_task: int = 20_000) -> DataFrame:
+def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows_per_task: int = 4_000) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read several times, so it should be a written table."""
     counts = {int(r[0]): r[1] for r in pieces.groupBy(length_col).count().collect()}
     plan, _ = plan_bins(counts, capacity)

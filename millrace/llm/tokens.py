@@ -12,7 +12,7 @@ import numpy as np
 from tokenizers import Tokenizer
 
 #: Chunks whose ids one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 _ENCODERS: dict[str, "Encoder"] = {}
 _SPACE_RUN = re.compile(r"[ \n]\s|\s[ \n]")
 #: Chunks that are encoded in one go
