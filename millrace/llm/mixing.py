@@ -25,6 +25,7 @@ tokens is left out of the fit. Repeated rows and null ids get a row each. An emp
 
 from __future__ import annotations
 
+import re
 import zlib
 from dataclasses import dataclass, field
 
@@ -35,23 +36,36 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import text_or_empty, written
 
-BITS, FIT_ROWS, EPOCHS, SHARPNESS = 16, 6000, 150, 12.0
+BITS, FIT_ROWS, EPOCHS, SHARPNESS, MIN_ROWS = 16, 6000, 120, 6.0, 6
 #: domain: condition on the labels table
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 _FEATURES: dict[bytes, int] = {}
 
 
-def features(text: str) -> np.ndarray:
-    """The feature of each word: case and punctuation at its ends don't count."""
-    known, out = _FEATURES, []
+def _feature(word: bytes) -> int:
+    return zlib.crc32(word) >> (32 - BITS)
+
+
+def features(text: str) -> tuple[int, np.ndarray]:
+    """Number of words, and the distinct features: each word (case and marks at its ends don't count), the
+    share in tenths of each word shape (such as Aa, A!, a$), and the share of distinct words."""
+    known, words = _FEATURES, text.encode().split()
     if len(known) > 200_000:
         known.clear()
-    for w in text.lower().encode().split():
-        f = known.get(w)
-        if f is None:
-            f = known[w] = zlib.crc32(w.strip(b".,;:!?\"'()") or w) >> (32 - BITS)
-        out.append(f)
-    return np.array(out, np.int64)
+    found, shapes = set(), {}
+    for w in words:
+        pair = known.get(w)
+        if pair is None:
+            shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w.decode()))[:8]
+            low = w.decode().lower().encode()
+            pair = known[w] = _feature(low.strip(b".,;:!?\"'()") or low), shape
+        found.add(pair[0])
+        shapes[pair[1]] = shapes.get(pair[1], 0) + 1
+    for shape, n in shapes.items():
+        found.add(_feature(b" shape %s %d" % (shape.encode(), 10 * n // len(words))))
+    if words:
+        found.add(_feature(b" distinct %d" % (10 * len(set(words)) // len(words))))
+    return len(words), np.array(sorted(found), np.int64)
 
 
 @dataclass
@@ -63,14 +77,13 @@ class Classifier:
 
     def posteriors(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the posteriors."""
-        found = features(text)
-        if not len(found) or self.weights is None:
-            return len(found), self.prior
-        own = np.unique(found)
+        n, own = features(text)
+        if self.weights is None or not len(own := own[self.idf[own] > 0]):
+            return n, self.prior
         x = self.idf[own]
         z = (x / max(1e-9, np.sqrt((x * x).sum()))) @ self.weights[own] * SHARPNESS + np.log(self.prior)
         e = np.exp(z - z.max())
-        return len(found), e / e.sum()
+        return n, e / e.sum()
 
 
 def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], epochs: int = EPOCHS) -> Classifier:
@@ -80,12 +93,15 @@ def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], epoch
         return Classifier(domains, np.full(k, 1 / k))
     y = np.array([r[0] for r in rows])
     prior = (np.bincount(y, minlength=k) + 1) / (len(y) + k)
+    df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=size)
+    least = min(MIN_ROWS, 1 + len(rows) // 100)  # features of fewer rows say nothing about others
+    rows = [(a, f[df[f] >= least]) for a, f in rows]
     rows = [(a, f) for a, f in rows if len(f)]
     if not rows:
         return Classifier(domains, prior)
     y, lens = np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows])
     col, starts = np.concatenate([r[1] for r in rows]), np.concatenate([[0], np.cumsum(lens)[:-1]])
-    idf = np.log((1 + len(rows)) / (1 + np.bincount(col, minlength=size))) + 0.1
+    idf = np.where(df >= least, np.log((1 + len(y)) / (1 + np.minimum(df, len(y)))) + 0.1, 0.0)
     used, col = np.unique(col, return_inverse=True)
     x = idf[used][col]
     x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), lens) * SHARPNESS
@@ -96,7 +112,7 @@ def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], epoch
         e = np.exp(z - z.max(axis=1, keepdims=True))
         gap = (e / e.sum(axis=1, keepdims=True) - target) / len(rows)
         spread = np.repeat(gap, lens, axis=0) * x[:, None]
-        g = np.stack([np.bincount(col, spread[:, j], minlength=len(used)) for j in range(k)], axis=1) + 1e-5 * w
+        g = np.stack([np.bincount(col, spread[:, j], minlength=len(used)) for j in range(k)], axis=1) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     full = np.zeros((size, k))
@@ -112,7 +128,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, domains: dict[str, str] = DOMAI
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([np.unique(features(t.as_py())).tolist() for t in b.column(2)], pa.list_(pa.int64()))], ["id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py())[1].tolist() for t in b.column(2)], pa.list_(pa.int64()))], ["id", "y", "f"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     rows = texts.join(F.broadcast(picked), "id").select("id", "y", "text").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, f array<long>")
