@@ -77,6 +77,8 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -
     d = d.withColumn("found", F.sort_array(F.transform(F.filter("ordered", lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x["i"]))).drop("ordered")
     covered = F.transform("found", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("found", i + 1) - p, F.lit(3))))
     d = d.withColumn("n_repeat_words", F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x))
+    # a one-row generator: else a filter on a measurement would be pushed below the steps, and put them into one another
+    d = d.select("doc_id", F.inline(F.array(F.struct(*MEASURES))))
     bits = sum((F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)) for k, rule in enumerate(RULES.values())), F.lit(0))
     return d.select("doc_id", *MEASURES, bits.cast("long").alias("fail_bits"))
 
