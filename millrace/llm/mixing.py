@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -46,25 +47,35 @@ def _feature(word: bytes) -> int:
     return zlib.crc32(word) >> (32 - BITS)
 
 
+def _shape(word: str) -> str:
+    """Runs of capitals as A, of other letters as a, of digits as 0, of the same mark as that mark."""
+    core = word[:-1] if not word[-1].isalnum() else word
+    if core.isalpha():
+        kind = "a" if core.islower() else "A" if core.isupper() else "Aa" if core[0].isupper() and core[1:].islower() else ""
+        if kind:
+            return kind + word[len(core) :]
+    return re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word))[:8]
+
+
 def features(text: str) -> tuple[int, np.ndarray]:
     """Number of words, and the distinct features: each word (case and marks at its ends don't count), the
     share in tenths of each word shape (such as Aa, A!, a$), and the share of distinct words."""
     known, words = _FEATURES, text.encode().split()
     if len(known) > 200_000:
         known.clear()
-    found, shapes = set(), {}
-    for w in words:
+    found, shapes, counts = set(), {}, Counter(words)
+    for w, n in counts.items():
         pair = known.get(w)
         if pair is None:
-            shape = re.sub(r"(.)\1+", r"\1", "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in w.decode()))[:8]
-            low = w.decode().lower().encode()
-            pair = known[w] = _feature(low.strip(b".,;:!?\"'()") or low), shape
+            word = w.decode()
+            low = word.lower().encode()
+            pair = known[w] = _feature(low.strip(b".,;:!?\"'()") or low), _shape(word)
         found.add(pair[0])
-        shapes[pair[1]] = shapes.get(pair[1], 0) + 1
+        shapes[pair[1]] = shapes.get(pair[1], 0) + n
     for shape, n in shapes.items():
         found.add(_feature(b" shape %s %d" % (shape.encode(), 10 * n // len(words))))
     if words:
-        found.add(_feature(b" distinct %d" % (10 * len(set(words)) // len(words))))
+        found.add(_feature(b" distinct %d" % (10 * len(counts) // len(words))))
     return len(words), np.array(sorted(found), np.int64)
 
 
