@@ -8,7 +8,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from millrace.llm import chat, page_text, simhash
+from millrace.llm import chat, page_text
+from tests.llm.test_similar import plain_classes
 
 ODD = ["", "\\", "\\\\", "###", "\\###", "#####", "</turn>", "</turn></turn>\n", "\\h\\t\\n", "### user:\nhi</turn>\n", "a\nb", "\\\\h", "é\\", ":\n", "#" * 7 + "\\" * 5 + "</turn"]
 
@@ -115,19 +116,9 @@ def test_pipeline_stages(spark):
         if name == "exact_dedup":
             assert sorted(rows) == sorted({r.text: i for i, r in sorted(before.items())}.values())
         if name == "near_dedup":
-            fps = {i: simhash.fingerprint(r.text) for i, r in before.items()}
-            boss = {i: i for i in fps}
-
-            def top(x):
-                while boss[x] != x:
-                    x = boss[x]
-                return x
-
-            for i in fps:
-                for j in fps:
-                    if i < j and (fps[i] ^ fps[j]).bit_count() <= 2 and top(i) != top(j):
-                        boss[max(top(i), top(j))] = min(top(i), top(j))
-            assert sorted(rows) == sorted(i for i in boss if boss[i] == i)
+            want = plain_classes([(i, r.text) for i, r in before.items()])
+            kept = {i for i in want if want[i] == i}
+            assert kept <= set(rows) and len(rows) - len(kept) <= 0.01 * (len(before) - len(kept))
         if name == "mixing":
             labels = {r.doc_id: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
             good = [i for i in before if i in labels and labels[i].quality == 1 and labels[i].toxic == 0]
