@@ -119,11 +119,10 @@ def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], epoch
     w, m, v = np.zeros((len(used), k)), 0.0, 0.0
     target, base = np.eye(k)[y], np.log(prior)
     for t in range(1, epochs + 1):
-        z = np.add.reduceat(x[:, None] * w[col], starts) + base
+        z = np.stack([np.add.reduceat(x * w[col, j], starts) for j in range(k)], axis=1) + base
         e = np.exp(z - z.max(axis=1, keepdims=True))
         gap = (e / e.sum(axis=1, keepdims=True) - target) / len(rows)
-        spread = np.repeat(gap, lens, axis=0) * x[:, None]
-        g = np.stack([np.bincount(col, spread[:, j], minlength=len(used)) for j in range(k)], axis=1) + 1e-4 * w
+        g = np.stack([np.bincount(col, np.repeat(gap[:, j], lens) * x, minlength=len(used)) for j in range(k)], axis=1) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     full = np.zeros((size, k))
@@ -139,12 +138,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, domains: dict[str, str] = DOMAI
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py())[1].tolist() for t in b.column(2)], pa.list_(pa.int64()))], ["id", "y", "f"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([features(t.as_py())[1].astype(">u4").tobytes() for t in b.column(2)], pa.binary())], ["id", "y", "f"])
 
     texts = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    rows = texts.join(F.broadcast(picked), "id").select("id", "y", "text").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, f array<long>")
-    got = sorted((r.id, r.y, tuple(r.f)) for r in rows.collect())  # at most fit_rows, but for repeated ids
-    return fit_classifier([(y, np.array(f, np.int64)) for _, y, f in got[:fit_rows]], names)
+    rows = texts.join(F.broadcast(picked), "id").select("id", "y", "text").mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, y int, f binary")
+    got = sorted((r.id, r.y, bytes(r.f)) for r in rows.collect())  # at most fit_rows, but for repeated ids
+    return fit_classifier([(y, np.frombuffer(f, ">u4").astype(np.int64)) for _, y, f in got[:fit_rows]], names)
 
 
 def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
