@@ -1,7 +1,7 @@
 """Mixing a corpus to target weights of soft domains.
 
 A table of labels gives some documents a domain. A classifier learned from them (multinomial logistic
-regression on hashed words) gives every document posteriors over the domains, so a document counts towards
+regression on those hashed words that tell a domain, however long the text) gives every document posteriors over the domains, so a document counts towards
 each domain by its share. Rates r >= 0 of the documents (how often one is used) are then fitted so that the expected tokens of each domain,
 S_k = sum_d r_d tokens_d p_dk, meet the targets T_k: the least-squares problem
 
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import text_or_empty, written
 
-BITS, FIT_ROWS, EPOCHS, SHARPNESS, MIN_ROWS = 16, 6000, 120, 6.0, 6
+BITS, FIT_ROWS, EPOCHS, SCREEN, MIN_ROWS = 16, 6000, 120, 5.0, 6
 #: domain: condition on the labels table
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 _FEATURES: dict[bytes, int] = {}
@@ -84,50 +84,52 @@ class Classifier:
     domains: list[str]
     prior: np.ndarray
     weights: np.ndarray | None = field(repr=False, default=None)  # features x domains
-    idf: np.ndarray | None = field(repr=False, default=None)
 
     def posteriors(self, text: str) -> tuple[int, np.ndarray]:
         """Number of words, and the posteriors."""
         n, own = features(text)
-        if self.weights is None or not len(own := own[self.idf[own] > 0]):
+        if self.weights is None:
             return n, self.prior
-        x = self.idf[own]
-        z = (x / max(1e-9, np.sqrt((x * x).sum()))) @ self.weights[own] * SHARPNESS + np.log(self.prior)
+        z = self.weights[own].sum(axis=0) + np.log(self.prior)
         e = np.exp(z - z.max())
         return n, e / e.sum()
 
 
+def telling(y: np.ndarray, col: np.ndarray, row: np.ndarray, k: int) -> np.ndarray:
+    """Which features tell a domain: those whose number of rows in it is some SCREEN standard deviations off chance.
+
+    Fewer than 100 rows can't reach that, so the bound falls with the root of their number.
+    """
+    n, share = len(y), np.bincount(y, minlength=k) / len(y)
+    within = np.bincount(col * k + y[row], minlength=(1 << BITS) * k).reshape(-1, k)
+    df = within.sum(axis=1, keepdims=True)
+    off = np.abs(within - df * share) / np.sqrt(np.maximum(df * share * (1 - share) * (1 - df / n), 1e-9))
+    return (off.max(axis=1) > min(SCREEN, n**0.5 / 2)) & (df[:, 0] >= min(MIN_ROWS, 1 + n // 100))
+
+
 def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], epochs: int = EPOCHS) -> Classifier:
     """rows: (domain's number, distinct features). Full-batch gradient with Adam; the same rows give the same classifier."""
-    k, size = len(domains), 1 << BITS
+    k, n = len(domains), len(rows)
     if not rows:
         return Classifier(domains, np.full(k, 1 / k))
-    y = np.array([r[0] for r in rows])
-    prior = (np.bincount(y, minlength=k) + 1) / (len(y) + k)
-    df = np.bincount(np.concatenate([r[1] for r in rows]), minlength=size)
-    least = min(MIN_ROWS, 1 + len(rows) // 100)  # features of fewer rows say nothing about others
-    rows = [(a, f[df[f] >= least]) for a, f in rows]
-    rows = [(a, f) for a, f in rows if len(f)]
-    if not rows:
-        return Classifier(domains, prior)
     y, lens = np.array([r[0] for r in rows]), np.array([len(r[1]) for r in rows])
-    col, starts = np.concatenate([r[1] for r in rows]), np.concatenate([[0], np.cumsum(lens)[:-1]])
-    idf = np.where(df >= least, np.log((1 + len(y)) / (1 + np.minimum(df, len(y)))) + 0.1, 0.0)
-    used, col = np.unique(col, return_inverse=True)
-    x = idf[used][col]
-    x = x / np.repeat(np.sqrt(np.add.reduceat(x * x, starts)), lens) * SHARPNESS
+    prior = (np.bincount(y, minlength=k) + 1) / (n + k)
+    col, row = np.concatenate([r[1] for r in rows]), np.repeat(np.arange(n), lens)
+    own = telling(y, col, row, k)[col]
+    used, col = np.unique(col[own], return_inverse=True)
+    row = row[own]
     w, m, v = np.zeros((len(used), k)), 0.0, 0.0
     target, base = np.eye(k)[y], np.log(prior)
     for t in range(1, epochs + 1):
-        z = np.stack([np.add.reduceat(x * w[col, j], starts) for j in range(k)], axis=1) + base
+        z = np.stack([np.bincount(row, w[col, j], minlength=n) for j in range(k)], axis=1) + base
         e = np.exp(z - z.max(axis=1, keepdims=True))
-        gap = (e / e.sum(axis=1, keepdims=True) - target) / len(rows)
-        g = np.stack([np.bincount(col, np.repeat(gap[:, j], lens) * x, minlength=len(used)) for j in range(k)], axis=1) + 1e-4 * w
+        gap = (e / e.sum(axis=1, keepdims=True) - target) / n
+        g = np.stack([np.bincount(col, gap[row, j], minlength=len(used)) for j in range(k)], axis=1) + 1e-4 * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    full = np.zeros((size, k))
+    full = np.zeros((1 << BITS, k))
     full[used] = w
-    return Classifier(domains, prior, full, idf)
+    return Classifier(domains, prior, full)
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, domains: dict[str, str] = DOMAINS, fit_rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Classifier:
