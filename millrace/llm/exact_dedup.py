@@ -1,7 +1,7 @@
 """Exact deduplication by a tree merge of digest runs, in DataFrame operations only.
 
-Each input partition forms a run: its distinct digests with the smallest (or largest) id and a
-count. Runs are merged `fan_in` at a time in rounds, until one run is left; every level keeps the
+The input partitions are dealt into runs, one for each `rows_per_run` rows (64 at least, so their number grows with the table).
+A run is its distinct digests with the smallest (or largest) id and a count. Runs are merged `fan_in` at a time in rounds, until one run is left; every level keeps the
 surviving id of each digest. Then the verdict goes down the same tree to the rows. A text that makes
 up a third of the table is one row for each run, and no task of any round reads more than `fan_in`
 rows of it, nor more than one run's share of its rows on the last way down.
@@ -25,7 +25,7 @@ from millrace.llm.shared import text_or_empty, written
 KEY = ("digest", "n_bytes", "check")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int = 64, fan_in: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8, rows_per_run: int = 4_000_000) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, text_bytes."""
     best = {"min": F.min, "max": F.max}[keep]
     text = text_or_empty(text_col)
@@ -35,10 +35,12 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             F.unhex(F.sha2(text, 256)).alias("digest"),
             F.octet_length(text).cast("long").alias("n_bytes"),
             F.xxhash64(text).alias("check"),
-            F.pmod(F.spark_partition_id(), F.lit(n_runs)).alias("run"),
+            F.spark_partition_id().alias("part"),
         ),
         "digests",
     )
+    n_runs = n_runs or max(64, -(-leaf.count() // rows_per_run))
+    leaf = leaf.withColumn("run", F.pmod("part", F.lit(n_runs)).cast("int")).drop("part")
     levels = [leaf.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
     runs = n_runs
     while runs > 1:
