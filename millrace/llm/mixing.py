@@ -35,12 +35,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_or_empty, written
+from millrace.llm.shared import memory, text_or_empty, written
 
 BITS, FIT_ROWS, EPOCHS, SCREEN, MIN_ROWS = 16, 6000, 120, 5.0, 6
 #: domain: condition on the labels table
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
-_FEATURES: dict[bytes, int] = {}
 
 
 def _feature(word: bytes) -> int:
@@ -60,7 +59,7 @@ def _shape(word: str) -> str:
 def features(text: str) -> tuple[int, np.ndarray]:
     """Number of words, and the distinct features: each word (case and marks at its ends don't count), the
     share in tenths of each word shape (such as Aa, A!, a$), and the share of distinct words."""
-    known, words = _FEATURES, text.encode().split()
+    known, words = memory("features"), text.encode().split()
     if len(known) > 200_000:
         known.clear()
     found, shapes, counts = set(), {}, Counter(words)

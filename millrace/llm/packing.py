@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import text_or_empty, written
-from millrace.llm.tokens import encoder, slices
+from millrace.llm.tokens import REMEMBERED, encoder, slices
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -34,16 +34,19 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
 
 
-def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: doc_id, piece, start, length, ids_crc32."""
+def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
+    """One row for each piece: doc_id, piece, start, length, ids_crc32.
+
+    remembered: chunks whose ids a worker keeps, some 200 bytes each; fewer take less memory and more time.
+    """
     kind = docs.schema[id_col].dataType
 
     def run(batches):
         enc, tail = encoder(tokenizer), end_id.to_bytes(4, "little")
         for b in batches:
-            for at, texts in slices(b.column(1)):
+            for at, texts in slices(b.column(1), min(1 << 23, 14 * remembered)):
                 row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.encode(texts)):
+                for k, ids in enumerate(enc.encode(texts, remembered)):
                     ids += tail
                     for j, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
                         row.append(at + k)
@@ -112,7 +115,7 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length",
     return ranked.join(F.broadcast(slots), fits).select(*pieces.columns, (F.col("_bin") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """The packed pieces of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
+    pieces = written(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, remembered=remembered), "pieces")
     return pack(pieces, capacity=capacity)

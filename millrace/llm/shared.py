@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 #: The bytes that separate words, fixed by the word pattern [^\x20\x09-\x0D]+
 SPACES = " \t\n\x0b\x0c\r"
+_MEMORIES: dict[str, dict] = {}
+
+
+def memory(name: str) -> dict:
+    """This Python worker's memory of that name. All others are emptied: a worker serves one step at a time."""
+    for other, held in _MEMORIES.items():
+        if other != name:
+            held.clear()
+    return _MEMORIES.setdefault(name, {})
 
 
 def shared_root(spark: SparkSession) -> str:

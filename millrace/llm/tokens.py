@@ -11,6 +11,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 import numpy as np
 from tokenizers import Tokenizer
 
+from millrace.llm.shared import memory
+
 #: Chunks whose ids one worker remembers; beyond it the memory starts anew.
 REMEMBERED = 600_000
 _ENCODERS: dict[str, "Encoder"] = {}
@@ -39,7 +41,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         ids = self.tokenizer.encode("a  a", add_special_tokens=False).ids
         self.drops_space = ids == 2 * self.tokenizer.encode("a", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.path = path
         plain = [(t.content, i) for i, t in self.tokenizer.get_added_tokens_decoder().items() if t.special and not (t.lstrip or t.rstrip or t.single_word or t.normalized)]
         self.between = plain[0] if plain else None
         self.lowers = self._whole(["Word"]) == self._whole(["word"])
@@ -47,6 +49,10 @@ class Encoder:
         tried = ["word", "The", "Éaß", "thndhain", "reê,", "is.", *([] if self.drops_space else [" word", " Éa.", "\nOf", "\nThe,"])]
         self.plain = [self._word(c) for c in tried] == self._whole(tried)
 
+    @property
+    def known(self) -> dict[str, bytes]:
+        return memory(self.path)
+
     @property
     def width(self) -> int:
         """Bytes that every id fits in: 2 or 4."""
@@ -103,15 +109,16 @@ class Encoder:
             return None
         return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: list[str], remembered: int | None = None) -> list[bytes]:
+        known = self.known
         chunks = [self._chunks(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        missing = list(set().union(*(c for c in chunks if c)).difference(self.known))
+        if len(known) > (remembered or REMEMBERED):
+            known.clear()
+        missing = list(set().union(*(c for c in chunks if c)).difference(known))
         for at in range(0, len(missing), GROUP):
             part = missing[at : at + GROUP]
-            self.known.update(zip(part, self._new(part)))
-        get = self.known.__getitem__
+            known.update(zip(part, self._new(part)))
+        get = known.__getitem__
         return [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
 
 
