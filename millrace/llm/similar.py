@@ -9,9 +9,13 @@ checked exactly on the sets of distinct shingles of whole texts:
   (at a similarity of 0.8 with a chance of 1 - (1 - 0.8^3)^8 = 0.997, at 0.9 of 0.9999), and go on if at
   most 10 of the 24 minhashes differ (0.998 at 0.8).
 
-Within a key the nearest pairs are chosen: a minimum spanning forest over the number of differing
-minhashes, so a group of n gives n - 1 pairs rather than all; a link is lost if the nearest pairs chosen in all its keys fail the exact
-check. Members are sorted first, so the same rows give the same pairs. Keys of more than `bucket` texts are not
+The links of a key are found in two steps. First the nearest pairs are checked: a minimum spanning forest over the
+number of differing minhashes, n - 1 pairs for a group of n rather than all, which joins groups of near copies
+early. Then each key whose texts are still in several components is checked whole (`key_links`): its texts meet
+in one task with their shingle sets, and every pair in different components is counted exactly unless a prefix
+of their rarest shingles rules it out. So texts that share a long passage don't hide a link among them.
+
+Members are sorted first, so the same rows give the same pairs. Keys of more than `bucket` texts are not
 collected: each text is set against one text of the key, chosen by a hash; those that differ from it in
 over 4 minhashes go on under a longer key (the next segment too), until no key is large or all eight
 segments are equal. In such a key a link can be lost if its ends are unlike the chosen text but near to
@@ -28,7 +32,8 @@ no rows. Other columns are not read.
 
 from __future__ import annotations
 
-from itertools import accumulate
+import math
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,8 @@ N_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH = 8, 3
 #: Of 24 minhashes, at most so many differ in a candidate; a text this near to a large key's choice is done there
 APART, CLOSE = 10, 4
+#: Texts of one key that are counted against another at once; its component may have grown after that
+CHECKED = 256
 _RANDOM = np.random.default_rng(simhash.SEED)
 FLIP = _RANDOM.integers(0, 1 << 64, (SEGMENTS * WIDTH, 1), np.uint64)
 TIMES = _RANDOM.integers(0, 1 << 64, (SEGMENTS * WIDTH, 1), np.uint64) | np.uint64(1)
@@ -157,6 +164,64 @@ def _sets(n: int):
     return run
 
 
+def _joins(similarity: float):
+    """Links that join the components of one key's texts, so that those of all its links are joined.
+
+    A text of `k` shingles, ordered by how few of the key's texts hold them, shares one of its first
+    k - ceil(2s / (1 + s) k) + 1 with the first k - ceil(s k) + 1 of any text as long or longer at a similarity of s:
+    what shares none is no link. All others in different components are counted exactly.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("size", "ascending"), ("rep", "ascending")])
+        reps, parts = group["rep"].to_numpy(), np.unique(group["component"].to_numpy(), return_inverse=True)[1]
+        lists = group["shingles"].combine_chunks()
+        tokens, counts = np.unique(lists.flatten().to_numpy(), return_inverse=True, return_counts=True)[1:]
+        rank = np.empty(len(counts), np.int64)
+        rank[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+        tokens, common = rank[tokens], np.sort(counts) > 1
+        sizes = np.diff(lists.offsets.to_numpy())
+        ends = np.cumsum(sizes)
+        for a, b in zip(ends - sizes, ends):
+            tokens[a:b].sort()
+        holds, inside, out = {}, np.zeros(len(counts), bool), []
+        least = similarity - 1e-9
+        for y, (end, k) in enumerate(zip(ends.tolist(), sizes.tolist())):
+            own = tokens[end - k : end]
+            head = own[: k - math.ceil(least * k) + 1]
+            met = [holds[t] for t in head[common[head]].tolist() if t in holds]
+            near = np.unique(np.fromiter(chain.from_iterable(met), np.int64)) if met else np.zeros(0, np.int64)
+            near = near[(sizes[near] >= least * k) & (parts[near] != parts[y])]
+            inside[own] = True
+            while len(near):
+                now, near = near[:CHECKED], near[CHECKED:]
+                take = np.concatenate([np.arange(e - m, e) for e, m in zip(ends[now].tolist(), sizes[now].tolist())])
+                both = np.add.reduceat(inside[tokens[take]].astype(np.int64), np.cumsum(sizes[now]) - sizes[now])
+                for x in now[both / (sizes[now] + k - both) >= similarity - 1e-12].tolist():
+                    if parts[x] != parts[y]:
+                        out.append((reps[x], reps[y]))
+                        parts[parts == parts[x]] = parts[y]
+                near = near[parts[near] != parts[y]]
+            inside[own] = False
+            head = own[: k - math.ceil(2 * least / (1 + least) * k) + 1]
+            for t in head[common[head]].tolist():
+                holds.setdefault(t, []).append(y)
+        return pa.table({"a": pa.array([int(a) for a, _ in out], pa.int64()), "b": pa.array([int(b) for _, b in out], pa.int64())})
+
+    return run
+
+
+def key_links(reps: DataFrame, parts: DataFrame, sets_of, *, similarity: float = SIMILARITY, bucket: int = 1024) -> DataFrame:
+    """Links (a, b) that join the components (node, component) of all links within a key."""
+    known = reps.join(parts, reps.rep == parts.node, "left").select("rep", F.coalesce("component", "rep").alias("component"), F.posexplode("keys").alias("segment", "key"))
+    known = written(known, "key-rows")
+    open_keys = known.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
+    open_keys = open_keys.where((F.col("x") < F.col("y")) & (F.col("n") <= bucket)).select("segment", "key")
+    rows = written(known.join(open_keys, ["segment", "key"]), "open-rows")
+    sets = sets_of(rows.select("rep").distinct()).withColumn("size", F.size("shingles"))
+    return written(rows.join(sets, "rep").groupBy("segment", "key").applyInArrow(_joins(similarity), "a long, b long"), "key-links")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, similarity: float = SIMILARITY, bucket: int = 1024) -> DataFrame:
     """One row for each input row: doc_id, component_id (the smallest id of its class)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -168,14 +233,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = same.union(simhash.fingerprint_links(by_print)).union(ring_candidates(reps, bucket=bucket))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
 
-    ends = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    whole = texts.join(ends, "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-    sets = written(whole.mapInArrow(_sets(n), "rep long, shingles array<long>"), "shingles")
+    def sets_of(ends: DataFrame) -> DataFrame:
+        whole = texts.join(ends.toDF("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
+        return written(whole.mapInArrow(_sets(n), "rep long, shingles array<long>"), "shingles")
+
+    sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct())
     left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
     links = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
-    links = links.where(F.col("similarity") >= similarity - 1e-12)
+    links = written(links.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
 
-    parts = connected_components(links.select("a", "b"))
+    links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, bucket=bucket))
+    parts = connected_components(links)
     known = reps.select("digest", "rep").join(parts, reps.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return marks.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", "component_id")

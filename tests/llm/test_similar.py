@@ -71,3 +71,26 @@ def test_odd_rows(spark):
     assert {i: c for i, c in got if i is not None} == want
     assert sorted(str(c) for i, c in got if i is None) == ["3", "None"]
     assert found(spark, []) == []
+
+
+def family(n, background, pairs, at, size=300):
+    """n texts that share a passage, any two at a similarity of `background`; the last are `pairs` pairs at `at`."""
+    made = random.Random(7)
+
+    def fresh(k):
+        return [f"v{made.randrange(10**9)}" for _ in range(k)]
+
+    passage = fresh(round(2 * size * background / (1 + background)) + 4)
+    own = size + 4 - len(passage)
+    both = round(2 * size * at / (1 + at)) + 4 - len(passage)
+    texts = [passage + fresh(own) for _ in range(n - 2 * pairs)]
+    for _ in range(pairs):
+        shared = passage + fresh(both)
+        texts += [shared + fresh(own - both), shared + fresh(own - both)]
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_pairs_within_a_family_of_like_texts(spark):
+    rows = family(400, 0.7, 60, 0.82)
+    want = {i: i if i < 280 else i - i % 2 for i, _ in rows}
+    assert dict(found(spark, rows)) == want
