@@ -13,13 +13,13 @@ The links of a key are found in two steps. First the nearest pairs are checked:
 number of differing minhashes, n - 1 pairs for a group of n rather than all, which joins groups of near copies
 early. Then each key whose texts are still in several components is checked whole (`key_links`): its texts meet
 in one task with their shingle sets, and every pair in different components is counted exactly unless a prefix
-of their rarest shingles rules it out. So texts that share a long passage don't hide a link among them.
+of their rarest shingles rules it out. So texts that share a long passage don't hide a link among them. A key of more
+than `block` shingles is dealt into blocks, every two of which meet in a task, so its length costs no link.
 
-Members are sorted first, so the same rows give the same pairs. Keys of more than `bucket` texts are not
+Members are sorted first, so the same rows give the same pairs. In the first step keys of more than `bucket` texts are not
 collected: each text is set against one text of the key, chosen by a hash; those that differ from it in
 over 4 minhashes go on under a longer key (the next segment too), until no key is large or all eight
-segments are equal. In such a key a link can be lost if its ends are unlike the chosen text but near to
-one that is; it is found under another of their keys, or not at all. No text is left out.
+segments are equal. The second step checks these keys whole like all others.
 
 Texts with equal sets of shingles are one from the start. The result is the component of the
 links that passed the exact check.
@@ -51,6 +51,8 @@ SEGMENTS, WIDTH = 8, 3
 APART, CLOSE = 10, 4
 #: Texts of one key that are counted against another at once; its component may have grown after that
 CHECKED = 256
+#: Shingles of a key's block of texts; a task holds two blocks at a time
+BLOCK = 1 << 20
 _RANDOM = np.random.default_rng(simhash.SEED)
 FLIP = _RANDOM.integers(0, 1 << 64, (SEGMENTS * WIDTH, 1), np.uint64)
 TIMES = _RANDOM.integers(0, 1 << 64, (SEGMENTS * WIDTH, 1), np.uint64) | np.uint64(1)
@@ -78,21 +80,22 @@ def minhashes(found: np.ndarray) -> np.ndarray:
 def _sketches(n: int):
     def run(batches):
         for b in batches:
-            digests, fps, parts, keys = [], [], [], []
+            digests, fps, parts, keys, sizes = [], [], [], [], []
             for t in b.column(1):
                 text = t.as_py()
                 found = shingle_set(text, n)
                 least = minhashes(found)
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 fps.append(simhash.fingerprint(text))
+                sizes.append(len(found))
                 # byte i of each of the three longs belongs to segment i
                 parts.append(least.astype(np.uint8).reshape(SEGMENTS, WIDTH).T.copy().view(np.int64).ravel())
                 keys.append([xxhash.xxh64_intdigest(least[i * WIDTH : (i + 1) * WIDTH].tobytes(), i) for i in range(SEGMENTS)])
             s = np.array(parts, np.int64).reshape(-1, WIDTH)
             keys = pa.array(np.array(keys, np.uint64).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SEGMENTS), keys)
-            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(s[:, i]) for i in range(WIDTH)), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", *SKETCH, "keys"])
+            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(s[:, i]) for i in range(WIDTH)), lists, pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", *SKETCH, "keys", "size"])
 
     return run
 
@@ -184,6 +187,7 @@ def _joins(similarity: float):
         ends = np.cumsum(sizes)
         for a, b in zip(ends - sizes, ends):
             tokens[a:b].sort()
+        blocks, across = group["block"].to_numpy(), group["i"][0] != group["j"][0]  # texts of one block meet elsewhere
         holds, inside, out = {}, np.zeros(len(counts), bool), []
         least = similarity - 1e-9
         for y, (end, k) in enumerate(zip(ends.tolist(), sizes.tolist())):
@@ -192,6 +196,8 @@ def _joins(similarity: float):
             met = [holds[t] for t in head[common[head]].tolist() if t in holds]
             near = np.unique(np.fromiter(chain.from_iterable(met), np.int64)) if met else np.zeros(0, np.int64)
             near = near[(sizes[near] >= least * k) & (parts[near] != parts[y])]
+            if across:
+                near = near[blocks[near] != blocks[y]]
             inside[own] = True
             while len(near):
                 now, near = near[:CHECKED], near[CHECKED:]
@@ -211,22 +217,27 @@ def _joins(similarity: float):
     return run
 
 
-def key_links(reps: DataFrame, parts: DataFrame, sets_of, *, similarity: float = SIMILARITY, bucket: int = 1024) -> DataFrame:
-    """Links (a, b) that join the components (node, component) of all links within a key."""
-    known = reps.join(parts, reps.rep == parts.node, "left").select("rep", F.coalesce("component", "rep").alias("component"), F.posexplode("keys").alias("segment", "key"))
+def key_links(reps: DataFrame, parts: DataFrame, sets_of, *, similarity: float = SIMILARITY, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) that join the components (node, component) of all links within a key.
+
+    A key of more than `block` shingles is dealt into blocks, and every two blocks meet.
+    """
+    known = reps.join(parts, reps.rep == parts.node, "left").select("rep", "size", F.coalesce("component", "rep").alias("component"), F.posexplode("keys").alias("segment", "key"))
     known = written(known, "key-rows")
-    open_keys = known.groupBy("segment", "key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y"))
-    open_keys = open_keys.where((F.col("x") < F.col("y")) & (F.col("n") <= bucket)).select("segment", "key")
-    rows = written(known.join(open_keys, ["segment", "key"]), "open-rows")
-    sets = sets_of(rows.select("rep").distinct()).withColumn("size", F.size("shingles"))
-    return written(rows.join(sets, "rep").groupBy("segment", "key").applyInArrow(_joins(similarity), "a long, b long"), "key-links")
+    open_keys = known.groupBy("segment", "key").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"))
+    open_keys = open_keys.where("x < y").select("segment", "key", "blocks")
+    rows = known.join(open_keys, ["segment", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", "segment"), "blocks").cast("int"))
+    rows = written(rows.select("rep", "size", "component", "segment", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")), "open-rows")
+    sets = sets_of(rows.select("rep").distinct())
+    meet = rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
+    return written(meet.join(sets, "rep").groupBy("segment", "key", "i", "j").applyInArrow(_joins(similarity), "a long, b long"), "key-links")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, similarity: float = SIMILARITY, bucket: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, similarity: float = SIMILARITY, bucket: int = 1024, block: int = BLOCK) -> DataFrame:
     """One row for each input row: doc_id, component_id (the smallest id of its class)."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = written(texts.mapInArrow(_sketches(n), "doc_id long, digest binary, fp long, s0 long, s1 long, s2 long, keys array<long>"), "sketches")
-    first = F.min_by(F.struct("fp", *SKETCH, "keys"), "doc_id").alias("m")
+    marks = written(texts.mapInArrow(_sketches(n), "doc_id long, digest binary, fp long, s0 long, s1 long, s2 long, keys array<long>, size long"), "sketches")
+    first = F.min_by(F.struct("fp", *SKETCH, "keys", "size"), "doc_id").alias("m")
     reps = written(marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), first).where("rep is not null").select("digest", "rep", "m.*"), "reps")
     by_print = written(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
     same = reps.select("fp", F.col("rep").alias("b")).join(by_print.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
@@ -243,7 +254,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
     links = written(links.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
 
-    links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, bucket=bucket))
+    links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, block=block))
     parts = connected_components(links)
     known = reps.select("digest", "rep").join(parts, reps.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     return marks.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", "component_id")

@@ -94,3 +94,9 @@ def test_pairs_within_a_family_of_like_texts(spark):
     rows = family(400, 0.7, 60, 0.82)
     want = {i: i if i < 280 else i - i % 2 for i, _ in rows}
     assert dict(found(spark, rows)) == want
+
+
+def test_pairs_within_a_large_key(spark):
+    rows = family(400, 0.7, 60, 0.82)
+    want = {i: i if i < 280 else i - i % 2 for i, _ in rows}
+    assert dict(found(spark, rows, bucket=64, block=20_000)) == want
