@@ -4,8 +4,8 @@ A page is cut into text nodes, each with its root-to-leaf tag path (elements wit
 path the page's text is summed: characters, punctuation marks and nodes. The text ratio of a path is its characters
 for each node, the punctuation ratio its marks for each node; the two are fused as their product, spread back to the nodes
 in page order and smoothed with a small Gaussian window. Paths whose mean smoothed value reaches a share of the
-spread (standard deviation) are content. The container that holds most of the content's characters is
-the article: its other nodes (headings, short paths) are taken in with it.
+spread (standard deviation) are content. The article is every <article> or <main> with content or, without
+one, the lowest common ancestor of all content: its other nodes (headings, short paths) and any h1 are taken in with it.
 
 Elements that never hold article text, and elements marked by class, id or role as menus, adverts,
 notices, comments and the like, are left out before any ratio is taken.
@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from html import unescape
-from itertools import groupby
+from itertools import groupby, takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -133,13 +133,9 @@ def main_text(html: str | None) -> str:
     for _, path, text in blocks:
         if path in picked:
             held[_container(path)] = held.get(_container(path), 0) + len(text)
-    article = max(held, key=held.get)
-    explicit = [c for c in held if any(x.split(".")[0] in ("article", "main") for x in c)]
-    if explicit:
-        top = max(explicit, key=held.get)
-        k = next(i for i, x in enumerate(top) if x.split(".")[0] in ("article", "main"))
-        article = top[: k + 1]
-    return "\n".join(t for _, p, t in blocks if p[: len(article)] == article)
+    explicit = {c[: k + 1] for c in held for k in [next((i for i, x in enumerate(c) if x.split(".")[0] in ("article", "main")), -1)] if k >= 0}
+    tops = explicit or {tuple(x[0] for x in takewhile(lambda x: len(set(x)) == 1, zip(*held)))}
+    return "\n".join(t for _, p, t in blocks if any(p[: len(top)] == top for top in tops) or not explicit and any(x.split(".")[0] == "h1" for x in p))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

@@ -87,6 +87,17 @@ def test_page_parts():
     assert [page_text.main_text(x) for x in ("", None, "<p>", "<div><", "<nav>menu</nav>", "<p>cut off <b")] == ["", "", "", "<", "", "cut off"]
 
 
+def test_content_in_several_containers():
+    page = "<body><h1>Top</h1><div id=a><h2>One</h2><p>Some text, with marks.</p></div><div id=b><h2>Two</h2><p>And a good deal more of it, indeed, with marks.</p></div></body>"
+    assert page_text.main_text(page).split("\n") == ["Top", "One", "Some text, with marks.", "Two", "And a good deal more of it, indeed, with marks."]
+    outer = "<body><div class=post><h1>Title</h1><div class=body><p>Some text, with marks.</p></div><div class=more><p>And more of it, indeed.</p></div></div></body>"
+    assert page_text.main_text(outer).split("\n") == ["Title", "Some text, with marks.", "And more of it, indeed."]
+    title = "<body><div class=post><h1>Title</h1><div class=body><p>Some text, with marks.</p></div></div></body>"
+    assert page_text.main_text(title).split("\n") == ["Title", "Some text, with marks."]
+    two = "<body><article id=a><p>Some text, with marks.</p></article><article id=b><p>And more of it, indeed.</p></article></body>"
+    assert page_text.main_text(two).split("\n") == ["Some text, with marks.", "And more of it, indeed."]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</div>", "<div class=ad>", "<", ">", '"', "<!--", "-->", "<script>", "text, ", "&amp;", "<a href='"])).map("".join))
 def test_any_page(html):
