@@ -52,12 +52,20 @@ def fingerprint(paths: Column) -> Column:
 
 
 def present_paths(record: Column) -> Column:
-    """The known field paths that a variant record has."""
+    """The known field paths that a variant record has; an array has all of its paths if any element has one of them."""
+    fields: dict[str, list[str]] = {}
+    for p in known_paths():
+        array, _, field = p.partition("[].")
+        fields.setdefault(array, []).extend([field] if field else [])
     cases = []
     for p in known_paths():
         array, _, field = p.partition("[].")
-        at = f"$.{array}[0].{field}" if field else f"$.{p}"
-        cases.append(F.when(F.try_variant_get(record, at, "string").isNotNull(), F.lit(p)))
+        if field:
+            items = F.try_variant_get(record, f"$.{array}", "array<variant>")
+            has = lambda x: F.coalesce(*[F.try_variant_get(x, f"$.{f}", "string") for f in fields[array]]).isNotNull()
+            cases.append(F.when(F.exists(items, has), F.lit(p)))
+        else:
+            cases.append(F.when(F.try_variant_get(record, f"$.{p}", "string").isNotNull(), F.lit(p)))
     return F.array_compact(F.array(*cases))
 
 
@@ -73,7 +81,7 @@ def _mapped(record: Column, layout: dict[str, str]) -> Column:
         (name,) = arrays
         items = F.try_variant_get(record, f"$.{name}", "array<variant>")
         get = lambda x, what: F.try_variant_get(x, f"$.{fields[what]}", "string")
-        return F.transform(items, lambda x: F.struct(_role(get(x, "role")).alias("role"), F.coalesce(get(x, "text"), F.lit("")).alias("text")))
+        return F.transform(items, lambda x: F.struct(F.coalesce(_role(get(x, "role")), F.lit("")).alias("role"), F.coalesce(get(x, "text"), F.lit("")).alias("text")))
     turns: dict[str, list[str]] = {}
     for p, role in layout.items():
         turns.setdefault(role, []).append(p)

@@ -46,6 +46,24 @@ def test_layouts_are_told_by_their_paths(spark):
     assert len({got[i].layout_fingerprint for i in range(7)}) == 7
 
 
+def test_layouts_with_nulls_in_the_first_turn(spark):
+    a = {"role": "assistant", "content": "a"}
+    records = [
+        ({"messages": [{"role": "user", "content": None}, a]}, "messages", [("user", ""), ("assistant", "a")]),
+        ({"messages": [{"role": "user"}, a]}, "messages", [("user", ""), ("assistant", "a")]),
+        ({"messages": [{"content": "q"}, a]}, "messages", [("", "q"), ("assistant", "a")]),
+        ({"messages": [None, a]}, "messages", [("", ""), ("assistant", "a")]),
+        ({"conversations": [{"from": None, "value": None}, {"from": "gpt", "value": "a"}]}, "sharegpt", [("", ""), ("assistant", "a")]),
+        ({"messages": [{"x": 1}]}, None, None),
+        ({"messages": []}, None, None),
+    ]
+    rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)]
+    got = {r.i: r for r in chat.turns_of_json(spark.createDataFrame(rows, "i int, raw string"), "raw").collect()}
+    for i, (_, layout, turns) in enumerate(records):
+        assert got[i].layout == layout
+        assert (None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == turns
+
+
 def test_turn_rows(spark):
     rows = [(1, 1, "assistant", "b", "x"), (1, 0, "user", None, "x"), (None, 0, None, "t", "x"), (1, 1, "assistant", "b", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
