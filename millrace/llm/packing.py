@@ -20,41 +20,39 @@ from __future__ import annotations
 
 import zlib
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import text_or_empty, written
-from millrace.llm.tokens import REMEMBERED, encoder, slices
+from millrace.llm.tokens import REMEMBERED, encoder
 
 
-def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n tokens: whole ones of the capacity, a shorter one first."""
-    first = n % capacity or min(n, capacity)
-    return [(0, first), *((at, capacity) for at in range(first, n, capacity))]
+def cuts(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, piece, start, length) of the pieces of rows of n tokens: whole ones of the capacity, a shorter one first."""
+    pieces = -(-n // capacity)
+    row = np.repeat(np.arange(len(n)), pieces)
+    piece = np.arange(len(row)) - (np.cumsum(pieces) - pieces)[row]
+    first = n - (pieces - 1) * capacity
+    return row, piece, np.where(piece > 0, first[row] + (piece - 1) * capacity, 0), np.where(piece > 0, capacity, first[row])
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32.
 
-    remembered: chunks whose ids a worker keeps, some 200 bytes each; fewer take less memory and more time.
+    remembered: chunks whose ids a worker keeps, some 40 bytes each; fewer take less memory and more time.
     """
     kind = docs.schema[id_col].dataType
 
     def run(batches):
-        enc, tail = encoder(tokenizer), end_id.to_bytes(4, "little")
+        enc = encoder(tokenizer)
         for b in batches:
-            for at, texts in slices(b.column(1), min(1 << 23, 14 * remembered)):
-                row, piece, start, length, crc = [], [], [], [], []
-                for k, ids in enumerate(enc.encode(texts, remembered)):
-                    ids += tail
-                    for j, (s, n) in enumerate(cuts(len(ids) // 4, capacity)):
-                        row.append(at + k)
-                        piece.append(j)
-                        start.append(s)
-                        length.append(n)
-                        crc.append(zlib.crc32(ids[4 * s : 4 * (s + n)]))
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for at, ids, ends in enc.runs(b.column(1), end_id, remembered):
+                row, piece, start, length = cuts(np.diff(ends, prepend=0), capacity)
+                raw, from_ = memoryview(ids.astype("<u4")).cast("B"), np.concatenate([[0], ends])[row] + start
+                crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(from_.tolist(), length.tolist())]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.shared import fresh_path, n_parts, text_or_empty, written
-from millrace.llm.tokens import encoder, slices
+from millrace.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
 MANIFEST = "file string, first_id long, n_docs long, n_tokens long, width int"
@@ -37,9 +37,7 @@ MANIFEST = "file string, first_id long, n_docs long, n_tokens long, width int"
 
 def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches):
-        enc, out, last, first = None, None, 0, None
-        tail = end_id.to_bytes(4, "little")
-        ends, n = [], 0
+        enc, out, last, n, first = None, None, 0, 0, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -52,12 +50,10 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 out[1].write(np.zeros(1, "<u8").tobytes())
                 first = b.column(0)[0].as_py()
             out[2].write(np.asarray(b.column(0).fill_null(NULL_ID)).astype("<i8").tobytes())
-            for _, texts in slices(b.column(1)):
-                found = [x + tail for x in enc.encode(texts)]
-                ends = last + np.cumsum([len(x) // 4 for x in found], dtype=np.uint64)
-                out[1].write(ends.astype("<u8").tobytes())
-                out[0].write(np.frombuffer(b"".join(found), "<u4").astype(f"<u{enc.width}").tobytes())
-                last = int(ends[-1])
+            for _, ids, ends in enc.runs(b.column(1), end_id):
+                out[0].write(ids.astype(f"<u{enc.width}").tobytes())
+                out[1].write((last + ends).astype("<u8").tobytes())
+                last += len(ids)
             n += b.num_rows
         if out:
             for x in out:

@@ -1,4 +1,10 @@
-"""Encoding with a public tokenizer file, with the ids of chunks remembered."""
+"""Encoding with a public tokenizer file, with the ids of chunks remembered.
+
+A column of texts is cut into chunks and dictionary-encoded by Arrow, so that Python sees each distinct chunk of some
+8 MB of text once, and the ids of all chunks are put together with numpy. The chunks that a worker remembers
+are one Arrow column and two arrays of numbers, some 40 bytes a chunk. When they exceed the limit, those that
+were not met since the last time go; frequent chunks stay.
+"""
 
 from __future__ import annotations
 
@@ -9,14 +15,19 @@ from array import array
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 from millrace.llm.shared import memory
 
-#: Chunks whose ids one worker remembers; beyond it the memory starts anew.
-REMEMBERED = 600_000
+#: Chunks whose ids one worker remembers, and characters that are encoded at once
+REMEMBERED, RUN = 1_000_000, 1 << 23
 _ENCODERS: dict[str, "Encoder"] = {}
+#: White space, as Unicode has it, next to a blank or a line's end, in a text and in its chunks
 _SPACE_RUN = re.compile(r"[ \n]\s|\s[ \n]")
+_SPACE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]"
+_INNER, _LAST = rf"^[ \n]{_SPACE}", rf"{_SPACE}$"
 #: Chunks that are encoded in one go
 GROUP = 2000
 #: Up to this letter texts are in normal form, and lower-casing gives one letter for one.
@@ -39,6 +50,7 @@ class Encoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         ids = self.tokenizer.encode("a  a", add_special_tokens=False).ids
         self.drops_space = ids == 2 * self.tokenizer.encode("a", add_special_tokens=False).ids
         self.path = path
@@ -49,10 +61,6 @@ class Encoder:
         tried = ["word", "The", "Éaß", "thndhain", "reê,", "is.", *([] if self.drops_space else [" word", " Éa.", "\nOf", "\nThe,"])]
         self.plain = [self._word(c) for c in tried] == self._whole(tried)
 
-    @property
-    def known(self) -> dict[str, bytes]:
-        return memory(self.path)
-
     @property
     def width(self) -> int:
         """Bytes that every id fits in: 2 or 4."""
@@ -65,19 +73,25 @@ class Encoder:
         """The ids of a plain word from the model, else None."""
         core, head, tail, space = chunk, b"", b"", ""
         if not self.drops_space:
-            if core[:1] == "\n":
-                core, head = core[1:], self.marks["\n"]
-            elif core[:1] == " ":
+            first = core[:1]
+            if first == " ":
                 core, space = core[1:], _BYTES[32]
+            elif first == "\n":
+                core, head = core[1:], self.marks["\n"]
         if core[-1:] in (".", ","):
             core, tail = core[:-1], self.marks[core[-1]]
-        if not core.isalpha() or max(core) > _LATIN:
+        if not core.isalpha():
             return None
         if self.lowers:
-            core = core.lower()
+            low = core.lower()
+        else:
+            low = core
         if not core.isascii():
-            core = core.encode().decode("latin-1").translate(_BYTES)
-        return head + array("I", [t.id for t in self.tokenizer.model.tokenize(space + core)]).tobytes() + tail
+            if max(core) > _LATIN:
+                return None
+            low = low.encode().decode("latin-1").translate(_BYTES)
+        own = array("I", [t.id for t in self.model.tokenize(space + low)]).tobytes()
+        return head + own + tail if head or tail else own
 
     def _new(self, chunks: list[str]) -> list[bytes]:
         if not self.plain:
@@ -102,24 +116,100 @@ class Encoder:
         raw = ids.tobytes()
         return [raw[4 * x + 4 : 4 * y] for x, y in zip(cut[:-1], cut[1:])]
 
-    def _chunks(self, text: str) -> list[str] | None:
+    def _chunks(self, texts: pa.Array) -> pa.ListArray:
         if self.drops_space:
-            return text.replace("\n", " ").split(" ")
-        if "\0" in text or _SPACE_RUN.search(text):
-            return None
-        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        return pc.split_pattern(pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n"), "\0")
+
+    def _remember(self, words: pa.Array, limit: int) -> tuple[dict, np.ndarray]:
+        """This worker's memory with all of the distinct words, and their places in it."""
+        held = memory(self.path)
+        if not held:
+            held.update(words=words[:0], ids=np.zeros(0, np.uint32), size=np.zeros(0, np.int64), met=np.zeros(0, bool))
+        if len(held["words"]) > limit:
+            stay = held["met"]
+            held["ids"] = held["ids"][np.repeat(stay, held["size"])]
+            held["words"], held["size"] = held["words"].filter(pa.array(stay)), held["size"][stay]
+            held["met"] = np.zeros(len(held["size"]), bool)
+        found = pc.index_in(words, value_set=held["words"])
+        new, known = words.filter(found.is_null()), len(held["words"])
+        place = found.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        place[place < 0] = np.arange(known, known + len(new))
+        if len(new):
+            got = []
+            for at in range(0, len(new), GROUP):
+                got += self._new(new[at : at + GROUP].to_pylist())
+            held["words"] = pa.concat_arrays([held["words"], new])
+            held["ids"] = np.concatenate([held["ids"], np.frombuffer(b"".join(got), "<u4")])
+            held["size"] = np.concatenate([held["size"], np.array([len(x) // 4 for x in got], np.int64)])
+            held["met"] = np.concatenate([held["met"], np.zeros(len(new), bool)])
+        held["met"][place] = True
+        return held, place
+
+    def _cut(self, texts: pa.Array, limit: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of texts cut into chunks, one after another, how many each has, and the texts that can't be cut (none here)."""
+        chunks = self._chunks(texts)
+        coded = chunks.flatten().dictionary_encode()
+        words, offsets = coded.dictionary, chunks.offsets.to_numpy().astype(np.int64)
+        offsets -= offsets[0]
+        index = coded.indices.to_numpy(zero_copy_only=False)
+        held, place = self._remember(words, limit)
+        size = held["size"][place][index]
+        odd = np.zeros(len(texts), bool)
+        if not self.drops_space:
+            last = pc.match_substring_regex(words, _LAST).to_numpy(zero_copy_only=False)[index]
+            last[offsets[1:] - 1] = False  # nothing follows
+            at = np.flatnonzero(last | pc.match_substring_regex(words, _INNER).to_numpy(zero_copy_only=False)[index])
+            odd[np.searchsorted(offsets, at, side="right") - 1] = True
+            for k in np.flatnonzero(odd).tolist():
+                size[offsets[k] : offsets[k + 1]] = 0
+        ends = np.cumsum(size)
+        first = (np.cumsum(held["size"]) - held["size"])[place][index]
+        total = int(ends[-1]) if len(ends) else 0
+        ids = held["ids"][np.repeat(first - (ends - size), size) + np.arange(total)]
+        return ids, np.diff(np.concatenate([[0], ends])[offsets]), odd
+
+    def _long(self, text: str, limit: int) -> np.ndarray:
+        """Ids of one long text, some RUN characters at a time if it may be cut."""
+        if not self.drops_space and ("\0" in text or _SPACE_RUN.search(text)):
+            return np.frombuffer(self._whole([text])[0], "<u4")
+        out, at = [], 0
+        while at < len(text):
+            stop = min((x for x in (text.find(" ", at + RUN), text.find("\n", at + RUN)) if x >= 0), default=len(text))
+            out.append(self._cut(pa.array([text[at:stop]], pa.large_string()), limit)[0])
+            at = stop
+        return np.concatenate(out)
+
+    def ids(self, texts: pa.Array, remembered: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Unsigned 32-bit ids of a column of texts (null: empty), one text after another, and where each text's end."""
+        limit = remembered or REMEMBERED
+        texts = texts.fill_null("").cast(pa.large_string())
+        alone = pc.greater(pc.binary_length(texts), 2 * RUN)
+        if not self.drops_space:
+            alone = pc.or_(alone, pc.match_substring(texts, "\0"))
+        flat, size, odd = self._cut(pc.if_else(alone, "", texts) if pc.any(alone).as_py() else texts, limit)
+        own = np.flatnonzero(odd | alone.to_numpy(zero_copy_only=False)).tolist()
+        if not own:
+            return flat, np.cumsum(size)
+        before, parts, done = np.cumsum(size), [], 0
+        for k in own:
+            parts += [flat[done : before[k]], self._long(texts[k].as_py(), limit)]
+            done, size[k] = before[k], len(parts[-1])
+        return np.concatenate([*parts, flat[done:]]), np.cumsum(size)
+
+    def runs(self, texts: pa.Array, end_id: int, remembered: int | None = None):
+        """(first row, ids, ends) of some RUN bytes of a column at a time, each text's ids followed by the end id."""
+        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN, side="right")))
+            ids, ends = self.ids(texts.slice(at, stop - at), remembered)
+            yield at, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
+            at = stop
 
     def encode(self, texts: list[str], remembered: int | None = None) -> list[bytes]:
-        known = self.known
-        chunks = [self._chunks(t) for t in texts]
-        if len(known) > (remembered or REMEMBERED):
-            known.clear()
-        missing = list(set().union(*(c for c in chunks if c)).difference(known))
-        for at in range(0, len(missing), GROUP):
-            part = missing[at : at + GROUP]
-            known.update(zip(part, self._new(part)))
-        get = known.__getitem__
-        return [self._whole([t])[0] if c is None else b"".join(map(get, c)) for t, c in zip(texts, chunks)]
+        ids, ends = self.ids(pa.array(texts, pa.string()), remembered)
+        return [x.astype("<u4").tobytes() for x in np.split(ids, ends[:-1])] if texts else []
 
 
 def encoder(path: str) -> Encoder:
@@ -127,16 +217,3 @@ def encoder(path: str) -> Encoder:
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
-
-
-def slices(column, limit: int = 1 << 23):
-    """(from, texts) of a string column in runs of some 8 million characters; null counts as empty."""
-    at, run, size = 0, [], 0
-    for k, t in enumerate(column):
-        run.append(t.as_py() or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield at, run
-            at, run, size = k + 1, [], 0
-    if run:
-        yield at, run

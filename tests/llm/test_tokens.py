@@ -38,12 +38,28 @@ def test_documents_agree_with_the_library(spark, f):
     assert tokens.Encoder(tokenizer(f)).encode(texts) == [ids(f, t) for t in texts]
 
 
-def test_memory_starts_anew(monkeypatch):
-    monkeypatch.setattr(tokens, "REMEMBERED", 3)
+def test_memory_keeps_what_is_met_again():
     enc = tokens.Encoder(tokenizer(FILES[1]))
-    for t in ("a b c d e", "f g h", "a b c"):
-        assert enc.encode([t]) == [ids(FILES[1], t)]
-    assert len(enc.known) <= 6
+    tokens.memory("none")
+    for t in ("a b c d e", "f g h", "a b c", "a", "f"):
+        assert enc.encode([t], 3) == [ids(FILES[1], t)]
+    held = tokens.memory(enc.path)
+    assert len(held["words"]) == len(held["size"]) == len(held["met"]) <= 6 and held["size"].sum() == len(held["ids"])
+    assert "a" in held["words"].to_pylist()
+
+
+@pytest.mark.parametrize("f", FILES)
+def test_texts_in_parts(f, monkeypatch):
+    monkeypatch.setattr(tokens, "RUN", 40)
+    enc, texts = tokens.Encoder(tokenizer(f)), [*TEXTS, "word and, \nword. " * 30, "word and word\n of\nit. " * 30, "x" * 500, "", "last one"]
+    assert enc.encode(texts) == [ids(f, t) for t in texts]
+    out, rows = [], 0
+    for at, flat, ends in enc.runs(tokens.pa.array(texts), 2):
+        assert at == rows
+        rows += len(ends)
+        out += [x.astype("<u4").tobytes() for x in np.split(flat, ends[:-1])]
+    assert out == [ids(f, t) + (2).to_bytes(4, "little") for t in texts]
+    assert enc.encode([]) == [] and list(enc.runs(tokens.pa.array([], tokens.pa.string()), 2)) == []
 
 
 ROWS = [(5, "five. words, here"), (None, "no id"), (2, None), (2, "twice"), (9, ""), (-3, "minus " * 3000), (7, "a\nb")]
@@ -67,10 +83,15 @@ def test_token_files_round_trip(spark):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def cuts(n, capacity):
+    return list(zip(*(x.tolist() for x in packing.cuts(np.array([n]), capacity)[2:])))
+
+
 def test_cuts():
-    assert packing.cuts(5, 10) == [(0, 5)]
-    assert packing.cuts(10, 10) == [(0, 10)]
-    assert packing.cuts(25, 10) == [(0, 5), (5, 10), (15, 10)]
+    assert cuts(5, 10) == [(0, 5)]
+    assert cuts(10, 10) == [(0, 10)]
+    assert cuts(25, 10) == [(0, 5), (5, 10), (15, 10)]
+    assert [x.tolist() for x in packing.cuts(np.array([1, 21, 3]), 10)[:2]] == [[0, 1, 1, 1, 2], [0, 0, 1, 2, 0]]
 
 
 def best_fit(lengths, capacity):
@@ -114,7 +135,7 @@ def test_packing_of_documents(spark, monkeypatch, rows_per_task):
     want = []
     for r in df.collect():
         own = ids(FILES[1], r.text or "") + (2).to_bytes(4, "little")
-        want += [(str(r.doc_id), j, s, n, zlib.crc32(own[4 * s : 4 * (s + n)])) for j, (s, n) in enumerate(packing.cuts(len(own) // 4, 1024))]
+        want += [(str(r.doc_id), j, s, n, zlib.crc32(own[4 * s : 4 * (s + n)])) for j, (s, n) in enumerate(cuts(len(own) // 4, 1024))]
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     bins = {}
     for r in got:
