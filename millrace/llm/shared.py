@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The bytes that separate words, fixed by the word pattern [^\x20\x09-\x0D]+
@@ -60,3 +62,21 @@ def n_parts(spark: SparkSession) -> int:
 
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
+
+
+def row_struct(docs: DataFrame) -> Column:
+    """All columns in one struct, `row`: passed on whole, their names clash with nothing."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
+def text_bytes(docs: DataFrame, text_col: str) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
+
+
+def text_runs(texts, limit: int = 1 << 23):
+    """(first row, texts) of some `limit` bytes of a string column at a time, one text at least."""
+    size, at = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while at < len(texts):
+        stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
+        yield at, texts.slice(at, stop - at)
+        at = stop

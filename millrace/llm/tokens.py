@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
-from millrace.llm.shared import memory
+from millrace.llm.shared import memory, text_runs
 
 #: Chunks whose ids one worker remembers, and characters that are encoded at once
 REMEMBERED, RUN = 1_000_000, 1 << 23
@@ -199,13 +199,9 @@ class Encoder:
 
     def runs(self, texts: pa.Array, end_id: int, remembered: int | None = None):
         """(first row, ids, ends) of some RUN bytes of a column at a time, each text's ids followed by the end id."""
-        size = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        at = 0
-        while at < len(texts):
-            stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + RUN, side="right")))
-            ids, ends = self.ids(texts.slice(at, stop - at), remembered)
+        for at, own in text_runs(texts, RUN):
+            ids, ends = self.ids(own, remembered)
             yield at, np.insert(ids, ends, np.uint32(end_id)), ends + np.arange(1, len(ends) + 1)
-            at = stop
 
     def encode(self, texts: list[str], remembered: int | None = None) -> list[bytes]:
         ids, ends = self.ids(pa.array(texts, pa.string()), remembered)
