@@ -3,20 +3,19 @@
 Each language has a raw-content zstandard dictionary cut from labelled texts. A text is encoded with every
 dictionary, and the language whose dictionary makes it smallest wins. Texts are encoded in blocks of
 `block` bytes, every block against the dictionary afresh: else a long text would soon be its own best
-dictionary, and memory would grow with it. All blocks count. Before that, letters are lower-cased and everything that is
-not a letter becomes one space, so that case, digits and symbols don't vote. Sizes are whole bytes, too
-coarse for a short text: one under SHORT bytes is encoded at a finer level in ROTATIONS orders of its words, and the sizes
-are added.
+dictionary, and memory would grow with it. All blocks count. A text is taken as a ring, so that its last block, or only one, goes on with the text's
+start: the same rule at every length. Before that, letters are lower-cased and everything that is
+not a letter or a mark on one becomes one space, so that case, digits and symbols don't vote.
 
 The score is one minus the ratio of the smallest to the next size, times `SHARP`, at most 1. A text whose margin
 is under `min_margin` is rejected (`accepted` false), as is one without a letter (`und`).
 
-The dictionaries come from a bounded sample: for each language the `sample` labelled rows with the lowest hash of
-their id, of whose letters the first `dictionary` bytes, dealt evenly over the sampled texts, are used. At most `languages` languages are learned (the most frequent).
+The dictionaries come from a bounded sample: for each language the `sample` labelled ids with the lowest hash, of each a stretch that starts at a place set by that hash, `dictionary` bytes in all for a language. All languages are learned; where they are so many
+that their dictionaries would be over TOTAL bytes, each is shorter.
 
-Defined cases: a null, empty or letterless text is `und` with score 0. With no labelled text all are `und`; with one
+Defined cases: a null, empty or letterless text is `und` with score 0; a long text is encoded whole, block by block. With no labelled text all are `und`; with one
 language learned, all else are that language with score 0 and accepted. Ties go to the language first in order. Repeated rows and null ids get a row
-each. An empty table gives no rows. Other columns are not read.
+each. An empty table gives no rows. Other columns are not read; with `keep_row` they come back unchanged in a struct, so no name can clash.
 """
 
 from __future__ import annotations
@@ -24,39 +23,45 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_or_empty
+from millrace.llm.shared import row_struct, text_or_empty
 
 UND, SHARP = "und", 5.0
-LEVEL, BLOCK, DICTIONARY, SAMPLE, LANGUAGES, MIN_MARGIN = 6, 1024, 64 << 10, 400, 200, 0.002
-#: Texts under SHORT bytes: level and number of rotations whose sizes add up.
-SHORT, FINE_LEVEL, ROTATIONS = 512, 12, 4
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
-_MODELS: dict[int, tuple[dict, list]] = {}
+LEVEL, BLOCK, DICTIONARY, TOTAL, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 64 << 20, 400, 0.002
+#: Up to U+02FF there are no marks, and \w has these numbers that are no letters
+_BEYOND = re.compile("[̀-\U0010ffff]")
+_PLAIN = re.compile(r"[\W\d_²³¹¼½¾]+")
+_NOT_LETTERS, _LETTER = regex.compile(r"[^\p{L}\p{M}]+"), regex.compile(r"\p{L}")
 
 
 def letters(text: str) -> bytes:
-    return _NOT_LETTERS.sub(" ", text.lower()).strip().encode()
+    low = text.lower()
+    if not _BEYOND.search(low):
+        return _PLAIN.sub(" ", low).strip().encode()
+    return _NOT_LETTERS.sub(" ", low).strip().encode() if _LETTER.search(low) else b""
 
 
-def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
+def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, dictionary: int = DICTIONARY) -> dict[str, bytes]:
     """language: dictionary bytes, from a bounded sample of rows with a text and a label."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(id_col).alias("id"))
-    top = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()}
-    first = Window.partitionBy("lang").orderBy("h", "id")
+    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
+    counts = rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n"))
     # a threshold that some 4 * sample hashes of the language stay under: no language's rows meet in one task
-    low = [F.when(F.col("lang") == lang, F.lit(min(1.0, 4 * sample / n))) for lang, n in top.items()]
-    rows = rows.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= F.coalesce(*low, F.lit(-1.0)))
-    picked = rows.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.left(text_col, F.lit(dictionary)).alias("text"))
-    texts = texts.join(F.broadcast(picked.select("id", "lang", "h").distinct()), ["id", "lang"])  # at most sample * languages ids
+    low = rows.join(counts, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= 4 * sample / F.col("n"))
+    # of each a stretch four times its share, as letters are fewer and some texts short
+    size = F.ceil(4 * dictionary / F.least("n", F.lit(sample))).cast("int")
+    place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int")
+    pieces = low.select("lang", "h", F.substring("text", place + 1, size).alias("piece")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
+    first = Window.partitionBy("lang").orderBy("h")
+    picked = pieces.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
     found: dict[str, list[str]] = {}
-    for r in texts.orderBy("lang", "h", "id", "text").collect():
-        found.setdefault(r.lang, []).append(r.text)
-    out = {}
+    for r in picked.orderBy("lang", "k").toLocalIterator():
+        found.setdefault(r.lang, []).append(r.piece)
+    out, dictionary = {}, min(dictionary, max(1024, TOTAL // max(1, len(found))))
     for lang, own in sorted(found.items()):
         share = max(1, dictionary // len(own))
         parts = [letters(t) for t in own]
@@ -67,28 +72,21 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
 
 
 def _compressors(model: dict[str, bytes], level: int) -> list:
-    """For each language in order: a compressor for blocks and a finer one for short texts."""
+    """For each language in order, a compressor."""
     out = []
     for _, raw in sorted(model.items()):
-        pair = []
-        for at in (level, FINE_LEVEL):
-            d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=at)
-            pair.append(zstandard.ZstdCompressor(level=at, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-        out.append(pair)
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        d.precompute_compress(level=level)
+        out.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
     return out
 
 
 def sizes(text: str, compressors: list, block: int = BLOCK) -> list[int]:
+    """Bytes of a text by each compressor; none of a text without a letter."""
     raw = letters(text)
-    if not raw:
-        return []
-    if len(raw) < SHORT:
-        words = raw.split(b" ")
-        turns = [len(words) * i // ROTATIONS for i in range(ROTATIONS)]
-        return [sum(len(fine.compress(b" ".join(words[k:] + words[:k]))) for k in turns) for _, fine in compressors]
-    cut = [raw[i : i + block] for i in range(0, len(raw), block)]
-    return [sum(len(c.compress(x)) for x in cut) for c, _ in compressors]
+    ring = b"%b %b" % (raw, raw[:block])
+    cut = [ring[i : i + block] for i in range(0, len(raw), block)]
+    return [sum(len(c.compress(x)) for x in cut) for c in compressors] if raw else []
 
 
 def decide(got: list[int], langs: list[str], min_margin: float = MIN_MARGIN) -> tuple[str, float, bool]:
@@ -102,17 +100,17 @@ def decide(got: list[int], langs: list[str], min_margin: float = MIN_MARGIN) ->
     return langs[best], min(1.0, SHARP * margin), margin >= min_margin
 
 
-def identify(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, min_margin: float = MIN_MARGIN, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns in keep, lang_pred, score and accepted. The model's size is bounded by `learn`."""
-    kept = docs.select(F.col(id_col).alias("doc_id"), *keep, text_or_empty(text_col).alias("_text"))
+def identify(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, min_margin: float = MIN_MARGIN, keep_row: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score and accepted, and the whole row as `row` if that is to be kept. The model's size is bounded by `learn`."""
+    kept = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).alias("doc_id"), *([row_struct(docs)] if keep_row else []))
     langs = sorted(model)
 
     def run(batches):
         compressors = _compressors(model, level)
         for b in batches:
-            out = [decide(sizes(t.as_py(), compressors, block), langs, min_margin) if langs else (UND, 0.0, False) for t in b.column(b.num_columns - 1)]
+            out = [decide(sizes(t.as_py(), compressors, block), langs, min_margin) if langs else (UND, 0.0, False) for t in b.column(0)]
             new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new], [*b.schema.names[:-1], "lang_pred", "score", "accepted"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], [*b.schema.names[1:], "lang_pred", "score", "accepted"])
 
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    schema = kept.drop("text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
     return kept.mapInArrow(run, schema)

@@ -1,9 +1,11 @@
 import random
 import re
+import unicodedata
 import zlib
 
 import numpy as np
 import pytest
+import zstandard
 
 from millrace.llm import language, mixing, quality, queries
 
@@ -21,28 +23,70 @@ def test_language_held_out_accuracy(spark):
     assert sum(r.accepted for r in got) / len(got) > 0.99
 
 
-def test_language_matches_plain_compression():
-    model = {"aa": b"the cat sat on the mat and the dog " * 20, "bb": b"der hund und die katze auf der matte " * 20}
-    own = language._compressors(model, language.LEVEL)
-    for text, want in (("The dog sat on the cat.", "aa"), ("Die Katze und der Hund!", "bb"), ("the mat and " * 500, "aa")):
-        assert language.decide(language.sizes(text, own), ["aa", "bb"])[0] == want
-    assert language.decide(language.sizes("12 !? 3", own), ["aa", "bb"]) == ("und", 0.0, False)
+def plain_letters(text):
+    kept = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    return " ".join(kept.split()).encode() if any(unicodedata.category(c)[0] == "L" for c in kept) else b""
+
+
+def plain_sizes(text, model):
+    """Each block by a compressor made for it alone."""
+    raw = plain_letters(text)
+    if not raw:
+        return []
+    ring = raw + b" " + raw[: language.BLOCK]
+    out = []
+    for _, d in sorted(model.items()):
+        own = zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        out.append(sum(len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_content_size=False).compress(ring[i : i + language.BLOCK])) for i in range(0, len(raw), language.BLOCK)))
+    return out
+
+
+def test_language_matches_plain_compression(spark):
+    """The query's answers on the whole table, from its model, by plain calls of the library."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    extra = spark.createDataFrame([(-1, "word " * 70_000, "en"), (-2, "½ ² ③ Ⅷ ٣", None), (-3, "हिन्दी में लिखा हुआ", None), (-4, "\u0301\u0302", None), (-5, "e\u0301t\u00e9 l'ete", "fr")], "doc_id long, text string, lang string")
+    df = df.select("doc_id", "text", "lang").unionByName(extra)
+    model = language.learn(df)
+    assert sorted(model) == ["de", "en", "es", "fr"] and all(len(d) <= language.DICTIONARY for d in model.values())
+    texts = {r.doc_id: r.text for r in df.collect()}
+    for r in language.identify(df, model).collect():
+        assert language.letters(texts[r.doc_id]) == plain_letters(texts[r.doc_id])
+        got = plain_sizes(texts[r.doc_id], model)
+        order = sorted(zip(got, sorted(model)))
+        if not got:
+            assert (r.lang_pred, r.score, r.accepted) == ("und", 0.0, False)
+        else:
+            margin = 1 - order[0][0] / order[1][0]
+            assert r.lang_pred == order[0][1] and abs(r.score - min(1, 5 * margin)) < 1e-12 and r.accepted == (margin >= 0.002)
+    assert [language.sizes(texts[i], language._compressors(model, 6)) for i in (-2, -4)] == [[], []]
+
+
+def test_language_decisions():
+    assert language.decide([], ["aa", "bb"]) == ("und", 0.0, False)
     assert language.decide([10, 10, 12], ["x", "y", "z"]) == ("x", 0.0, False)
     assert language.decide([10], ["x"]) == ("x", 0.0, True)
 
 
 def test_language_edge_rows(spark):
-    rows = [(1, "the cat sat on the mat and so on", "en", "x"), (2, "der hund und die katze und so weiter", "de", "x"), (3, None, "en", None), (4, "", None, "x"), (5, "123 ...", "de", "x"), (None, "the cat sat and the cat sat on the mat", None, "x"), (1, "the cat sat on the mat and so on", "en", "x")]
-    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    rows = [(1, "the cat sat on the mat and so on", "en", "x", True), (2, "der hund und die katze und so weiter", "de", "x", True), (3, None, "en", None, True), (4, "", None, "x", True), (5, "123 ...", "de", "x", True), (None, "the cat sat and the cat sat on the mat", None, "x", True), (1, "the cat sat on the mat and so on", "en", "x", True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string, accepted boolean")
     model = language.learn(df)
     assert sorted(model) == ["de", "en"]
     got = {(r.doc_id, r.lang_pred) for r in language.identify(df, model).collect()}
     assert got == {(1, "en"), (2, "de"), (3, "und"), (4, "und"), (5, "und"), (None, "en")}
+    back = language.identify(df, model, keep_row=True)
+    assert sorted(map(str, back.select("row.*").collect())) == sorted(map(str, df.collect()))
     assert language.learn(df.where("lang is null")) == {}
     assert {r.lang_pred for r in language.identify(df, {}).collect()} == {"und"}
     assert language.identify(df.limit(0), model).count() == 0
 
 
+def test_many_languages_and_a_repeated_id(spark):
+    rows = [(i, f"own{i} words of tongue{i} " * 3, f"l{i:03}") for i in range(300)] + [(7, "the same row again and again", "l300")] * 3000
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
+    assert len(model) == 301 and all(0 < len(d) <= language.DICTIONARY for d in model.values())
+
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
