@@ -1,15 +1,20 @@
-"""Exact deduplication by a tree merge of digest runs, in DataFrame operations only.
+"""Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-The input partitions are dealt into runs, one for each `rows_per_run` rows (64 at least, so their number grows with the table).
-A run is its distinct digests with the smallest (or largest) id and a count. Runs are merged `fan_in` at a time in rounds, until one run is left; every level keeps the
-surviving id of each digest. Then the verdict goes down the same tree to the rows. A text that makes
-up a third of the table is one row for each run, and no task of any round reads more than `fan_in`
-rows of it, nor more than one run's share of its rows on the last way down.
+The input partitions are dealt into runs, one for each `rows_per_run` rows (64 at least, so their number grows with the table). A run
+is its digests in order, each once, with the smallest (or largest) id and a count; it is cut into `ranges` by the digest's leading bits, so
+that a run of any length is many tasks' work. Runs then meet in binomial rounds of `fan_in` partners: in round k those
+runs whose number differs only in digit k (to the base `fan_in`) send their ranges to the one of them with the digit zero, which merges what came in
+digest order, keeps the best id of each verified digest and adds the counts. After the last round run 0 holds all. Then the verdict goes
+down the same tree to the rows. A text that makes up a third of the table is one row for each run, and no task of any
+round reads more than `fan_in` rows of it, nor more than one run's share of its rows on the last way down.
+
+The merge is Spark's sort aggregate (its buffer is a struct, which hash aggregates don't take): a sort of the sorted runs that an exchange
+brought together, and one pass over it.
 
 A digest is verified by the text's length and an independent 64-bit hash, kept beside it as part of
 the key at every level: texts that differ in either are never merged.
 
-Defined cases: a null text counts as empty. Null ids never win over others; in a group of null ids
+Defined cases: a null text counts as empty; a long one is hashed whole, like any other. Null ids never win over others; in a group of null ids
 only, keep_id is null and all its rows are kept. Rows that repeat the winning id are all kept, as
 the id can't tell them apart (`deduplicate` then keeps one). An empty table gives no rows. Other
 columns are not read, whatever their names.
@@ -20,12 +25,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_or_empty, written
+from millrace.llm.shared import n_parts, text_or_empty, written
 
-KEY = ("digest", "n_bytes", "check")
+KEY = ("range", "digest", "n_bytes", "check")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8, rows_per_run: int = 4_000_000) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8, rows_per_run: int = 4_000_000, ranges: int | None = None) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, text_bytes."""
     best = {"min": F.min, "max": F.max}[keep]
     text = text_or_empty(text_col)
@@ -39,20 +44,27 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         ),
         "digests",
     )
-    n_runs = n_runs or max(64, -(-leaf.count() // rows_per_run))
-    leaf = leaf.withColumn("run", F.pmod("part", F.lit(n_runs)).cast("int")).drop("part")
-    levels = [leaf.groupBy("run", *KEY).agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))]
-    runs = n_runs
-    while runs > 1:
-        runs = -(-runs // fan_in)
-        up = levels[-1].withColumn("run", F.expr(f"run div {fan_in}").cast("int"))
-        levels.append(up.groupBy("run", *KEY).agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")))
+    n_rows = leaf.count()
+    n_runs = n_runs or max(64, -(-n_rows // rows_per_run))
+    ranges = ranges or max(4 * n_parts(docs.sparkSession), -(-n_rows // rows_per_run))
+    leading = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
+    leaf = leaf.select("*", F.pmod("part", F.lit(n_runs)).cast("int").alias("run"), F.floor(leading * ranges / F.lit(float(1 << 32))).cast("int").alias("range")).drop("part")
+    # a null struct never wins, so neither does a null id
+    merged = lambda rows, own, n: rows.groupBy("run", *KEY).agg(best(own).alias("best"), n.alias("group_size"))
+    levels = [merged(leaf, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id")), F.count(F.lit(1)))]
+    above, step = [], 1
+    while step < n_runs:
+        partner = F.expr(f"run - (run div {step}) % {fan_in} * {step}").cast("int")
+        above.append(partner)
+        sent = levels[-1].withColumn("run", partner).repartition("run", "range")
+        levels.append(merged(sent, F.col("best"), F.sum("group_size")))
+        step *= fan_in
     verdict = levels[-1]
-    for level in reversed(levels[:-1]):
-        mine = level.select("run", *KEY, F.expr(f"run div {fan_in}").cast("int").alias("above"))
+    for level, partner in zip(reversed(levels[:-1]), reversed(above)):
+        mine = level.select("run", *KEY, partner.alias("above"))
         verdict = mine.join(verdict.withColumnRenamed("run", "above"), ["above", *KEY]).drop("above")
     return leaf.join(verdict, ["run", *KEY]).select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("doc_id").eqNullSafe(F.col("best.doc_id")).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"), F.col("n_bytes").alias("text_bytes"),
     )
 
@@ -60,7 +72,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", **options) -> DataFrame:
     """The rows of docs that stay, with all their columns: one of each text."""
     mark = "_keep_digest"
-    while mark in docs.columns:
+    while any(c.startswith(mark) for c in docs.columns):
         mark += "_"
     kept = exact_groups(docs, id_col=id_col, text_col=text_col, keep=keep, **options).where("kept")
     kept = written(kept.groupBy(F.col("doc_id").alias(f"{mark}id"), F.unhex("text_sha256").alias(mark)).agg(F.count(F.lit(1)).alias(f"{mark}n")), "kept")
