@@ -21,13 +21,14 @@ collected: each text is set against one text of the key, chosen by a hash; those
 over 4 minhashes go on under a longer key (the next segment too), until no key is large or all eight
 segments are equal. The second step checks these keys whole like all others.
 
-Texts with equal sets of shingles are one from the start. The result is the component of the
-links that passed the exact check.
+Texts with equal sets of shingles are one from the start; each such set has a number, by which links and components go, so rows that share an id
+are never taken for one another. A row is told by its id and the hash of its text. The result is the component of the links that passed
+the exact check, and which row of it stays: that with the smallest id, of several with that id the one with the smallest hash.
 
 Defined cases: a null or empty text, or one without words, has the set of one empty shingle, so such texts
-are alike; with fewer words than five the shingle is all of them. A null id gets the component of
-the others with its set (null if all have null ids). Repeated ids each get a row. An empty table gives
-no rows. Other columns are not read.
+are alike; with fewer words than five the shingle is all of them; a long text is one set of all its shingles, made and checked by itself. A null id
+counts as larger than all others (the component's id is null if all are null). Repeated ids each get a row, and rows that repeat id and text are all
+marked as staying if one is (`deduplicate` then keeps one). An empty table gives no rows. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,10 +41,11 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
-from millrace.llm.shared import written
+from millrace.llm.shared import text_or_empty, written
 
 N_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH = 8, 3
@@ -81,7 +83,7 @@ def _sketches(n: int):
     def run(batches):
         for b in batches:
             digests, fps, parts, keys, sizes = [], [], [], [], []
-            for t in b.column(1):
+            for t in b.column(2):
                 text = t.as_py()
                 found = shingle_set(text, n)
                 least = minhashes(found)
@@ -94,8 +96,8 @@ def _sketches(n: int):
             s = np.array(parts, np.int64).reshape(-1, WIDTH)
             keys = pa.array(np.array(keys, np.uint64).view(np.int64).ravel())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * SEGMENTS), keys)
-            columns = [b.column(0), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(s[:, i]) for i in range(WIDTH)), lists, pa.array(sizes, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "fp", *SKETCH, "keys", "size"])
+            columns = [b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array(np.array(fps, np.uint64).view(np.int64)), *(pa.array(s[:, i]) for i in range(WIDTH)), lists, pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "digest", "fp", *SKETCH, "keys", "size"])
 
     return run
 
@@ -233,28 +235,61 @@ def key_links(reps: DataFrame, parts: DataFrame, sets_of, *, similarity: float =
     return written(meet.join(sets, "rep").groupBy("segment", "key", "i", "j").applyInArrow(_joins(similarity), "a long, b long"), "key-links")
 
 
+def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str, most: int = 4096) -> DataFrame:
+    """pairs with the set of one end. A set that is in more than `most` pairs is sent several times, to as many tasks."""
+    many = pairs.groupBy(end).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("tasks")).where("tasks > 1")
+    dealt = pairs.join(many, end, "left").select(*pairs.columns, F.pmod(F.xxhash64(*pairs.columns[:2]), F.coalesce("tasks", F.lit(1))).cast("int").alias("task"))
+    copied = sets.toDF(end, name).join(many, end, "left").select(end, name, F.explode(F.sequence(F.lit(0), F.coalesce("tasks", F.lit(1)) - 1)).alias("task"))
+    return dealt.join(copied, [end, "task"]).drop("task")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = N_WORDS, similarity: float = SIMILARITY, bucket: int = 1024, block: int = BLOCK) -> DataFrame:
-    """One row for each input row: doc_id, component_id (the smallest id of its class)."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    marks = written(texts.mapInArrow(_sketches(n), "doc_id long, digest binary, fp long, s0 long, s1 long, s2 long, keys array<long>, size long"), "sketches")
-    first = F.min_by(F.struct("fp", *SKETCH, "keys", "size"), "doc_id").alias("m")
-    reps = written(marks.groupBy("digest").agg(F.min("doc_id").alias("rep"), first).where("rep is not null").select("digest", "rep", "m.*"), "reps")
+    """One row for each input row: doc_id, text_hash, component_id (the smallest id of its class), and whether it stays."""
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_or_empty(text_col)).alias("text_hash"), text_or_empty(text_col).alias("text"))
+    schema = texts.drop("text").schema
+    for name, kind in (("digest", "binary"), ("fp", "long"), *((x, "long") for x in SKETCH), ("keys", ArrayType(LongType())), ("size", "long")):
+        schema = schema.add(name, kind)
+    marks = written(texts.mapInArrow(_sketches(n), schema), "sketches")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    reps = marks.groupBy("digest").agg(F.min(row).alias("first"), F.min_by(F.struct("fp", *SKETCH, "keys", "size"), row).alias("m"))
+    reps = written(reps.select("digest", "first", "m.*", F.monotonically_increasing_id().alias("rep")), "reps")
     by_print = written(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
     same = reps.select("fp", F.col("rep").alias("b")).join(by_print.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
     pairs = same.union(simhash.fingerprint_links(by_print)).union(ring_candidates(reps, bucket=bucket))
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "candidates")
 
     def sets_of(ends: DataFrame) -> DataFrame:
-        whole = texts.join(ends.toDF("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("rep"), "text")
-        return written(whole.mapInArrow(_sets(n), "rep long, shingles array<long>"), "shingles")
+        """The shingle sets of the reps in the one column of ends."""
+        rows = reps.join(ends.toDF("rep"), "rep", "left_semi").select("rep", F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))
+        whole = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("rep", "text")
+        sets = written(whole.mapInArrow(_sets(n), "rep long, shingles array<long>"), "shingles")
+        if sets.groupBy("rep").count().where("count > 1").isEmpty():
+            return sets
+        return written(sets.dropDuplicates(["rep"]), "shingles")  # rows that repeat both id and text
 
     sets = sets_of(pairs.select("a").union(pairs.select("b")).distinct())
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
     both = F.size(F.array_intersect("x", "y"))
-    links = pairs.join(left, "a").join(right, "b").select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
+    links = _with_sets(_with_sets(pairs, sets, "a", "x"), sets, "b", "y")
+    links = links.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
     links = written(links.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
 
     links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, block=block))
-    parts = connected_components(links)
-    known = reps.select("digest", "rep").join(parts, reps.rep == parts.node, "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    return marks.select("doc_id", "digest").join(known, "digest", "left").select("doc_id", "component_id")
+    parts = written(connected_components(links), "classes")
+    best = parts.join(reps.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
+    known = reps.join(parts.join(best, "component").select(F.col("node").alias("rep"), "best"), "rep", "left").select("digest", F.coalesce("best", "first").alias("best"))
+    out = marks.select("doc_id", "text_hash", "digest").join(known, "digest")
+    return out.select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay, with all their columns: one of each class."""
+    mark = "_text_hash"
+    while any(c.startswith(mark) for c in docs.columns):
+        mark += "_"
+    found = written(near_duplicates(docs, id_col=id_col, text_col=text_col, **options), "near-duplicates")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias(f"{mark}id"), F.col("text_hash").alias(f"{mark}h")).distinct()
+    rows = docs.withColumn(mark, F.xxhash64(text_or_empty(text_col)))
+    rows = rows.join(gone, rows[id_col].eqNullSafe(gone[f"{mark}id"]) & (rows[mark] == gone[f"{mark}h"]), "left_anti")
+    if not found.where("kept").groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():
+        rows = rows.dropDuplicates([id_col, mark])
+    return rows.drop(mark)

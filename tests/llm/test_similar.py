@@ -73,6 +73,27 @@ def test_odd_rows(spark):
     assert found(spark, []) == []
 
 
+WORDS = [f"w{i}" for i in range(60)]
+ALIKE = [" ".join([*WORDS[:k], "own", *WORDS[k + 1 :]]) for k in (0, 59)] + [" ".join(WORDS)]  # the last is like both
+
+
+def test_rows_that_share_an_id(spark):
+    unique = "a text that is like no other one here at all"
+    rows = [(1, ALIKE[2]), (5, ALIKE[0]), (5, unique), (7, ALIKE[1]), (7, ALIKE[1]), (None, ALIKE[0] + " "), (None, "none"), (9, "none"), (None, None), (None, "null ids twice"), (None, "null ids twice")]
+    df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, kept string, _text_hash long, text_hash int")
+    got = similar.deduplicate(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), r.text) for r in got.collect() if r.text) == sorted([("1", ALIKE[2]), ("5", unique), ("9", "none"), ("None", "null ids twice")])
+    assert got.where("text is null").count() == 1 and similar.deduplicate(df.limit(0)).count() == 0
+
+
+def test_string_ids_and_a_hub(spark, monkeypatch):
+    monkeypatch.setattr(similar._with_sets, "__defaults__", (3,))
+    rows = [(f"d{i:03}", " ".join([*WORDS, f"own{i}"])) for i in range(40)] + [("a", "else")]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    assert {r.doc_id: r.component_id for r in similar.near_duplicates(df).collect()} == {i: "a" if i == "a" else "d000" for i, _ in rows}
+
+
 def family(n, background, pairs, at, size=300):
     """n texts that share a passage, any two at a similarity of `background`; the last are `pairs` pairs at `at`."""
     made = random.Random(7)
