@@ -4,16 +4,17 @@ The plan depends on how many pieces there are of each length, not on the pieces:
 the capacity, so the histogram that comes to the driver has at most `capacity` rows at any size of the
 corpus. Best-fit decreasing runs over those counts: bins that are alike (same free space) are one
 group, and a group takes as many pieces of a length at once as fit. The plan's rows say that the
-pieces of length L with ranks a to b go to bins from f on, at a given place; it has a few thousand rows and is
-broadcast (its bound: the groups that `capacity` lengths can split into).
+pieces of length L with ranks a to b go to bins from f on, at a given place. It is broadcast while it has at most PLAN rows (it had a few thousand in all
+tables tried), else joined by length.
 
-Pieces then take their slot by their rank within their length. The rank of a frequent length is
+Pieces then take their slot by their rank within their length, in the order of their row numbers, which are written with them: so no two pieces tie, and a
+stage that is run again gives the same ranks. The rank of a frequent length is
 not found in one task: each length is dealt into groups of some `rows_per_task` rows, ranked within those, and the
 groups' counts before it are added.
 
-Defined cases: a null or empty text is one piece that holds the end id only. Repeated ids are packed once
+Defined cases: a null or empty text is one piece that holds the end id only. Long texts are cut into as many pieces as they need. Repeated ids are packed once
 for each row; null ids are packed like others. An empty table gives no rows. Other columns are not
-read.
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import text_or_empty, written
 from millrace.llm.tokens import REMEMBERED, encoder
 
+#: Rows of a plan that is broadcast
+PLAN = 100_000
+
 
 def cuts(n: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(row, piece, start, length) of the pieces of rows of n tokens: whole ones of the capacity, a shorter one first."""
@@ -99,7 +103,7 @@ def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, in
 
 
 def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length", order: tuple[str, ...] = ("doc_id", "piece"), rows_per_task: int = 4_000) -> DataFrame:
-    """pieces with sequence_id and offset. pieces is read several times, so it should be a written table."""
+    """pieces with sequence_id and offset. pieces is read several times, so it should be a written table; order should tell its rows apart."""
     counts = {int(r[0]): r[1] for r in pieces.groupBy(length_col).count().collect()}
     plan, _ = plan_bins(counts, capacity)
     deals = F.array(*[F.lit(-(-counts.get(n, 1) // rows_per_task)) for n in range(1, capacity + 1)])
@@ -110,10 +114,12 @@ def pack(pieces: DataFrame, *, capacity: int = 1024, length_col: str = "length",
     ranked = dealt.withColumn("_rank", F.row_number().over(within) - 1).join(bases, [length_col, "_deal"]).withColumn("_rank", F.col("_rank") + F.col("_base"))
     slots = pieces.sparkSession.createDataFrame(plan, "_length long, _from long, _to long, _bin long, offset long")
     fits = (F.col(length_col) == F.col("_length")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    return ranked.join(F.broadcast(slots), fits).select(*pieces.columns, (F.col("_bin") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
+    slots = F.broadcast(slots) if len(plan) <= PLAN else slots
+    return ranked.join(slots, fits).select(*pieces.columns, (F.col("_bin") + F.col("_rank") - F.col("_from")).alias("sequence_id"), "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", remembered: int = REMEMBERED) -> DataFrame:
     """The packed pieces of docs: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    pieces = written(token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, remembered=remembered), "pieces")
-    return pack(pieces, capacity=capacity)
+    pieces = token_pieces(docs, tokenizer, capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col, remembered=remembered)
+    pieces = written(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    return pack(pieces, capacity=capacity, order=("_row",)).drop("_row")

@@ -17,7 +17,7 @@ the anchor's hash, keep all suffixes with a common prefix together.
 4. A byte goes if a repeat of at least `length` bytes covers it and some occurrence is in a document with a smaller id.
    Spans are joined for each document, and the bytes that remain are hashed.
 
-Documents are dealt by the hash of their id and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
+Documents are dealt by the hash of their id into parts of some PART bytes, so their number grows with the table, and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
 
 Defined cases: a null or empty text has no bytes and loses none. Texts under `length` bytes stay. Null ids are neither
 sources nor cut. Rows that repeat an id are alike: none of them is a source for the others. An empty table
@@ -34,13 +34,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import n_parts, text_or_empty
+from millrace.llm.shared import n_parts, text_bytes, text_or_empty
 
 LENGTH, K = 50, 24
 NULL_ID = -(1 << 63)
 MULT = 0x9E3779B97F4A7C15
 TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BLOCK = 1 << 16
+#: Bytes of text in a part
+PART = 128 << 20
 _POWERS: list[np.ndarray] = []
 U = np.uint64
 
@@ -465,7 +467,7 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
 
 def _dealt(docs: DataFrame, parts: int | None, length: int, k: int, id_col: str, text_col: str, settle: bool) -> tuple[DataFrame, DataFrame]:
     """The documents' blobs by part, and the contexts' blobs by bucket."""
-    parts = parts or n_parts(docs.sparkSession)
+    parts = parts or max(n_parts(docs.sparkSession), -(-text_bytes(docs, text_col) // PART))
     ids = F.col(id_col).cast("long")
     rows = docs.select(ids.alias("doc_id"), F.pmod(F.hash(ids), F.lit(parts)).alias("part"), text_or_empty(text_col).alias("text"))
     blobs = "key int, blob binary"

@@ -6,15 +6,17 @@ A folder holds, for each range of ascending ids, three little-endian files:
     NAME.idx   unsigned 64-bit offsets into NAME.bin, in tokens: one more than it has documents
     NAME.ids   the documents' signed 64-bit ids, or the smallest such number for a null id
 
-The manifest is a table with a row for each file: file, first_id, n_docs, n_tokens, width, and base, the number of
+The manifest is a table with a row for each file: file, first_id, first_hash (the hash of its first text), n_docs, n_tokens, width, and base, the number of
 tokens in all files before it (a prefix sum over the files' totals), so that base plus an offset is a
 place in the whole corpus. Files are named by task attempt and only those of attempts that
 succeeded are in the manifest, so a lost executor leaves nothing wrong.
 
-Files are memory-mapped where the folder is a mounted one, else read through pyarrow's file systems.
+There is a file for each `bytes_per_file` bytes of text, so their number grows with the table. Files are memory-mapped where the folder is a mounted one,
+else read in ranges through pyarrow's file systems.
 
-Defined cases: a null or empty text is only the end id; null ids come first; repeated ids lie side by
-side ordered by text; an empty table gives an empty manifest. Other columns are not read.
+Defined cases: a null or empty text is only the end id; a long text is encoded some 8 MB at a time; null ids come first; repeated ids lie side by
+side, ordered by the hash of their text and then by the text, so that one id's rows are not one task's; an empty table gives an empty manifest. Ids
+are whole numbers. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,11 +30,11 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh_path, n_parts, text_or_empty, written
+from millrace.llm.shared import fresh_path, n_parts, text_bytes, text_or_empty, written
 from millrace.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
-MANIFEST = "file string, first_id long, n_docs long, n_tokens long, width int"
+MANIFEST = "file string, first_id long, first_hash long, n_docs long, n_tokens long, width int"
 
 
 def _writer(folder: str, tokenizer: str, end_id: int):
@@ -48,7 +50,7 @@ def _writer(folder: str, tokenizer: str, end_id: int):
                 fs.create_dir(path.rpartition("/")[0], recursive=True)
                 out = [fs.open_output_stream(f"{path}.{x}") for x in ("bin", "idx", "ids")]
                 out[1].write(np.zeros(1, "<u8").tobytes())
-                first = b.column(0)[0].as_py()
+                first = [pa.array([b.column(i)[0].as_py()], pa.int64()) for i in (0, 2)]
             out[2].write(np.asarray(b.column(0).fill_null(NULL_ID)).astype("<i8").tobytes())
             for _, ids, ends in enc.runs(b.column(1), end_id):
                 out[0].write(ids.astype(f"<u{enc.width}").tobytes())
@@ -58,27 +60,43 @@ def _writer(folder: str, tokenizer: str, end_id: int):
         if out:
             for x in out:
                 x.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": pa.array([first], pa.int64()), "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([last], pa.int64()), "width": pa.array([enc.width], pa.int32())})
+            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": first[0], "first_hash": first[1], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([last], pa.int64()), "width": pa.array([enc.width], pa.int32())})
 
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, files: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, files: int | None = None, bytes_per_file: int = 256 << 20) -> DataFrame:
     """Write the files of docs in ascending id order; returns the manifest with each file's base."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.repartitionByRange(files or n_parts(spark), "doc_id").sortWithinPartitions("doc_id", "text")
+    files = files or max(n_parts(spark), -(-text_bytes(docs, text_col) // bytes_per_file))
+    text = text_or_empty(text_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
+    rows = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", "h")
     manifest = written(rows.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), "manifest")
-    before = Window.orderBy(F.col("first_id").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
 
+class _Ranged:
+    """A file's numbers, read as they are asked for."""
+
+    def __init__(self, file, kind: str):
+        self.file, self.kind = file, np.dtype(kind)
+
+    def __len__(self) -> int:
+        return self.file.size() // self.kind.itemsize
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        start, stop, _ = part.indices(len(self))
+        return np.frombuffer(self.file.read_at(max(0, stop - start) * self.kind.itemsize, start * self.kind.itemsize), self.kind)
+
+
 def _open(name: str):
     fs, path = pyarrow.fs.FileSystem.from_uri(name)
     if isinstance(fs, pyarrow.fs.LocalFileSystem):
         return lambda ext, kind: np.memmap(f"{path}.{ext}", kind, "r")
-    return lambda ext, kind: np.frombuffer(fs.open_input_file(f"{path}.{ext}").readall(), kind)
+    return lambda ext, kind: _Ranged(fs.open_input_file(f"{path}.{ext}"), kind)
 
 
 def _reader(batches):
@@ -86,17 +104,15 @@ def _reader(batches):
         for name, base, width in zip(*(b.column(i).to_pylist() for i in range(3))):
             load = _open(name)
             ids, offsets, tokens = load("ids", "<i8"), load("idx", "<u8"), load("bin", f"<u{width}")
-            for at in range(0, len(ids), 10_000):
-                own, ends = ids[at : at + 10_000], offsets[at : at + 10_001].astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(own, mask=own == NULL_ID),
-                        pa.array(base + ends[:-1]),
-                        pa.array(np.diff(ends)),
-                        pa.array([zlib.crc32(tokens[x:y].astype("<u4")) for x, y in zip(ends[:-1], ends[1:])], pa.int64()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids_crc32"],
-                )
+            for at in range(0, len(ids), 2_000):
+                own, ends = ids[at : at + 2_000], offsets[at : at + 2_001].astype(np.int64)
+                first, last = int(ends[0]), int(ends[-1])
+                if last - first <= 1 << 24:  # one read, if it is not too long
+                    block, shift = tokens[first:last], first
+                else:
+                    block, shift = tokens, 0
+                crc = [zlib.crc32(block[x - shift : y - shift].astype("<u4")) for x, y in zip(ends[:-1].tolist(), ends[1:].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(own, mask=own == NULL_ID), pa.array(base + ends[:-1]), pa.array(np.diff(ends)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
 def read_token_files(manifest: DataFrame) -> DataFrame:

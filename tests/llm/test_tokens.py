@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -70,7 +71,7 @@ def test_token_files_round_trip(spark):
     manifest = token_files.write_token_files(df, tokenizer(FILES[0]), files=3)
     got = sorted(token_files.read_token_files(manifest).collect(), key=lambda r: r.start)
     start = 0
-    for r, (i, t) in zip(got, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))):
+    for r, (i, t) in zip(got, sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42) ^ 1 << 63))):
         own = ids(FILES[0], t or "") + (2).to_bytes(4, "little")
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(own) // 4, zlib.crc32(own))
         start += len(own) // 4
@@ -83,6 +84,20 @@ def test_token_files_round_trip(spark):
     assert token_files.read_token_files(empty).count() == 0
 
 
+def test_ids_that_are_null_or_repeat_are_many_tasks(spark):
+    df = spark.createDataFrame([(None if i % 2 else 7, f"text {i}") for i in range(400)], "doc_id long, text string")
+    manifest = token_files.write_token_files(df, tokenizer(FILES[0]), files=4)
+    got = token_files.read_token_files(manifest).collect()
+    assert manifest.count() == 4 and sorted(r.start for r in got) == [0, *np.cumsum([r.n_tokens for r in sorted(got, key=lambda r: r.start)]).tolist()[:-1]]
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 200 + [7] * 200
+
+
+def test_ranged_reads(tmp_path):
+    np.arange(10, dtype="<u2").tofile(tmp_path / "x")
+    own = token_files._Ranged(token_files.pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "x")), "<u2")
+    assert (len(own), own[2:5].tolist(), own[8:20].tolist(), own[3:3].tolist()) == (10, [2, 3, 4], [8, 9], [])
+
+
 def cuts(n, capacity):
     return list(zip(*(x.tolist() for x in packing.cuts(np.array([n]), capacity)[2:])))
 
@@ -148,3 +163,11 @@ def test_packing_of_documents(spark, monkeypatch, rows_per_task):
         assert end <= 1024
     assert len(bins) == best_fit([r.length for r in got], 1024)
     assert packing.pack_documents(df.limit(0), tokenizer(FILES[1])).count() == 0
+
+
+def test_rows_that_are_alike_take_a_slot_each(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PLAN", 0)  # the plan as a joined table
+    df = spark.createDataFrame([(None, "the same text", 1, 2)] * 300 + [(5, "x", 1, 2)] * 9, "doc_id long, text string, length int, sequence_id int")
+    got = packing.pack_documents(df, tokenizer(FILES[1])).collect()
+    slots = {(r.sequence_id, r.offset) for r in got}
+    assert len(got) == len(slots) == 309 and max(s for s, _ in slots) == best_fit([r.length for r in got], 1024) - 1
