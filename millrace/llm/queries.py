@@ -51,7 +51,7 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")  # more columns may be there
     made = spark.createDataFrame(MADE, "conv_id long, turn long, role string, text string")
     out = chat.format_turns(chat.turns_of_rows(rows.unionByName(made)))
     out = out.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
@@ -102,7 +102,7 @@ select conv_id, count(*) as n_turns,
        cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
        cast(sum(4 + length(replace({_ESC.format("role")}, chr(10), '\\n')) + 2 + length({_ESC.format("text")}) + 8) as bigint) as formatted_chars
-from c group by conv_id
+from (select *, case when conv_id is null then row_number() over () end as alone from c) group by conv_id, alone
 """
 
 _BITS = " + ".join(f"case when {rule} then {1 << k} else 0 end" for k, rule in enumerate(quality.RULES.values()))
