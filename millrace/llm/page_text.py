@@ -1,27 +1,36 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes, each with its root-to-leaf tag path (elements with their classes). For each
-path the page's text is summed: characters, punctuation marks and nodes. The text ratio of a path is its characters
-for each node, the punctuation ratio its marks for each node; the two are fused as their product, spread back to the nodes
+A page is cut into text nodes, each with its root-to-leaf tag path (elements with their classes; elements within a line don't count). For each
+path the page's text is summed: characters, punctuation marks and blocks. The text ratio of a path is its characters
+for each block, the punctuation ratio its marks for each block; the two are fused as their product, spread back to the blocks
 in page order and smoothed with a small Gaussian window. Paths whose mean smoothed value reaches a share of the
-spread (standard deviation) are content. The article is every <article> or <main> with content or, without
-one, the lowest common ancestor of all content: its other nodes (headings, short paths) and any h1 are taken in with it.
+spread (standard deviation) are content.
 
-Elements that never hold article text, and elements marked by class, id or role as menus, adverts,
-notices, comments and the like, are left out before any ratio is taken.
+The article is all text of every <article> or <main> with content. Without one, it is the lowest common ancestor of all content, so that
+headings, lists and short blocks among it stay; but blocks of another path that are links only, and those
+before the first or after the last content block whose container holds no content, are left out, an h1 excepted.
+
+Elements that never hold article text are left out before any ratio is taken. So are elements marked by class, id or role as menus, adverts,
+notices, comments and the like, unless they hold over half of the page's fused text (then the mark belongs to the layout), which doesn't hold for readers' comments.
+Words after has, no, with and the like mark nothing, nor do ids with words of their own (as of a heading), nor marks of main, html and body. Of a header
+within an article or main the headings stay.
 
 Inside a block white space becomes one space, and a line break is white space. Blocks are joined in page order by one newline.
 
 Defined cases: a null, empty or textless page gives an empty text; unclosed and crossing tags are closed as
-browsers do, roughly; a page cut off in a tag ends there. Repeated rows and null ids get a row each. An empty table gives no rows.
+browsers do, roughly; a page cut off in a tag ends there. Time and memory are in proportion to a page's length, however deep its tags are nested.
+Repeated rows and null ids get a row each. An empty table gives no rows. Other columns are not read, whatever their names; those in `keep` must not be named
+page_id, text or n_chars.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from dataclasses import dataclass
 from html import unescape
-from itertools import groupby, takewhile
+from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,120 +40,240 @@ from pyspark.sql import functions as F
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head nav header footer aside form button select option svg math dialog menu object audio video canvas figure".split())
+SKIPPED = frozenset("head nav header footer aside form button select option svg dialog menu audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-# Words of class, id or role that mark what is not article text.
-MARKS = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments comentarios consent cookie cookies disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice popup promo promoted related reply replies respond share sharing sidebar social sponsor sponsored subscribe toolbar widget complementary contentinfo navigation search".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+CONTAINERS = frozenset("body main article section div".split())
+# Words of class, id or role that mark what is not article text, beginnings of such words, and those of readers' comments.
+MARKS = frozenset("ad ads adv banner consent footer gdpr header masthead menu modal nav navbar notice popup promo promoted related social share sharing toolbar widget complementary contentinfo search".split())
+STEMS = ("advert", "breadcrumb", "cookie", "navig", "newsletter", "sidebar", "sponsor", "subscri")
+COMMENTS = frozenset("comment comments commentlist comentarios commentaires kommentare disqus replies reply respond".split())
+#: After these a word tells what a layout has, not what the element is; words that say nothing about content
+ABOUT = frozenset("has no with without is not show hide".split())
+STRUCTURE = frozenset("area bar block bottom box btn button buttons col container content global group inner item items left link links list main outer page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¡¿]")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
-MARKED = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+MARKED = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
-#: Smoothing weights, and the share of the standard deviation that a content path reaches.
-WINDOW, SHARE = (0.05, 0.25, 0.4, 0.25, 0.05), 0.25
-
-
-def _marked(attrs: str) -> tuple[bool, str]:
-    found = [m.strip("\"'").lower() for m in MARKED.findall(attrs)] if "=" in attrs else []
-    return any(w in MARKS for x in found for w in WORDS.findall(x)), ".".join(found)
-
-
-def text_nodes(html: str) -> list[tuple[int, tuple[str, ...], str]]:
-    """(block, path, decoded text) of all text outside what is left out."""
-    out, stack, block, at, end = [], [], 0, 0, len(html)  # stack: (name, label, left out)
-    while at < end:
-        m = TOKEN.search(html, at)
-        text = html[at : m.start() if m else end]
-        if text and not (stack and stack[-1][2]):
-            out.append((block, tuple(x[1] for x in stack), unescape(text)))
-        if not m:
-            break
-        at, name = m.end(), (m[2] or "").lower()
-        if not name:
-            continue
-        if name not in INLINE:
-            block += 1
-        if m[1]:
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
-            if k is not None:
-                del stack[k:]
-            continue
-        if name == "br":
-            if not (stack and stack[-1][2]):
-                out.append((block, tuple(x[1] for x in stack), "\n"))
-            continue
-        if name in VOID:
-            continue
-        if name in RAW:
-            close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
-            at = close.end() if close else end
-            continue
-        closing = "p" if name in CLOSES_P else name if name in ("li", "tr", "td", "th", "dt", "dd", "option") else None
-        if closing:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == closing:
-                    del stack[k:]
-                    break
-                if stack[k][0] not in INLINE:
-                    break
-        marked, label = _marked(m[3])
-        hidden = bool(stack and stack[-1][2]) or name in SKIPPED or (marked and name not in ("html", "body"))
-        stack.append((name, f"{name}.{label}" if label else name, hidden))
+#: Smoothing weights, the share of the standard deviation that a content path reaches, and the share of links in a block of links.
+WINDOW, SHARE, LINKED = (0.05, 0.25, 0.4, 0.25, 0.05), 0.25, 0.8
+#: What an element's mark says
+PLAIN, LAYOUT, READERS = 0, 1, 2
+
+
+def _said(word: str) -> int:
+    return READERS if word in COMMENTS else LAYOUT if word in MARKS or word.startswith(STEMS) else PLAIN
+
+
+def _marked(name: str, attrs: str) -> tuple[int, str]:
+    """What an element's attributes mark it as, and its classes, id and role."""
+    found = [(kind.lower(), value.strip("\"'").lower()) for kind, value in MARKED.findall(attrs)] if "=" in attrs else []
+    most = PLAIN
+    for kind, value in found:
+        for token in value.split():
+            words = WORDS.findall(token)
+            if not words or words[0] in ABOUT or kind == "id" and (name in HEADINGS or any(not _said(w) and w not in STRUCTURE for w in words)):
+                continue
+            most = max(most, *map(_said, words))
+    if name in ("html", "body", "main") or name == "article" and most == LAYOUT:
+        most = PLAIN
+    return most, ".".join(value for _, value in found)
+
+
+class Page:
+    """The text nodes of a page, outside of what never holds article text.
+
+    Paths are numbered: names[p] is the last element of path p, above[p] is the path it is in. Boxes are the containers themselves, of which
+    several may have one path.
+    """
+
+    def __init__(self, html: str):
+        self.names, self.above = [""], [-1]
+        self.boxes: list[tuple[str, int]] = [("", -1)]  # name, and the box around it
+        self.marks: list[tuple[int, int]] = [(PLAIN, -1)]  # what a marked element is, and the marked one around it
+        self.nodes: list[tuple[int, int, int, int, bool, str]] = []  # block, path, box, mark, within a link, text
+        self.held = [False]  # the marked element holds an h1, article or main
+        self._numbers: dict[tuple[int, str], int] = {}
+        self._read(html)
+
+    def _path(self, above: int, name: str, label: str) -> int:
+        key = (above, f"{name}.{label}")
+        if key not in self._numbers:
+            self._numbers[key] = len(self.names)
+            self.names.append(name)
+            self.above.append(above)
+        return self._numbers[key]
+
+    def _read(self, html: str) -> None:
+        # stack: name, path, box, mark, left out, inside an article or main, links around
+        stack: list[tuple] = [("", 0, 0, 0, False, False, 0)]
+        opened: Counter[str] = Counter()
+        block, at, end = 0, 0, len(html)
+
+        def close(k: int) -> None:
+            for x in stack[k:]:
+                opened[x[0]] -= 1
+            del stack[k:]
+
+        def add(text: str) -> None:
+            _, path, box, mark, out, _, links = stack[-1]
+            if not out:
+                self.nodes.append((block, path, box, mark, links > 0, text))
+
+        while at < end:
+            m = TOKEN.search(html, at)
+            text = html[at : m.start() if m else end]
+            if text:
+                add(unescape(text))
+            if not m:
+                break
+            at, name = m.end(), (m[2] or "").lower()
+            if not name:
+                continue
+            if name not in INLINE:
+                block += 1
+            if m[1]:
+                if opened[name]:
+                    close(next(i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name))
+                continue
+            if name == "br":
+                add("\n")
+                continue
+            if name in VOID:
+                continue
+            if name in RAW:
+                found = re.compile(rf"</{name}\b[^>]*>?", re.I).search(html, at)
+                at = found.end() if found else end
+                continue
+            closing = "p" if name in CLOSES_P else name if name in ("li", "tr", "td", "th", "dt", "dd", "option") else None
+            if closing and opened[closing]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == closing:
+                        close(k)
+                        break
+                    if stack[k][0] not in INLINE:
+                        break
+            _, path, box, mark, out, inside, links = stack[-1]
+            kind, label = _marked(name, m[3])
+            if kind:
+                self.marks.append((kind, mark))
+                self.held.append(False)
+                mark = len(self.marks) - 1
+            elif name in ("h1", "article", "main"):
+                around = mark
+                while around > 0 and not self.held[around]:
+                    self.held[around] = True
+                    around = self.marks[around][1]
+            if name in HEADINGS and out == "header" and inside:
+                out = False
+            elif name in SKIPPED and not out:
+                out = "header" if name == "header" else True
+            if name not in INLINE:
+                path = self._path(path, name, label)
+            if name in CONTAINERS:
+                self.boxes.append((name, box))
+                box = len(self.boxes) - 1
+            opened[name] += 1
+            stack.append((name, path, box, mark, out, inside or name in ("article", "main"), links + (name == "a")))
+
+
+@dataclass
+class Block:
+    path: int
+    box: int
+    mark: int
+    linked: float  # share of its text within links
+    text: str
+
+
+def _blocks(page: Page) -> list[Block]:
+    """The blocks with text."""
+    out = []
+    for _, own in groupby(page.nodes, key=lambda n: n[0]):
+        own = list(own)
+        text = " ".join("".join(n[5] for n in own).split())
+        if text:
+            _, path, box, mark, _, _ = max(own, key=lambda n: len(n[5].strip()))
+            size = [(len(n[5].strip()), n[4]) for n in own]
+            out.append(Block(path, box, mark, sum(n for n, link in size if link) / max(1, sum(n for n, _ in size)), text))
     return out
 
 
-def content_paths(nodes: list[tuple[int, tuple[str, ...], str]]) -> set[tuple[str, ...]]:
+def _unmarked(page: Page, blocks: list[Block]) -> list[Block]:
+    """Blocks outside of elements that their marks leave out."""
+    fused = [0.0] * len(page.marks)
+    for b in blocks:
+        fused[b.mark] += len(b.text) * (1 + len(PUNCTUATION.findall(b.text)))
+    total = sum(fused)
+    for mark in range(len(fused) - 1, 0, -1):  # the inner ones come later
+        fused[max(0, page.marks[mark][1])] += fused[mark]
+    gone = [False] * len(page.marks)
+    for mark in range(1, len(gone)):
+        kind, around = page.marks[mark]
+        most = fused[mark] > total / 2 and (kind == LAYOUT or page.held[mark])
+        gone[mark] = not most or gone[max(0, around)]
+    return [b for b in blocks if not gone[b.mark]]
+
+
+def content_paths(blocks: list[Block]) -> set[int]:
     """The paths of blocks that hold the main text."""
-    sums: dict[tuple, list[int]] = {}
-    for _, path, text in nodes:
-        s = sums.setdefault(path, [0, 0, 0])
-        s[0] += len(text)
-        s[1] += len(PUNCTUATION.findall(text))
+    sums: dict[int, list[int]] = {}
+    for b in blocks:
+        s = sums.setdefault(b.path, [0, 0, 0])
+        s[0] += len(b.text)
+        s[1] += len(PUNCTUATION.findall(b.text))
         s[2] += 1
-    fused = [sums[p][0] / sums[p][2] * (1 + sums[p][1] / sums[p][2]) for _, p, _ in nodes]
+    fused = [chars / n * (1 + marks / n) for chars, marks, n in (sums[b.path] for b in blocks)]
     half = len(WINDOW) // 2
     smooth = [sum(w * fused[min(max(i + k - half, 0), len(fused) - 1)] for k, w in enumerate(WINDOW)) for i in range(len(fused))]
     mean = sum(smooth) / len(smooth)
     least = SHARE * math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth))
-    total: dict[tuple, float] = {}
-    for (_, p, _), x in zip(nodes, smooth):
-        total[p] = total.get(p, 0) + x
+    total: dict[int, float] = {}
+    for b, x in zip(blocks, smooth):
+        total[b.path] = total.get(b.path, 0) + x
     return {p for p, x in total.items() if x / sums[p][2] >= least and sums[p][1]} or {max(sums, key=lambda p: sums[p][0])}
 
 
-def _container(path: tuple[str, ...]) -> tuple[str, ...]:
-    """A path up to its last sectioning element."""
-    last = max((i for i, x in enumerate(path) if x.split(".")[0] in ("body", "main", "article", "section", "div")), default=-1)
-    return path[: last + 1]
+def _article(page: Page, blocks: list[Block]) -> list[str]:
+    picked = content_paths(blocks)
+    content = [b.path in picked for b in blocks]
+    # of each box: the outermost article or main it is in, and how many content blocks are in it (boxes come after those around them)
+    explicit, below = [-1], [0] * len(page.boxes)
+    for k, (name, around) in enumerate(page.boxes[1:], 1):
+        explicit.append(explicit[around] if explicit[around] >= 0 else k if name in ("article", "main") else -1)
+    for b, is_content in zip(blocks, content):
+        below[b.box] += is_content
+    for k in range(len(below) - 1, 0, -1):
+        below[page.boxes[k][1]] += below[k]
+    tops = {explicit[b.box] for b, is_content in zip(blocks, content) if is_content and explicit[b.box] >= 0}
+    if tops:
+        return [b.text for b in blocks if explicit[b.box] in tops]
+    top = blocks[content.index(True)].box
+    while below[top] < sum(content):
+        top = page.boxes[top][1]
+    inside, title = [top == 0], [False]
+    for k, (_, around) in enumerate(page.boxes[1:], 1):
+        inside.append(inside[around] or k == top)
+    for p in range(1, len(page.names)):
+        title.append(title[page.above[p]] or page.names[p] == "h1")
+    first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    among = lambda k, b: inside[b.box] and b.linked < LINKED and (first < k < last or below[b.box] > 0)
+    return [b.text for k, b in enumerate(blocks) if content[k] or title[b.path] or among(k, b)]
 
 
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    blocks = []
-    for _, own in groupby(text_nodes(html), key=lambda n: n[0]):
-        own = list(own)
-        text = " ".join("".join(n[2] for n in own).split())
-        if text:
-            path = tuple(x for x in max(own, key=lambda n: len(n[2].strip()))[1] if x.split(".")[0] not in INLINE)
-            blocks.append((0, path, text))
-    if not blocks:
-        return ""
-    picked, held = content_paths(blocks), {}
-    for _, path, text in blocks:
-        if path in picked:
-            held[_container(path)] = held.get(_container(path), 0) + len(text)
-    explicit = {c[: k + 1] for c in held for k in [next((i for i, x in enumerate(c) if x.split(".")[0] in ("article", "main")), -1)] if k >= 0}
-    tops = explicit or {tuple(x[0] for x in takewhile(lambda x: len(set(x)) == 1, zip(*held)))}
-    return "\n".join(t for _, p, t in blocks if any(p[: len(top)] == top for top in tops) or not explicit and any(x.split(".")[0] == "h1" for x in p))
+    page = Page(html or "")
+    blocks = _unmarked(page, _blocks(page))
+    return "\n".join(_article(page, blocks)) if blocks else ""
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """page_id, the columns in keep, text and n_chars."""
-    rows = pages.select(F.col(id_col).alias("page_id"), *keep, F.col(html_col).cast("string").alias("_html"))
+    rows = pages.select(F.col(html_col).cast("string").alias("_html"), F.col(id_col).alias("page_id"), *keep)
 
     def run(batches):
         for b in batches:
-            out = [main_text(h.as_py()) for h in b.column(b.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*b.schema.names[:-1], "text", "n_chars"])
+            out = [main_text(h.as_py()) for h in b.column(0)]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(out, pa.string()), pa.array([len(x) for x in out], pa.int64())], [*b.schema.names[1:], "text", "n_chars"])
 
     return rows.mapInArrow(run, rows.drop("_html").schema.add("text", "string").add("n_chars", "long"))

@@ -1,5 +1,6 @@
 import json
 import re
+import time
 from html import unescape
 
 import pytest
@@ -31,9 +32,10 @@ def test_layouts_are_told_by_their_paths(spark):
         ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": None, "x": 1}], "id": 7}, "messages", [("user", "q"), ("assistant", "")]),
         ({"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, "sharegpt", [("user", "q"), ("assistant", "a")]),
         ({"instruction": "do", "output": "done", "extra": {"a": 1}}, "instruction", [("user", "do"), ("assistant", "done")]),
-        ({"instruction": "do", "input": "this", "output": "done"}, "instruction_input", [("user", "do\nthis"), ("assistant", "done")]),
+        ({"instruction": "do", "input": "this", "output": "done"}, "instruction", [("user", "do\nthis"), ("assistant", "done")]),
+        ({"instruction": "do", "input": "", "output": None, "system": None}, "instruction", [("user", "do"), ("assistant", "")]),
         ({"prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
-        ({"system": "s", "prompt": "p", "response": "c"}, "system_prompt_response", [("system", "s"), ("user", "p"), ("assistant", "c")]),
+        ({"system": "s", "prompt": "p", "response": "c"}, "prompt_response", [("system", "s"), ("user", "p"), ("assistant", "c")]),
         ({"question": "p", "answer": "c"}, "question_answer", [("user", "p"), ("assistant", "c")]),
         ({"something": "else"}, None, None),
     ]
@@ -43,7 +45,7 @@ def test_layouts_are_told_by_their_paths(spark):
         assert got[i].layout == layout
         assert (None if got[i].turns is None else [(t.role, t.text) for t in got[i].turns]) == turns
     assert got[100].turns is None and got[101].layout_fingerprint is None
-    assert len({got[i].layout_fingerprint for i in range(7)}) == 7
+    assert len({got[i].layout_fingerprint for i in range(9)}) == 8  # an empty input is no input
 
 
 def test_layouts_with_nulls_in_the_first_turn(spark):
@@ -55,7 +57,13 @@ def test_layouts_with_nulls_in_the_first_turn(spark):
         ({"messages": [None, a]}, "messages", [("", ""), ("assistant", "a")]),
         ({"conversations": [{"from": None, "value": None}, {"from": "gpt", "value": "a"}]}, "sharegpt", [("", ""), ("assistant", "a")]),
         ({"messages": [{"x": 1}]}, None, None),
-        ({"messages": []}, None, None),
+        ({"messages": []}, "messages", []),
+        ({"messages": [a], "prompt": "p", "output": "o"}, "messages", [("assistant", "a")]),
+        ({"messages": None, "prompt": "p", "completion": "c"}, "prompt_completion", [("user", "p"), ("assistant", "c")]),
+        ({"messages": "text", "question": "p", "answer": None}, "question_answer", [("user", "p"), ("assistant", "")]),
+        ({"turns": [{"role": "human", "text": "q"}]}, "turn_rows", [("human", "q")]),
+        ({"messages": [{"role": "human", "content": "q" * 100_000}]}, "messages", [("user", "q" * 100_000)]),
+        ({"prompt": "p", "completion": "c", "answer": "a"}, None, None),
     ]
     rows = [(i, json.dumps(r)) for i, (r, _, _) in enumerate(records)]
     got = {r.i: r for r in chat.turns_of_json(spark.createDataFrame(rows, "i int, raw string"), "raw").collect()}
@@ -65,15 +73,32 @@ def test_layouts_with_nulls_in_the_first_turn(spark):
 
 
 def test_turn_rows(spark):
-    rows = [(1, 1, "assistant", "b", "x"), (1, 0, "user", None, "x"), (None, 0, None, "t", "x"), (1, 1, "assistant", "b", "x")]
+    rows = [(1, 1, "assistant", "b", "x"), (1, 0, "gpt", None, "x"), (None, 0, None, "t", "x"), (None, 0, None, "t", "x"), (1, 1, "assistant", "b", "x"), (1, None, "user", "ü" * 300_000, "x"), (2, 1, "b", "2", "x"), (2, 1, "a", "3", "x"), (2, 1, "a", "1", "x")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string")
-    got = {r.conv_id: [(t.role, t.text) for t in r.turns] for r in chat.turns_of_rows(df).collect()}
-    assert got == {1: [("user", ""), ("assistant", "b"), ("assistant", "b")], None: [("", "t")]}
+    got = sorted(((r.conv_id or 0, [(t.role, t.text) for t in r.turns], r.layout) for r in chat.turns_of_rows(df).collect()), key=str)
+    assert got == [
+        (0, [("", "t")], "turn_rows"), (0, [("", "t")], "turn_rows"),
+        (1, [("user", "ü" * 300_000), ("gpt", ""), ("assistant", "b"), ("assistant", "b")], "turn_rows"),
+        (2, [("a", "1"), ("a", "3"), ("b", "2")], "turn_rows"),
+    ]
     assert chat.format_turns(chat.turns_of_rows(df.limit(0))).count() == 0
     with pytest.raises(ValueError):
         chat.turns_of_rows(df.drop("turn"))
 
 
+def test_turn_rows_of_another_layout(spark):
+    df = spark.createDataFrame([("c", 2, "gpt", "a"), ("c", 1, "human", "q")], "id string, at int, from string, value string")
+    (r,) = chat.turns_of_rows(df, by="id", order="at", array="conversations").collect()
+    assert (r.conv_id, r.layout, [(t.role, t.text) for t in r.turns]) == ("c", "sharegpt", [("user", "q"), ("assistant", "a")])
+
+
+def test_the_query_takes_its_mapping_by_fingerprint(spark, monkeypatch):
+    monkeypatch.setattr(chat, "LAYOUTS", {k: v for k, v in chat.LAYOUTS.items() if k != "turn_rows"} | {"other": {"turns[].who": "role", "turns[].role": "x", "turns[].text": "text"}})
+    rows = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    (r,) = chat.turns_of_rows(rows).collect()
+    assert r.layout is None and r.turns is None
+
+
 def plain_article(html):
     found = re.search(r"<article>(.*?)(?:</article>|\Z)", html, re.S)
     parts = re.split(r"</?(?:p|h1)>", found[1]) if found else []
@@ -116,6 +141,39 @@ def test_content_in_several_containers():
     assert page_text.main_text(two).split("\n") == ["Some text, with marks.", "And more of it, indeed."]
 
 
+P = "<p>Some text, with marks.</p>"
+Q = "<p>And a good deal more of it, indeed, with marks; and so on.</p>"
+BOTH = ["Some text, with marks.", "And a good deal more of it, indeed, with marks; and so on."]
+LAYOUTS = {
+    "<body><main class='content no-sidebar'>{P}{Q}</main></body>": BOTH,
+    "<body><div class='wrap with-nav has-sidebar'>{P}{Q}</div><div class=sidebar>{P}</div></body>": BOTH,
+    "<body><div class=widget-area>{P}{Q}{Q}</div><div>x</div></body>": [*BOTH, BOTH[1]],
+    "<body><article><section id=related-work>{P}</section><h2 id=search-results>Found, at last</h2>{Q}</article></body>": [BOTH[0], "Found, at last", BOTH[1]],
+    "<body><article data-id=menu data-role='nav'>{P}{Q}</article></body>": BOTH,
+    "<body><article>{P}<figure><img src=x><figcaption>What it shows</figcaption></figure><math><mi>x</mi></math>{Q}</article></body>": [BOTH[0], "What it shows", "x", BOTH[1]],
+    "<body><article>{P}{Q}</article><ol class=commentlist><li>{Q}{Q}{Q}{Q}{Q}{Q}</li></ol></body>": BOTH,
+    "<body><div>{P}{Q}</div><section id=comments>{Q}{Q}{Q}{Q}{Q}{Q}</section></body>": BOTH,
+    "<body><article>{P}{Q}<article class='comment'>{Q}{Q}{Q}</article></article></body>": BOTH,
+    "<body><header><h1>Site</h1></header><article><header><h1>Title</h1><p>By one, on a day.</p></header>{P}{Q}</article></body>": ["Title", *BOTH],
+    "<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{P}<ul><li>one</li><li>two</li></ul>{Q}</div><div>Imprint</div></body>": [BOTH[0], "one", "two", BOTH[1]],
+    "<body><table><tr><td><a href=1>Home</a></td><td>{P}{Q}</td></tr></table></body>": BOTH,
+    "<body><section id=intro><h2>One</h2>{P}</section><div>a break</div><section id=methods><h2>Two</h2>{Q}</section></body>": ["One", BOTH[0], "a break", "Two", BOTH[1]],
+    "<body><div id=cookie-banner>{P}</div><div class='ad-slot'>{P}</div><div class=newsletterBox>{P}</div><div>{P}{Q}{Q}</div></body>": [*BOTH, BOTH[1]],
+}
+
+
+@pytest.mark.parametrize("page", LAYOUTS)
+def test_layouts_of_pages(page):
+    assert page_text.main_text(page.replace("{P}", P).replace("{Q}", Q)).split("\n") == LAYOUTS[page]
+
+
+@pytest.mark.parametrize("unit", ["<div>text, ", "<b>text, ", "<p><b>", "<a href=x>", "</p></b>", "<li><b>x", "<div class=ad>x", "<h1>x"])
+def test_time_grows_with_the_length(unit):
+    began = time.process_time()
+    page_text.main_text(unit * 8000)
+    assert time.process_time() - began < 2
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.sampled_from(["<p>", "</p>", "<b>", "</div>", "<div class=ad>", "<", ">", '"', "<!--", "-->", "<script>", "text, ", "&amp;", "<a href='"])).map("".join))
 def test_any_page(html):
