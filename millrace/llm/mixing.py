@@ -18,7 +18,8 @@ residuals. A fit that has not settled after `rounds` warns, and the report says
 
 Classifier: one row of each labelled id, one of each text of a domain, the `fit_rows` with the lowest hash of their id.
 Of the features (words, the share in tenths of each word shape, the share of distinct words) those `features` that tell the domains best by the G
-statistic come to the driver, and an L1 penalty keeps those that explain PENALTY rows that nothing else does: single copied texts thus bring no words in.
+statistic come to the driver, and an L1 penalty keeps those that explain PENALTY rows that nothing else does (single copied texts
+thus bring no words in), whose weights are then fitted again.
 These bounds hold at any size; all else covers all documents. Tokens are the words of a text.
 
 Defined cases: a null or empty text has no tokens, the sample's shares as posteriors, and takes the same rate rule; a long text is
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import row_struct, text_or_empty, text_runs, written
 
-FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, EPOCHS = 6000, 1024, 6, 2.0, 300
+FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, AGAIN, EPOCHS = 6000, 1024, 6, 1.0, 0.3, 300
 #: domain: condition on the labels table
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 MARKS = ".,;:!?\"'()"
@@ -122,21 +123,13 @@ class Classifier:
         return n, np.where(n[:, None] > 0, e / e.sum(axis=1, keepdims=True), self.prior)
 
 
-def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], names: list[str], *, penalty: float = PENALTY, epochs: int = EPOCHS) -> Classifier:
-    """rows: (domain's number, its features' numbers). Proximal gradient with momentum; the same rows give the same classifier."""
-    k, n = len(domains), len(rows)
-    prior = (np.bincount([y for y, _ in rows], minlength=k) + 1) / (n + k) if rows else np.full(k, 1 / k)
-    model = Classifier(domains, prior, [], np.zeros((0, k)), np.log(prior))
-    if not rows or not names:
-        return model
-    x = np.zeros((n, len(names)), np.float32)
-    for i, (_, own) in enumerate(rows):
-        x[i, own] = 1
-    target = np.eye(k, dtype=np.float32)[[y for y, _ in rows]]
+def _proximal(x: np.ndarray, target: np.ndarray, base: np.ndarray, penalty: float, epochs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and intercepts of the logistic regression with an L1 penalty, by proximal gradient with momentum."""
+    n = len(x)
     step = np.float32(1 / (0.5 * (np.linalg.norm(x, 2) ** 2 / n + 1)))
     least = np.float32(penalty / n) * step
-    w = before = look = np.zeros((len(names), k), np.float32)
-    b = b_look = np.log(prior).astype(np.float32)
+    w = before = look = np.zeros((x.shape[1], target.shape[1]), np.float32)
+    b = b_look = base.astype(np.float32)
     t = 1.0
     for _ in range(epochs):
         z = x @ look + b_look
@@ -151,8 +144,28 @@ def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], names
         before, b, t = w, b_new, t_new
         if moved < 1e-4:
             break
-    used = np.flatnonzero(np.abs(w).max(axis=1) > 0)
-    return Classifier(domains, prior, [names[j] for j in used], w[used].astype(float), b.astype(float))
+    return w, b
+
+
+def fit_classifier(rows: list[tuple[int, np.ndarray]], domains: list[str], names: list[str], *, penalty: float = PENALTY, again: float = AGAIN, epochs: int = EPOCHS) -> Classifier:
+    """rows: (domain's number, its features' numbers). The same rows give the same classifier.
+
+    Fitted twice: the features that the first penalty leaves are fitted again with a smaller one, as the first makes their weights too small.
+    """
+    k, n = len(domains), len(rows)
+    prior = (np.bincount([y for y, _ in rows], minlength=k) + 1) / (n + k) if rows else np.full(k, 1 / k)
+    x = np.zeros((n, len(names)), np.float32)
+    for i, (_, own) in enumerate(rows):
+        x[i, own] = 1
+    target = np.eye(k, dtype=np.float32)[np.array([y for y, _ in rows], int)]
+    used, b, w = np.arange(len(names)), np.log(prior), np.zeros((0, k))
+    for strength in (penalty, again):
+        if not n or not len(used):
+            break
+        w, b = _proximal(x[:, used], target, np.log(prior), strength, epochs)
+        stay = np.abs(w).max(axis=1) > 0
+        used, w = used[stay], w[stay]
+    return Classifier(domains, prior, [names[j] for j in used], w.astype(float), b.astype(float))
 
 
 def _named_features(batches):
