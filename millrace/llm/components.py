@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import written
+from millrace.llm.shared import drop, write
 
 
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
@@ -22,16 +22,17 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Each round is written to the shared folder, and only two numbers of it come to the driver. Edges
+    Each round is written to the shared folder (and the one before removed), and only two numbers of it come to the driver. Edges
     with a null end and self-loops are left out. An empty table gives no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
-    now, before = written(now, "edges"), None
+    (now, path), before = write(now, "edges"), None
     while True:
         state = now.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v"))).distinct()
         if state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = state
-        now = written(_stars(_stars(now, small=False), small=True), "edges")
+        before, last = state, path
+        now, path = write(_stars(_stars(now, small=False), small=True), "edges")
+        drop(now.sparkSession, last)
