@@ -28,10 +28,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import row_struct, text_or_empty
+from millrace.llm.shared import row_struct, text_or_empty, written
 
 UND, SHARP = "und", 5.0
 LEVEL, BLOCK, DICTIONARY, TOTAL, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 64 << 20, 400, 0.002
+#: Languages whose counts are broadcast, and tasks that a language's rows are dealt to where there are more
+BROADCAST, DEALS = 10_000, 256
 #: Up to U+02FF there are no marks, and \w has these numbers that are no letters
 _BEYOND = re.compile("[̀-\U0010ffff]")
 _PLAIN = re.compile(r"[\W\d_²³¹¼½¾]+")
@@ -49,9 +51,14 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     """language: dictionary bytes, from a bounded sample of rows with a text and a label."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
-    counts = rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n"))
+    counts = written(rows.groupBy("lang").agg(F.greatest(F.approx_count_distinct("h"), F.lit(1)).alias("n")), "languages")
+    if counts.count() <= BROADCAST:
+        counted = rows.join(F.broadcast(counts), "lang")
+    else:  # each language's count goes to so many tasks that a frequent one's rows are dealt
+        deal = F.pmod("h", F.lit(DEALS)).cast("int")
+        counted = rows.withColumn("deal", deal).join(counts.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(DEALS - 1)))), ["lang", "deal"])
     # a threshold that some 4 * sample hashes of the language stay under: no language's rows meet in one task
-    low = rows.join(counts, "lang").where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= 4 * sample / F.col("n"))
+    low = counted.where(F.shiftrightunsigned("h", 11) / F.lit(float(1 << 53)) <= 4 * sample / F.col("n"))
     # of each a stretch four times its share, as letters are fewer and some texts short
     size = F.ceil(4 * dictionary / F.least("n", F.lit(sample))).cast("int")
     place = F.pmod(F.xxhash64("h"), F.greatest(F.length("text") - size + 1, F.lit(1))).cast("int")

@@ -222,3 +222,26 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
         spark.createDataFrame([(1, 1, 0)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
         assert {r.doc_id for r in got} <= {1, 3, None} and bool(got) == bool(own)  # rates below one leave some out
+
+
+def test_stages_judge_rows_one_by_one(spark, tmp_path):
+    """Repeated and null ids, ties, long texts and further columns with the names that the stages use themselves."""
+    base = [f"word{i} of this text" for i in range(40)]
+    near = [" ".join([*base[:k], "other", *base[k + 1 :]]) for k in (0, 39)]
+    texts = [(1, " ".join(base)), (5, near[0]), (5, "the unique text of a row that shares its id with another one, and so it stays"), (None, near[1]), (None, "a text without an id that is like no other one"), (2, "twice the same text here"), (2, "twice the same text here"), (3, "Twice the same text here"), (4, "long " * 60_000 + "end"), (6, None), (7, ""), (8, "½ 12")]
+    names = "accepted score row rate copies text_hash kept digest h _row sequence_id offset length _text_hash _keep_digest chance".split()
+    rows = [(i, t, "en", "s", len(t or ""), *(f"{n}{k}" for n in names)) for k, (i, t) in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    own = {str(tuple(r)) for r in docs.collect()}
+    want = {"language": texts[:9], "exact_dedup": [*texts[:5], *texts[6:9]], "near_dedup": [texts[0], texts[2], texts[4], texts[5], texts[8]]}
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        got = docs.collect()
+        assert all(str(tuple(r)) in own for r in got) and sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want[name])), name
+    kept = corpus_pipeline.written(corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)), "mixing")
+    assert kept.columns == docs.columns and {str(tuple(r)) for r in kept.collect()} <= own
+    packed = corpus_pipeline.packing_stage(spark, docs, str(tmp_path))
+    assert sorted({str(r.doc_id) for r in packed.collect()}) == sorted({str(i) for i, _ in want["near_dedup"]})
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0

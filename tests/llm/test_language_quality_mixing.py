@@ -81,7 +81,9 @@ def test_language_edge_rows(spark):
     assert language.identify(df.limit(0), model).count() == 0
 
 
-def test_many_languages_and_a_repeated_id(spark):
+@pytest.mark.parametrize("broadcast", [10, 10_000])
+def test_many_languages_and_a_repeated_id(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(language, "BROADCAST", broadcast)
     rows = [(i, f"own{i} words of tongue{i} " * 3, f"l{i:03}") for i in range(300)] + [(7, "the same row again and again", "l300")] * 3000
     model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"), sample=20)
     assert len(model) == 301 and all(0 < len(d) <= language.DICTIONARY for d in model.values())
