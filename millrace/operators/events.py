@@ -16,3 +16,8 @@ def sessions(events: DataFrame, by: str, at: str, gap: str) -> DataFrame:
 
 def tumbling(events: DataFrame, at: str, width: str, *aggs) -> DataFrame:
     return events.groupBy(F.window(at, width).alias("_w")).agg(*aggs).select(F.col("_w.start").alias("started"), "*").drop("_w")
+
+
+def sliding(events: DataFrame, at: str, width: str, step: str, *aggs) -> DataFrame:
+    """Windows of a width that begin every step, so that an event is in several."""
+    return events.groupBy(F.window(at, width, step).alias("_w")).agg(*aggs).select(F.col("_w.start").alias("started"), "*").drop("_w")

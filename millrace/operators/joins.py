@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, TimestampNTZType
 
 
 def as_of(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: str, value: str) -> DataFrame:
@@ -19,14 +20,23 @@ def as_of(left: DataFrame, right: DataFrame, by: str, left_on: str, right_on: st
     return found.select("_row.*", F.col("_last").alias(value))
 
 
+def _clock(column: Column, kind: DataType) -> Column:
+    """Whole seconds since 1970 on a clock without jumps: that of a time without zone, or UTC."""
+    if isinstance(kind, TimestampNTZType):
+        return F.unix_date(column.cast("date")).cast("long") * 86_400 + F.hour(column) * 3600 + F.minute(column) * 60 + F.second(column)
+    return F.floor(F.unix_micros(column.cast("timestamp")) / 1_000_000)
+
+
 def within(left: DataFrame, right: DataFrame, left_on: str, right_on: str, seconds: int, keys: list[str]) -> DataFrame:
     """Pairs of equal keys whose right time is at most so many seconds after the left one.
 
     Times go into bins of that width, so that the join is an equality join on key and bin, of two bins for each left row.
+    Both times are of one type; those without a zone are compared as they stand, in any session's zone.
     """
-    width = F.lit(seconds).cast("long")
-    at = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    slot = lambda c: F.floor(at(c) / (width * 1_000_000))
-    a = left.withColumn("_bin", F.explode(F.array(slot(left_on), slot(left_on) + 1)))
-    b = right.withColumn("_bin", slot(right_on))
-    return a.join(b, [*keys, "_bin"]).where((at(right_on) >= at(left_on)) & (at(right_on) - at(left_on) <= width * 1_000_000)).drop("_bin")
+    if left.schema[left_on].dataType != right.schema[right_on].dataType:
+        raise TypeError(f"{left_on} and {right_on} are of different types")
+    slot = lambda d, c: F.floor(_clock(F.col(c), d.schema[c].dataType) / seconds)
+    a = left.withColumn("_bin", F.explode(F.array(slot(left, left_on), slot(left, left_on) + 1)))
+    b = right.withColumn("_bin", slot(right, right_on))
+    until = F.col(left_on) + F.expr(f"interval '{int(seconds)}' second")
+    return a.join(b, [*keys, "_bin"]).where((F.col(right_on) >= F.col(left_on)) & (F.col(right_on) <= until)).drop("_bin")

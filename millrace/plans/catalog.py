@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import cosine
 from millrace.operators import events, joins
+from millrace.plans import more
 from millrace.sources.tables import table
 
 
@@ -156,4 +157,5 @@ QUERIES = {
            select vec_id, round(list_cosine_similarity(cast(embedding as double[]), cast(first as double[])), 4) as cosine from embeddings join f using (label)""",
     ),
     "repeated_lines": (repeated_lines, "select md5(line) as line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by 1 having n > 1"),
+    **more.QUERIES,
 }
