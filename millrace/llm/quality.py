@@ -8,8 +8,8 @@ bit pattern (at most 2 ** rules rows, summed before the shuffle) and answers fro
 All conditions are on whole numbers, so any engine gives the same verdict. Words are runs of other bytes than
 space and \\x09-\\x0D. Repeated 3-word windows are told by 64-bit hashes of the words within one text.
 
-Defined cases: a null or empty text has no words and fails `few_words`. Repeated rows and null ids get a row
-each. An empty table gives no rows (and ablations of zeros). Other columns are not read.
+Defined cases: a null or empty text has no words and fails `few_words`; a long text is measured whole, and needs some ten times its size in its task. Repeated rows and null ids get a row
+each. An empty table gives no rows (and ablations of zeros). Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations

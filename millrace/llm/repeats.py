@@ -19,7 +19,7 @@ the anchor's hash, keep all suffixes with a common prefix together.
 
 Documents are dealt by the hash of their id into parts of some PART bytes, so their number grows with the table, and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
 
-Defined cases: a null or empty text has no bytes and loses none. Texts under `length` bytes stay. Null ids are neither
+Defined cases: a null or empty text has no bytes and loses none. Texts under `length` bytes stay. Ids are whole numbers; null ids are neither
 sources nor cut. Rows that repeat an id are alike: none of them is a source for the others. An empty table
 gives no rows. Other columns are not read.
 """

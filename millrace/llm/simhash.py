@@ -16,7 +16,8 @@ each of its components rather than all its pairs.
 
 Copies share a fingerprint and are one row from the start, so they meet in no bucket.
 
-Defined cases: a null or empty text has fingerprint zero and links like any other. A row with a null
+Defined cases: a null or empty text has fingerprint zero and links like any other; a long text is hashed whole, some 65,000 shingles at a time. Ids may be of any
+type with an order. A row with a null
 id gets a fingerprint and the component of the others that link to it (null if all ids are null).
 Repeated ids each get a row. An empty table gives no rows. Other columns are not read.
 """
