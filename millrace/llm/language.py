@@ -27,8 +27,9 @@ import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.llm.shared import row_struct, text_or_empty, written
+from millrace.llm.shared import row_struct, text_or_empty, texts_of, written
 
 UND, SHARP = "und", 5.0
 LEVEL, BLOCK, DICTIONARY, TOTAL, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 64 << 20, 400, 0.002
@@ -109,15 +110,17 @@ def decide(got: list[int], langs: list[str], min_margin: float = MIN_MARGIN) ->
 
 def identify(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id", text_col: str = "text", level: int = LEVEL, block: int = BLOCK, min_margin: float = MIN_MARGIN, keep_row: bool = False) -> DataFrame:
     """doc_id, lang_pred, score and accepted, and the whole row as `row` if that is to be kept. The model's size is bounded by `learn`."""
-    kept = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).alias("doc_id"), *([row_struct(docs)] if keep_row else []))
-    langs = sorted(model)
+    text = row_struct(docs) if keep_row else text_or_empty(text_col).alias("text")
+    rows, langs, columns = docs.select(F.col(id_col).alias("doc_id"), text), sorted(model), docs.columns
 
     def run(batches):
         compressors = _compressors(model, level)
         for b in batches:
-            out = [decide(sizes(t.as_py(), compressors, block), langs, min_margin) if langs else (UND, 0.0, False) for t in b.column(0)]
+            texts = texts_of(b, columns, text_col) if keep_row else b.column(1)
+            out = [decide(sizes(t.as_py(), compressors, block), langs, min_margin) if langs else (UND, 0.0, False) for t in texts]
             new = [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], *new], [*b.schema.names[1:], "lang_pred", "score", "accepted"])
+            own = b.schema.names if keep_row else ["doc_id"]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], [*own, "lang_pred", "score", "accepted"])
 
-    schema = kept.drop("text").schema.add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return kept.mapInArrow(run, schema)
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
+    return rows.mapInArrow(run, schema)

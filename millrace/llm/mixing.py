@@ -40,8 +40,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from millrace.llm.shared import row_struct, text_or_empty, text_runs, written
+from millrace.llm.shared import row_struct, text_or_empty, text_runs, texts_of, written
 
 FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, AGAIN, EPOCHS = 6000, 1024, 6, 1.0, 0.3, 300
 #: domain: condition on the labels table
@@ -215,17 +216,20 @@ def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_co
     sent = docs.sparkSession.sparkContext.broadcast(model)
     cols = [f"p_{d}" for d in model.domains]
     chance = F.pmod(F.xxhash64(F.col(id_col), text_or_empty(text_col), F.lit(seed)), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    rows = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).alias("doc_id"), chance.alias("chance"), *([row_struct(docs)] if keep_row else []))
+    text = row_struct(docs) if keep_row else text_or_empty(text_col).alias("text")
+    rows, columns = docs.select(F.col(id_col).alias("doc_id"), chance.alias("chance"), text), docs.columns
 
     def run(batches):
         m = sent.value
         for b in batches:
-            for at, texts in text_runs(b.column(0)):
+            all_texts = texts_of(b, columns, text_col) if keep_row else b.column(2)
+            names = b.schema.names if keep_row else ["doc_id", "chance"]
+            for at, texts in text_runs(all_texts):
                 n, p = m.posteriors(texts)
-                own = [c.slice(at, len(n)) for c in b.columns[1:]]
-                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *(pa.array(p[:, j].copy(), pa.float64()) for j in range(len(cols)))], [*b.schema.names[1:], "n_tokens", *cols])
+                own = [c.slice(at, len(n)) for c in b.columns[: len(names)]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(n, pa.int64()), *(pa.array(p[:, j].copy(), pa.float64()) for j in range(len(cols)))], [*names, "n_tokens", *cols])
 
-    schema = rows.drop("text").schema.add("n_tokens", "long")
+    schema = StructType([f for f in rows.schema if f.name != "text"]).add("n_tokens", "long")
     for c in cols:
         schema = schema.add(c, "double")
     return rows.mapInArrow(run, schema)

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,12 @@ def row_struct(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
 
+def texts_of(batch: pa.RecordBatch, columns: list[str], text_col: str) -> pa.Array:
+    """The texts (null: empty) within the `row` of a batch, a struct of these columns."""
+    rows = batch.column(batch.schema.get_field_index("row"))
+    return rows.field(columns.index(text_col)).cast(pa.string()).fill_null("")
+
+
 def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
 
