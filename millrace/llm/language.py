@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import row_struct, text_or_empty, texts_of, written
+from millrace.llm.shared import row_struct, text_or_empty, texts_of, tidy, written
 
 UND, SHARP = "und", 5.0
 LEVEL, BLOCK, DICTIONARY, TOTAL, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 64 << 20, 400, 0.002
@@ -123,4 +123,4 @@ def identify(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([*b.columns[: len(own)], *new], [*own, "lang_pred", "score", "accepted"])
 
     schema = StructType([f for f in rows.schema if f.name != "text"]).add("lang_pred", "string").add("score", "double").add("accepted", "boolean")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from millrace.llm.shared import row_struct, text_or_empty, text_runs, texts_of, written
+from millrace.llm.shared import row_struct, text_or_empty, text_runs, texts_of, tidy, written
 
 FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, AGAIN, EPOCHS = 6000, 1024, 6, 1.0, 0.3, 300
 #: domain: condition on the labels table
@@ -232,7 +232,7 @@ def score(docs: DataFrame, model: Classifier, *, id_col: str = "doc_id", text_co
     schema = StructType([f for f in rows.schema if f.name != "text"]).add("n_tokens", "long")
     for c in cols:
         schema = schema.add(c, "double")
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidy(run), schema)
 
 
 def rate(steps: list[tuple[float, list[float]]], cols: list[str], max_rate: float | None):

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import text_or_empty, written
+from millrace.llm.shared import text_or_empty, tidy, written
 from millrace.llm.tokens import REMEMBERED, encoder
 
 #: Rows of a plan that is broadcast
@@ -58,7 +58,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, *, capacity: int = 1024, end_i
                 crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(from_.tolist(), length.tolist())]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at + row)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(run, f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).mapInArrow(tidy(run), f"doc_id {kind.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_bins(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:

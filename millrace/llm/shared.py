@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -24,6 +26,22 @@ def memory(name: str) -> dict:
     return _MEMORIES.setdefault(name, {})
 
 
+def tidy(run):
+    """run, a function of a task's batches, and at the task's end what it left unused goes back to the system: workers live on."""
+
+    def tidied(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the C library, where it has it
+            if trim:
+                trim(0)
+
+    return tidied
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder: spark.checkpoint.dir, or the context's checkpoint folder.
 
@@ -90,7 +108,7 @@ def text_bytes(docs: DataFrame, text_col: str) -> int:
     return docs.agg(F.coalesce(F.sum(F.octet_length(F.col(text_col).cast("string"))), F.lit(0))).first()[0]
 
 
-def text_runs(texts, limit: int = 1 << 23):
+def text_runs(texts, limit: int = 1 << 22):
     """(first row, texts) of some `limit` bytes of a string column at a time, one text at least."""
     size, at = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
     while at < len(texts):

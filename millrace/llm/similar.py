@@ -45,7 +45,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
-from millrace.llm.shared import text_or_empty, written
+from millrace.llm.shared import text_or_empty, tidy, written
 
 N_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH = 8, 3
@@ -147,7 +147,7 @@ def ring_candidates(reps: DataFrame, *, bucket: int = 1024) -> DataFrame:
         last = large.isEmpty()
         small = rows if last else rows.join(large, ["segment", "key"], "left_anti")
         groups = small.groupBy("segment", "key").agg(F.array_sort(F.collect_list(F.struct("rep", *SKETCH))).alias("members")).where(F.size("members") > 1)
-        found = written(groups.select("members").mapInArrow(_forests, "a long, b long"), "pairs")
+        found = written(groups.select("members").mapInArrow(tidy(_forests), "a long, b long"), "pairs")
         pairs = found if pairs is None else pairs.union(found)
         if last:
             return pairs
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = texts.drop("text").schema
     for name, kind in (("digest", "binary"), ("fp", "long"), *((x, "long") for x in SKETCH), ("keys", ArrayType(LongType())), ("size", "long")):
         schema = schema.add(name, kind)
-    marks = written(texts.mapInArrow(_sketches(n), schema), "sketches")
+    marks = written(texts.mapInArrow(tidy(_sketches(n)), schema), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     reps = marks.groupBy("digest").agg(F.min(row).alias("first"), F.min_by(F.struct("fp", *SKETCH, "keys", "size"), row).alias("m"))
     reps = written(reps.select("digest", "first", "m.*", F.monotonically_increasing_id().alias("rep")), "reps")
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """The shingle sets of the reps in the one column of ends."""
         rows = reps.join(ends.toDF("rep"), "rep", "left_semi").select("rep", F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))
         whole = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("rep", "text")
-        sets = written(whole.mapInArrow(_sets(n), "rep long, shingles array<long>"), "shingles")
+        sets = written(whole.mapInArrow(tidy(_sets(n)), "rep long, shingles array<long>"), "shingles")
         if sets.groupBy("rep").count().where("count > 1").isEmpty():
             return sets
         return written(sets.dropDuplicates(["rep"]), "shingles")  # rows that repeat both id and text

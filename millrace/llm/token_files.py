@@ -14,7 +14,7 @@ succeeded are in the manifest, so a lost executor leaves nothing wrong.
 There is a file for each `bytes_per_file` bytes of text, so their number grows with the table. Files are memory-mapped where the folder is a mounted one,
 else read in ranges through pyarrow's file systems.
 
-Defined cases: a null or empty text is only the end id; a long text is encoded some 8 MB at a time; null ids come first; repeated ids lie side by
+Defined cases: a null or empty text is only the end id; a long text is encoded some 4 MB at a time; null ids come first; repeated ids lie side by
 side, ordered by the hash of their text and then by the text, so that one id's rows are not one task's; an empty table gives an empty manifest. Ids
 are whole numbers. Other columns are not read, whatever their names.
 """
@@ -30,7 +30,7 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh_path, n_parts, text_bytes, text_or_empty, written
+from millrace.llm.shared import fresh_path, n_parts, text_bytes, text_or_empty, tidy, written
 from millrace.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
@@ -73,7 +73,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_co
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
     rows = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", "h")
-    manifest = written(rows.mapInArrow(_writer(folder, tokenizer, end_id), MANIFEST), "manifest")
+    manifest = written(rows.mapInArrow(tidy(_writer(folder, tokenizer, end_id)), MANIFEST), "manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

@@ -1,7 +1,7 @@
 """Encoding with a public tokenizer file, with the ids of chunks remembered.
 
 A column of texts is cut into chunks and dictionary-encoded by Arrow, so that Python sees each distinct chunk of some
-8 MB of text once, and the ids of all chunks are put together with numpy. The chunks that a worker remembers
+4 MB of text once, and the ids of all chunks are put together with numpy. The chunks that a worker remembers
 are one Arrow column and two arrays of numbers, some 40 bytes a chunk. When they exceed the limit, those that
 were not met since the last time go; frequent chunks stay.
 """
@@ -22,7 +22,7 @@ from tokenizers import Tokenizer
 from millrace.llm.shared import memory, text_runs
 
 #: Chunks whose ids one worker remembers, and characters that are encoded at once
-REMEMBERED, RUN = 1_000_000, 1 << 23
+REMEMBERED, RUN = 1_000_000, 1 << 22
 _ENCODERS: dict[str, "Encoder"] = {}
 #: White space, as Unicode has it, next to a blank or a line's end, in a text and in its chunks
 _SPACE_RUN = re.compile(r"[ \n]\s|\s[ \n]")
