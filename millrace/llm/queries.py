@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and their SQL, each over its whole table with production parameters."""
+"""The queries op1 to op13 and their SQL, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact_dedup, language, mixing, packing, page_text, quality, repeats, simhash, token_files
+from millrace.llm import chat, exact_dedup, interactions, language, line_dedup, mixing, packing, page_text, quality, repeats, simhash, token_files, whitening
 from millrace.llm.shared import table
 
 
@@ -79,6 +79,21 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    kept = line_dedup.clean(line_dedup.build(docs), docs)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interactions.audit(interactions.flags(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return out.withColumn("deviation", F.col("deviation").cast("long"))
+
+
 def queries() -> dict:
     found = [f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()]
     return {f.__name__: f for f in found}
@@ -142,5 +157,39 @@ from d left join cut using (doc_id)
 """
 
 
+_STRIPPED = "trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_OP11 = f"""
+with d as (select row_number() over () as r, doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents),
+x as (select r, doc_id, i, l[i] as line from d, unnest(range(1, len(l) + 1)) as u(i)),
+k as (select *, translate({_STRIPPED}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from x),
+c as (select key, count(distinct doc_id) + max(case when doc_id is null then 1 else 0 end) as n, max(doc_id) as top from k where length(key) >= 20 group by key),
+f as (select k.*, coalesce(n >= 3 and doc_id is distinct from top, false) as gone from k left join c using (key))
+select any_value(doc_id) as doc_id, count(*) as n_lines, count(*) filter (gone) as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256 from f group by r
+"""
+
+_OP12 = r"""
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+l as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+w as (select *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') as w, min(doc_id) over (partition by t) as least from d),
+b as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+             [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t),
+              regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > least, false)] as bad from w left join l using (doc_id)),
+n as (select part, good, toxic, bad, count(*) as n from b group by all),
+o as (select '' as o union all select o || f from o, (values ('A'), ('B'), ('C'), ('D'), ('E')) as v(f) where not contains(o, f)),
+s as (select part, o, step, ascii(o[step]) - 64 as f, good, toxic, bad, n,
+             coalesce(list_min(list_filter([1, 2, 3, 4, 5], lambda i: bad[ascii(o[i]) - 64])), 6) as first
+      from n, (select * from o where length(o) = 5), unnest([1, 2, 3, 4, 5]) as u(step)),
+g as (select part, o, step, f, sum(case when first > step then n else 0 end) as kept, sum(case when first = step then n else 0 end) as removed,
+             sum(case when bad[f] and first < step then n else 0 end) as redundant,
+             sum(case when bad[f] and len(list_filter(bad, lambda x: x)) = 1 then n else 0 end) as unique_fails,
+             sum(case when first = step and good = 1 then n else 0 end) as good_lost, sum(case when first = step and toxic = 1 then n else 0 end) as toxic_lost
+      from s group by all)
+select part, o as filter_order, cast(step as int) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(redundant as bigint) as redundant,
+       cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost,
+       cast(sum(removed) over (partition by part, f) as bigint) as shapley from g
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": _OP2, "op6_chat_format": _OP6, "op7_quality_rules": _OP7, "op8_repeated_passages": _OP8}
+    return {"op11_line_dedup": _OP11, "op12_filter_audit": _OP12, "op2_exact_dedup": _OP2, "op6_chat_format": _OP6, "op7_quality_rules": _OP7, "op8_repeated_passages": _OP8}

@@ -115,3 +115,27 @@ def text_runs(texts, limit: int = 1 << 22):
         stop = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + limit, side="right")))
         yield at, texts.slice(at, stop - at)
         at = stop
+
+
+def hot_values(rows: DataFrame, counts: DataFrame, key: str, n_col: str, values: list[str]) -> DataFrame:
+    """rows with _hot and the values of hot keys as _hot_<name>, null for others.
+
+    counts is a written table of distinct keys with n_col rows each. Hot keys hold at least a thousandth of all those rows, so there are a
+    thousand at most, and they come by a broadcast.
+    """
+    total = counts.agg(F.coalesce(F.sum(n_col), F.lit(0))).first()[0]
+    hot = counts.where(F.col(n_col) * 1000 >= F.lit(total)).select(F.col(key), F.lit(True).alias("_hot"), *[F.col(v).alias(f"_hot_{v}") for v in values])
+    return rows.join(F.broadcast(hot), key, "left")
+
+
+def cold_values(rows: DataFrame, counts: DataFrame, key: str, values: list[str]) -> DataFrame:
+    """rows that hot_values made, with the values of all keys, null where counts has none; the columns of hot keys go.
+
+    Rows of hot keys come here with a longer key of their own, which meets nothing: no task gets more than a thousandth of the rows for
+    one key. Keys are binary and of one length.
+    """
+    alone = F.concat(F.col(key), F.encode(F.monotonically_increasing_id().cast("string"), "utf-8"))
+    rows = rows.withColumn("_key", F.when(F.col("_hot"), alone).otherwise(F.col(key)))
+    rows = rows.join(counts.select(F.col(key).alias("_key"), *[F.col(v).alias(f"_cold_{v}") for v in values]), "_key", "left")
+    own = [c for c in rows.columns if not c.startswith(("_hot", "_cold_")) and c != "_key"]
+    return rows.select(*own, *[F.coalesce(f"_hot_{v}", f"_cold_{v}").alias(v) for v in values])
