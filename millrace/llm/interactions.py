@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import cold_values, hot_values, tidy, written
+from millrace.llm.shared import cold_values, hot_values, n_parts, tidy, written
 
 FILTERS = "ABCDE"
 #: Characters that filter D looks for, and those that filter C counts
@@ -75,6 +75,7 @@ def audit(flagged: DataFrame, labels: DataFrame, *, id_col: str = "doc_id") -> D
     says = lambda c: F.max(F.when(F.col(c) == 1, True).otherwise(False)).alias(c)
     known = labels.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(says("quality"), says("toxic"))
     docs = flagged.join(known, "doc_id", "left").select("part", "bits", F.coalesce("quality", F.lit(False)).alias("good"), F.coalesce("toxic", F.lit(False)).alias("bad"))
+    docs = docs.repartition(n_parts(flagged.sparkSession))  # small rows that grow 600-fold: as many tasks as the session has
     none = len(FILTERS) + 1
     failed: list[Column] = [F.when(F.col("bits").bitwiseAND(F.lit(1 << k)) != 0, F.col("places")[k]).otherwise(none) for k in range(len(FILTERS))]
     replay = docs.crossJoin(F.broadcast(orders(flagged.sparkSession))).select("part", "bits", "good", "bad", "filter_order", F.least(*failed).alias("first"), F.explode("steps").alias("s"))
