@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions.vectors import cosine
 from millrace.operators import events, joins
-from millrace.plans import more
+from millrace.plans import more, spread
 from millrace.sources.tables import table
 
 
@@ -158,4 +158,5 @@ QUERIES = {
     ),
     "repeated_lines": (repeated_lines, "select md5(line) as line, count(*) as n from (select unnest(string_split(text, chr(10))) as line from documents) where line <> '' group by 1 having n > 1"),
     **more.QUERIES,
+    **spread.QUERIES,
 }
