@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.operators import events, intervals, ranking, theta
+from millrace.functions.aggregate import Covariance, aggregated
+from millrace.operators import events, intervals, ranking, sketches, theta
 from millrace.operators.heavy import heavy_hitters
-from millrace.sources.scratch import written
+from millrace.sources.arrow_files import ArrowFiles
+from millrace.sources.scratch import fresh_path, written
 from millrace.sources.tables import table
 
 
@@ -69,6 +71,45 @@ def frequent_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heavy_hitters(words, "word", 0.002).select(F.col("key").alias("word"), "n", "total")
 
 
+def sketched_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by day, and those that both clicked and purchased, from hourly states that are stored and merged; the exact figures beside them.
+
+    Distinct counts hold at three standard errors, the median at twice its bound; theta sketches are exact up to 4,096 keys.
+    """
+    rows = table(spark, sf_dir, "events")
+    states = written(sketches.hourly(rows, "ts", ["event_type"], "user_id", "value"), "states")
+    day = lambda c: F.col(c).cast("date").alias("day")
+    about = sketches.estimates(sketches.merged(states, day("hour")), [0.5])
+    both = sketches.shared_keys(states, [day("hour")], "event_type", ["click", "purchase"])
+    exact = rows.groupBy(day("ts")).agg(F.countDistinct("user_id").alias("users"))
+    ends = ranking.percentiles(rows.select(day("ts"), "value"), ["day"], "value", [0.5 - 2 * sketches.KLL_ERROR, 0.5 + 2 * sketches.KLL_ERROR]).groupBy("day").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    kinds = rows.where("event_type in ('click', 'purchase')").groupBy(day("ts"), "user_id").agg(F.countDistinct("event_type").alias("kinds"))
+    met = kinds.groupBy("day").agg(F.count(F.when(F.col("kinds") == 2, 1)).alias("both"))
+    near = lambda a, b, error, of: F.abs(F.col(a) - F.col(b)) <= 3 * error * F.col(of) + 0.5
+    found = about.join(exact, "day").join(met, "day").join(both, "day", "left").join(ends, "day")
+    return found.select(
+        "day", "n", "users", "both", near("hll_keys", "users", sketches.HLL_ERROR, "users").alias("hll_near"), near("theta_keys", "users", sketches.THETA_ERROR, "users").alias("theta_near"),
+        near("keys", "both", sketches.THETA_ERROR, "users").alias("both_near"), F.col("quantiles")[0].between(F.col("low"), F.col("high")).alias("middle_near"),
+    )
+
+
+def label_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spread of each label's vectors: the covariance's trace and its largest entry off the diagonal, by a mergeable aggregate."""
+    found = aggregated(table(spark, sf_dir, "embeddings"), ["label"], ["embedding"], Covariance(), "n long, trace double, off double")
+    return found.select("label", "n", F.round("trace", 6).alias("trace"), F.round("off", 6).alias("off"))
+
+
+def arrow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines written as Arrow files and read again, by a filter that skips batches on their statistics."""
+    spark.dataSource.register(ArrowFiles)
+    folder = fresh_path(spark, "arrow")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_shipdate")
+    lines.sortWithinPartitions("l_orderkey").write.format("arrow_files").mode("append").save(folder)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    back = spark.read.format("arrow_files").option("pushdown", "true").schema(lines.schema).load(folder).where("l_orderkey > 1000 and l_returnflag <> 'A'")
+    return back.groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_shipdate").alias("latest"))
+
+
 _SESSIONS = """o as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as opens from events window w as (partition by user_id order by ts)),
            r as (select user_id, ts, sum(opens) over (partition by user_id order by ts) as run from o),
            s as (select user_id, min(ts) as started, max(ts) as ended from r group by user_id, run having count(*) > 1)"""
@@ -106,6 +147,26 @@ QUERIES = {
            q as (select distinct date_trunc('quarter', opened) as quarter from o)
            select cast(quarter as timestamp) as quarter, count(*) as n from q join o on opened < quarter + interval 3 months and closed >= quarter and closed >= opened group by 1""",
     ),
+    "sketched_days": (
+        sketched_days,
+        """with d as (select cast(ts as date) as day, count(*) as n, count(distinct user_id) as users from events group by 1),
+           k as (select cast(ts as date) as day, user_id, count(distinct event_type) as kinds from events where event_type in ('click', 'purchase') group by 1, 2),
+           b as (select day, count(*) filter (kinds = 2) as both from k group by 1)
+           select day, n, users, "both", true as hll_near, true as theta_near, true as both_near, true as middle_near from d join b using (day)""",
+    ),
+    "label_spread": (
+        label_spread,
+        """with e as (select label, vec_id, i, cast(embedding[i] as double) as x from embeddings, range(1, 65) as r(i)),
+           t as (select label, sum(v) as trace from (select label, i, var_pop(x) as v from e group by 1, 2) group by 1),
+           o as (select label, max(abs(c)) as off from (select a.label, a.i, b.i, covar_pop(a.x, b.x) as c from e a join e b on a.vec_id = b.vec_id and a.i < b.i group by 1, 2, 3) group by 1),
+           n as (select label, count(*) as n from embeddings group by 1)
+           select label, n, round(trace, 6) as trace, round(off, 6) as off from n join t using (label) join o using (label)""",
+    ),
+    "arrow_lines": (
+        arrow_lines,
+        """select l_returnflag, l_linenumber, count(*) as n, sum(l_quantity) as quantity, max(l_shipdate) as latest from lineitem
+           where l_orderkey > 1000 and l_returnflag <> 'A' group by 1, 2""",
+    ),
     "frequent_words": (
         frequent_words,
         """with w as (select unnest(string_split(lower(text), ' ')) as word from documents), k as (select word from w where word <> ''), t as (select count(*) as total from k)

@@ -1,10 +1,7 @@
-"""Windowed counts, deduplication, joins and custom state over streams."""
+"""Windowed counts, deduplication and joins over streams."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,23 +26,12 @@ def session_counts(events: DataFrame, gap: str = "30 minutes", late: str = "1 ho
     return events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def followed(first: DataFrame, then: DataFrame, seconds: int, late: str = "1 hour") -> DataFrame:
-    """Pairs of a user's events, the second at most so many seconds after the first; state goes with the watermark."""
+def followed(first: DataFrame, then: DataFrame, seconds: int, late: str = "1 hour", how: str = "inner") -> DataFrame:
+    """Pairs of a user's events, the second at most so many seconds after the first; state goes with the watermark.
+
+    With how="left_outer" a first event that none followed is given out too, with a null, once the watermark tells that none can come any more.
+    """
     a = first.select(F.col("user_id").alias("user"), F.col("event_id").alias("first_id"), F.col("ts").alias("first_ts")).withWatermark("first_ts", late)
     b = then.select("user_id", F.col("event_id").alias("then_id"), F.col("ts").alias("then_ts")).withWatermark("then_ts", late)
     soon = (F.col("then_ts") >= F.col("first_ts")) & (F.col("then_ts") <= F.col("first_ts") + F.expr(f"interval '{int(seconds)}' second"))
-    return a.join(b, (F.col("user") == F.col("user_id")) & soon).select("first_id", "then_id")
-
-
-def _total(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    n, total = state.get if state.exists else (0, 0.0)
-    for b in batches:
-        n, total = n + len(b), total + float(b["value"].sum())
-    state.update((n, total))
-    yield pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
-
-
-def running_totals(events: DataFrame) -> DataFrame:
-    """Each user's events and their value so far, a row whenever new ones came; the state of a user is two numbers."""
-    grouped = events.select("user_id", "value").groupBy("user_id")
-    return grouped.applyInPandasWithState(_total, "user_id long, n long, total double", "n long, total double", "update", "NoTimeout")
+    return a.join(b, (F.col("user") == F.col("user_id")) & soon, how).select("first_id", "then_id")

@@ -1,0 +1,222 @@
+"""Streams with state that ends, outer joins, a sink that writes once, Arrow files, and mergeable aggregates."""
+
+import datetime
+import os
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThan
+
+from millrace.functions.aggregate import Covariance, aggregated
+from millrace.operators import sketches
+from millrace.sources import arrow_files
+from millrace.streaming import sink, users, windows
+
+EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double"
+
+
+def at(h, m=0):
+    return datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h, minutes=m)
+
+
+def streamed(spark, folder, batches, schema=EVENTS):
+    """Each batch a file of its own; files come one at a time."""
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{folder}/p{k}")
+    return windows.read_events(spark, f"{folder}/*", spark.createDataFrame([], schema).schema, 1)
+
+
+def run(writer, name=None):
+    q = (writer.format("memory").queryName(name) if name else writer).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    return q
+
+
+@pytest.fixture
+def rocks(spark):
+    key = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(key, users.ROCKS)
+    yield
+    spark.conf.unset(key)
+
+
+def test_users_state_ends(spark, tmp_path, rocks):
+    batches = [
+        [(1, at(1), 7, "view", 1.0), (2, at(1, 30), 7, "click", 2.0), (3, at(1), 8, "view", 5.0), (4, at(1), None, "view", 1.0)],
+        [(5, at(2), 7, "click", 4.0)],
+        [(6, at(30), 9, "view", 1.0)],  # the watermark passes all others
+        [(7, at(31), 7, "error", 3.0), (8, at(3), 8, "view", 100.0)],  # 7 begins anew; the other one is late
+        [(9, at(90), 9, None, 1.0)],
+        [(10, at(91), 9, None, None)],
+    ]
+    events = streamed(spark, tmp_path / "in", batches)
+    run(users.user_totals(events, 7200).writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/c"), "user_totals")
+    got = [tuple(r) for r in spark.table("user_totals").collect()]
+    closed = sorted((r for r in got if r[-1]), key=str)
+    assert sorted(closed, key=str) == sorted([(7, 3, 7.0, 2, "click", True), (8, 1, 5.0, 1, "view", True), (None, 1, 1.0, 1, "view", True), (7, 1, 3.0, 1, "error", True)], key=str)
+    assert (7, 2, 3.0, 2, "click", False) in got and (7, 1, 3.0, 1, "error", False) in got and (8, 2, 105.0, 1, "view", False) not in got
+    assert (9, 3, 2.0, 1, "view", False) in got  # null types and values count as events only
+
+
+def test_a_join_gives_out_what_none_followed(spark, tmp_path):
+    batches = [[(1, at(1), 7, "view", 1.0), (2, at(1), 8, "view", 1.0)], [(3, at(1, 20), 7, "error", 1.0), (4, at(3), 8, "error", 1.0)], [(5, at(30), 7, "view", 1.0), (6, at(30), 7, "error", 1.0)], [(7, at(60), 1, "view", 1.0), (8, at(60), 1, "error", 1.0)], [(9, at(61), 1, "view", 1.0), (10, at(61), 1, "error", 1.0)]]
+    events = streamed(spark, tmp_path / "in", batches)
+    views, errors = (events.where(f"event_type = '{x}'") for x in ("view", "error"))
+    run(windows.followed(views, errors, 3600, how="left_outer").writeStream.option("checkpointLocation", f"{tmp_path}/c"), "outer_pairs")
+    got = {tuple(r) for r in spark.table("outer_pairs").collect()}
+    assert {(1, 3), (2, None), (5, 6)} <= got and (5, None) not in got and (1, None) not in got
+
+
+def test_the_sink_writes_each_batch_once(spark, tmp_path):
+    batches = [[(k, at(k), k % 3, "view", float(k))] for k in range(6)]
+    events = streamed(spark, tmp_path / "in", batches).select("event_id", "value")
+    failed, told = set(), []
+
+    def also(batch, number):
+        told.append((number, [r.event_id for r in batch.collect()]))
+        if number in (1, 3) and number not in failed:
+            failed.add(number)
+            raise RuntimeError("killed between the write and the checkpoint")
+
+    for _ in range(3):
+        q = sink.write_once(events, f"{tmp_path}/out", f"{tmp_path}/c", also).trigger(availableNow=True).start()
+        try:
+            q.awaitTermination(120)
+        except Exception:
+            os.makedirs(f"{tmp_path}/out/batch=99")  # a batch that was being written
+            open(f"{tmp_path}/out/batch=99/part-0.parquet", "w").close()
+            os.remove(f"{tmp_path}/out/batch=99/part-0.parquet")
+            os.rmdir(f"{tmp_path}/out/batch=99")
+    back = sink.read_once(spark, f"{tmp_path}/out", events.schema)
+    assert sorted(r.event_id for r in back.collect()) == list(range(6)) and failed == {1, 3}
+    assert [n for n, _ in told] == [0, 1, 1, 2, 3, 3, 4, 5] and told[1] == told[2]
+    # a batch without its mark is no batch
+    os.remove(f"{tmp_path}/out/batch=2/_SUCCESS")
+    assert sorted(r.batch for r in sink.read_once(spark, f"{tmp_path}/out", events.schema).collect()) == [0, 1, 3, 4, 5]
+    assert sink.read_once(spark, f"{tmp_path}/none", events.schema).collect() == []
+
+
+ROWS = "k long, s string, x double, d date, t timestamp_ntz, a array<int>, b binary"
+
+
+@pytest.fixture
+def arrow(spark):
+    spark.dataSource.register(arrow_files.ArrowFiles)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    yield lambda path, pushdown="true": spark.read.format("arrow_files").option("pushdown", pushdown).load(path)
+    spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_arrow_files_come_back(spark, tmp_path, arrow):
+    rows = [(k, None if k % 7 == 0 else f"s{k}", float("nan") if k % 11 == 0 else k / 2, datetime.date(2024, 1, 1 + k % 28), at(k), [k, None], bytes([k % 256])) for k in range(500)]
+    df, path = spark.createDataFrame(rows, ROWS), f"{tmp_path}/t"
+    df.repartitionByRange(5, "k").write.format("arrow_files").mode("append").save(path)
+    text = lambda d: sorted(map(str, d.collect()))
+    assert arrow(path).dtypes == df.dtypes and text(arrow(path)) == text(df)
+    few = arrow(path).where("k between 10 and 20")
+    assert text(few) == text(df.where("k between 10 and 20")) and few.rdd.getNumPartitions() == 1 < arrow(path).rdd.getNumPartitions()
+    assert text(arrow(path).where("x > 100 and s is not null")) == text(df.where("x > 100 and s is not null"))
+    assert text(arrow(path, "false").where("k = 7")) == text(df.where("k = 7"))
+    assert arrow(path).where("k = -1").collect() == [] and arrow(path).where("s in ('s1', 's499')").count() == 2
+    df.limit(3).write.format("arrow_files").mode("append").save(path)
+    assert arrow(path).count() == 503
+    df.limit(2).write.format("arrow_files").mode("overwrite").save(path)
+    assert arrow(path).count() == 2
+    df.limit(0).write.format("arrow_files").mode("append").save(f"{tmp_path}/empty")
+    assert spark.read.format("arrow_files").schema(ROWS).load(f"{tmp_path}/empty").collect() == []
+
+
+def test_a_failed_write_leaves_nothing(spark, tmp_path, arrow):
+    path = f"{tmp_path}/t"
+    spark.range(10).write.format("arrow_files").mode("append").save(path)
+    before = sorted(f for _, _, names in os.walk(path) for f in names if not f.endswith(".crc"))
+    bad = spark.range(1000).repartition(4).select(F.when(F.col("id") == 700, F.raise_error(F.lit("no"))).otherwise(F.col("id")).cast("long").alias("id"))
+    with pytest.raises(Exception):
+        bad.write.format("arrow_files").mode("append").save(path)
+    assert arrow(path).count() == 10
+    assert sorted(f for _, _, names in os.walk(path) for f in names if not f.endswith(".crc")) == before
+
+
+def test_arrow_files_as_streams(spark, tmp_path, arrow):
+    source, target, checkpoint = f"{tmp_path}/a", f"{tmp_path}/b", f"{tmp_path}/c"
+    for k in range(3):
+        spark.range(10 * k, 10 * k + 10).write.format("arrow_files").mode("append").save(source)
+        stream = spark.readStream.format("arrow_files").schema("id long").load(source)
+        run(stream.writeStream.format("arrow_files").option("query", "q").option("path", target).option("checkpointLocation", checkpoint))
+    assert sorted(r.id for r in arrow(target).collect()) == list(range(30))
+    commits = arrow_files._manifests(target)
+    arrow_files._commit(target, [arrow_files.Written([{"name": "x.arrow", "batches": [{}]}], [])], os.path.basename(commits[-1]).removesuffix(".json"))
+    assert arrow(target).count() == 30  # a batch that comes again
+
+
+def test_statistics_skip_only_what_cannot_match():
+    r, ops = random.Random(1), {EqualTo: lambda a, b: a == b, LessThan: lambda a, b: a < b, GreaterThan: lambda a, b: a > b, In: lambda a, b: a in b}
+    for _ in range(400):
+        values = [r.choice([None, *range(9)]) for _ in range(r.randint(1, 4))]
+        held = arrow_files._statistics(pa.record_batch({"k": pa.array(values, pa.int64())}))
+        kind = r.choice(list(ops))
+        value = tuple(r.sample(range(-1, 11), 2)) if kind is In else r.randint(-1, 10)
+        match = any(v is not None and ops[kind](v, value) for v in values)
+        assert arrow_files.may_hold(held, [kind(("k",), value)]) or not match
+    assert arrow_files.may_hold(arrow_files._statistics(pa.record_batch({"x": [1.0, float("nan")]})), [GreaterThan(("x",), 5.0)])
+
+
+class Words:
+    """The distinct words and the longest text."""
+
+    def init(self):
+        return set(), ""
+
+    def update(self, state, rows):
+        texts = [t for t in rows.column(0).to_pylist() if t is not None]
+        return state[0] | {w for t in texts for w in t.split()}, max([state[1], *texts], key=lambda t: (len(t), t))
+
+    def merge(self, a, b):
+        return a[0] | b[0], max(a[1], b[1], key=lambda t: (len(t), t))
+
+    def finish(self, state):
+        return len(state[0]), state[1]
+
+
+@pytest.mark.parametrize("max_states", [1, 20_000])
+def test_own_aggregates(spark, max_states):
+    r = random.Random(7)
+    rows = [("hot" if i % 3 else r.choice(["a", None]), r.choice([1.0, float("nan"), None]), " ".join(r.choice("abcdefgh") * r.randint(1, 3) for _ in range(3)) if i % 5 else None) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, x double, t string").repartition(40)
+    got = {(str(g.k), str(g.x)): (g.n, g.longest) for g in aggregated(df, ["k", "x"], ["t"], Words(), "n long, longest string", fan_in=4, max_states=max_states).collect()}
+    want = {}
+    for k, x, t in rows:
+        w = want.setdefault((str(k), str(x)), [set(), ""])
+        if t is not None:
+            w[0].update(t.split())
+            w[1] = max(w[1], t, key=lambda s: (len(s), s))
+    assert got == {k: (len(a), b) for k, (a, b) in want.items()}
+    assert aggregated(df, [], ["t"], Words(), "n long, longest string").first().n == len(set().union(*(a for a, _ in want.values())))
+    assert aggregated(df.limit(0), ["k"], ["t"], Words(), "n long, longest string").collect() == []
+
+
+def test_one_state_for_each_task_and_key(spark):
+    df = spark.range(0, 20_000, 1, 8).select((F.col("id") % 5).alias("k"), F.array(F.col("id").cast("double"), (F.col("id") % 77).cast("double")).alias("v"))
+    out = aggregated(df, ["k"], ["v"], Covariance(), "n long, trace double, off double")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2 and plan.count("MapInArrow") == 3
+    want = df.groupBy("k").agg(F.var_pop(F.col("v")[0]).alias("a"), F.var_pop(F.col("v")[1]).alias("b"), F.covar_pop(F.col("v")[0], F.col("v")[1]).alias("c")).collect()
+    got = {r.k: r for r in out.collect()}
+    assert all(np.isclose(got[w.k].trace, w.a + w.b) and np.isclose(got[w.k].off, abs(w.c)) and got[w.k].n == 4000 for w in want)
+
+
+def test_sketch_errors_in_numbers(spark):
+    n = 60_000
+    rows = spark.range(n).select((F.timestamp_seconds(F.col("id") % 7200)).cast("timestamp_ntz").alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("g"), (F.col("id") % 20_000).alias("key"), F.col("id").cast("double").alias("value"))
+    states = sketches.hourly(rows, "ts", ["g"], "key", "value")
+    assert states.count() == 4
+    got = sketches.estimates(sketches.merged(states), [0.1, 0.5]).first()
+    assert got.n == n and abs(got.hll_keys - 20_000) <= 3 * sketches.HLL_ERROR * 20_000 and abs(got.theta_keys - 20_000) <= 3 * sketches.THETA_ERROR * 20_000
+    assert all(abs(q - s * n) <= 2 * sketches.KLL_ERROR * n for q, s in zip(got.quantiles, (0.1, 0.5)))
+    exact = rows.groupBy("key").agg(F.countDistinct("g").alias("n")).where("n = 2").count()
+    found = sketches.shared_keys(states, [F.lit(1).alias("one")], "g", ["a", "b"]).first()["keys"]
+    assert abs(found - exact) <= 3 * sketches.THETA_ERROR * 20_000
+    assert sketches.shared_keys(states, [F.lit(1).alias("one")], "g", ["a", "z"]).first()["keys"] == 0
