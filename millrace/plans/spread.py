@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.functions import json_schema
 from millrace.functions.aggregate import Covariance, aggregated
-from millrace.operators import events, intervals, ranking, sketches, theta
+from millrace.operators import events, intervals, patterns, ranking, sketches, theta
 from millrace.operators.heavy import heavy_hitters
 from millrace.sources.arrow_files import ArrowFiles
 from millrace.sources.scratch import fresh_path, written
@@ -110,6 +111,27 @@ def arrow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.groupBy("l_returnflag", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.sum("l_quantity").alias("quantity"), F.max("l_shipdate").alias("latest"))
 
 
+#: Letters of event types, and patterns over a user's events
+LETTERS = {"V": "view", "C": "click", "E": "error", "P": "purchase", "S": "signup"}
+PATTERNS = {"funnel": "VC*P", "errors": "E{2,}", "bought": "S[^E]*?P"}
+
+
+def user_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches of three patterns over each user's events."""
+    letters = {x: F.col("event_type") == kind for x, kind in LETTERS.items()}
+    found = patterns.match_rows(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], ["event_id"], letters, PATTERNS, longest=20)
+    return found.select("pattern", "user_id", F.col("first.event_id").alias("first_id"), F.col("last.event_id").alias("last_id"), "n")
+
+
+def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types by path of orders as JSON: lines nested, totals of one status as text, arrays that may be empty or null."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_quantity").cast("int").alias("q"), F.when(F.col("l_returnflag") != "N", F.col("l_returnflag")).alias("flag"))).alias("lines"))
+    orders = table(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    total = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit('"'), F.col("o_totalprice").cast("string"), F.lit('"'))).otherwise(F.col("o_totalprice").cast("decimal(18,2)").cast("string"))
+    text = F.concat(F.lit('{"total":'), total, F.lit(',"lines":'), F.coalesce(F.to_json("lines", {"ignoreNullFields": "false"}), F.lit("null")), F.lit("}"))
+    return json_schema.json_paths(orders.select(text.alias("doc")), "doc").drop("part")
+
+
 _SESSIONS = """o as (select user_id, ts, case when ts <= lag(ts) over w + interval 30 minutes then 0 else 1 end as opens from events window w as (partition by user_id order by ts)),
            r as (select user_id, ts, sum(opens) over (partition by user_id order by ts) as run from o),
            s as (select user_id, min(ts) as started, max(ts) as ended from r group by user_id, run having count(*) > 1)"""
@@ -167,6 +189,25 @@ QUERIES = {
         """select l_returnflag, l_linenumber, count(*) as n, sum(l_quantity) as quantity, max(l_shipdate) as latest from lineitem
            where l_orderkey > 1000 and l_returnflag <> 'A' group by 1, 2""",
     ),
+    "user_paths": (
+        user_paths,
+        """with e as (select user_id, event_id, case event_type when 'view' then 'V' when 'click' then 'C' when 'error' then 'E' when 'purchase' then 'P' when 'signup' then 'S' else '.' end as x,
+             row_number() over (partition by user_id order by ts, event_id) as i from events),
+           s as (select user_id, string_agg(x, '' order by i) as s, list(event_id order by i) as ids from e group by 1),
+           m as (select p.name as pattern, e.user_id, e.event_id as first_id, ids, i, length(regexp_extract(substring(s, i, 20), p.p)) as n
+                 from e join s using (user_id), (values ('funnel', '^VC*P'), ('errors', '^E{2,}'), ('bought', '^S[^E]*?P')) as p(name, p))
+           select pattern, user_id, first_id, ids[i + n - 1] as last_id, n from m where n > 0""",
+    ),
+    "order_documents": (
+        order_documents,
+        """with o as (select o_orderkey, o_orderstatus from orders), l as (select * from lineitem join o on l_orderkey = o_orderkey), h as (select distinct l_orderkey from l)
+           select '$' as path, 'object' as kind, count(*) as n, count(*) as rows from o
+           union all select '$.total', case when o_orderstatus = 'P' then 'string' else 'double' end as k, count(*), count(*) from o group by k
+           union all select '$.lines', case when l_orderkey is null then 'null' else 'array' end as k, count(*), count(*) from o left join h on o_orderkey = l_orderkey group by k
+           union all select '$.lines[]', 'object', count(*), count(distinct l_orderkey) from l
+           union all select '$.lines[].q', 'integer', count(*), count(distinct l_orderkey) from l
+           union all select '$.lines[].flag', case when l_returnflag = 'N' then 'null' else 'string' end as k, count(*), count(distinct l_orderkey) from l group by k""",
+    ),
     "frequent_words": (
         frequent_words,
         """with w as (select unnest(string_split(lower(text), ' ')) as word from documents), k as (select word from w where word <> ''), t as (select count(*) as total from k)
