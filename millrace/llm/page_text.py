@@ -6,14 +6,16 @@ for each block, the punctuation ratio its marks for each block; the two are fuse
 in page order and smoothed with a small Gaussian window. Paths whose mean smoothed value reaches a share of the
 spread (standard deviation) are content.
 
-The article is all text of every <article> or <main> with content. Without one, it is the lowest common ancestor of all content, so that
-headings, lists and short blocks among it stay; but blocks of another path that are links only, and those
-before the first or after the last content block whose container holds no content, are left out, an h1 excepted.
+Content paths elect a region: every <article> or <main> with content, or else the lowest common ancestor of all content. The result is the blocks of content
+paths and, in the region, the headings, lists and short blocks among them. Before the first and after the last content block, blocks of another path that are links
+only are left out, and without an article or main those whose container holds no content, an h1 excepted. Of several articles, those with less than a quarter of the
+largest one's text are teasers and go.
 
-Elements that never hold article text are left out before any ratio is taken. So are elements marked by class, id or role as menus, adverts,
-notices, comments and the like, unless they hold over half of the page's fused text (then the mark belongs to the layout), which doesn't hold for readers' comments.
-Words after has, no, with and the like mark nothing, nor do ids with words of their own (as of a heading), nor marks of main, html and body. Of a header
-within an article or main the headings stay.
+Elements that never hold article text are left out before any ratio is taken. So are forms, and elements marked by class, id or role as menus, adverts,
+notices, comments and the like, unless they hold over half of the page's fused text (then a form or a mark belongs to the layout), which doesn't hold for readers' comments.
+A class that has such a word beside words of its own (search-term) is weighed: the element goes only if its text is not on content paths.
+Words after has, no, with and the like mark nothing, nor do ids with words of their own (as of a heading) unless they begin or end with a word for comments, nor
+marks of main, html and body. Of a header within an article or main the headings stay.
 
 Inside a block white space becomes one space, and a line break is white space. Blocks are joined in page order by one newline.
 
@@ -39,42 +41,56 @@ from pyspark.sql import functions as F
 # Elements of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template xmp".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
-SKIPPED = frozenset("head nav header footer aside form button select option svg dialog menu audio video canvas".split())
+INLINE = frozenset("a abbr acronym audio b bdi bdo big br button canvas cite code data del dfn em font i img ins kbd label mark q s samp select small span strike strong sub sup svg time tt u var video wbr".split())
+SKIPPED = frozenset("head nav header footer aside button label legend select option svg dialog menu audio video canvas".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = frozenset("body main article section div".split())
 # Words of class, id or role that mark what is not article text, beginnings of such words, and those of readers' comments.
 MARKS = frozenset("ad ads adv banner consent footer gdpr header masthead menu modal nav navbar notice popup promo promoted related social share sharing toolbar widget complementary contentinfo search".split())
-STEMS = ("advert", "breadcrumb", "cookie", "navig", "newsletter", "sidebar", "sponsor", "subscri")
+STEMS = ("adsby", "advert", "breadcrumb", "cookie", "navig", "newsletter", "sidebar", "sponsor", "subscri")
 COMMENTS = frozenset("comment comments commentlist comentarios commentaires kommentare disqus replies reply respond".split())
 #: After these a word tells what a layout has, not what the element is; words that say nothing about content
 ABOUT = frozenset("has no with without is not show hide".split())
-STRUCTURE = frozenset("area bar block bottom box btn button buttons col container content global group inner item items left link links list main outer page panel posts primary right row secondary section site slot top unit wrap wrapper".split())
+STRUCTURE = frozenset("area article articles bar block blog body bottom box btn button buttons card cards close col column container content desktop entry fixed form global google group horizontal icon icons image inline inner input item items label large left link links list main media mobile module network outer overlay page panel post posts primary right row secondary section signup single site slot small sticky stories story text thread title toggle top unit vertical view wrap wrapper".split())
 PUNCTUATION = re.compile(r"[.,;:!?…、。，；：！？¡¿]")
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
 MARKED = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORDS = re.compile(r"[a-z]+")
 #: Smoothing weights, the share of the standard deviation that a content path reaches, and the share of links in a block of links.
 WINDOW, SHARE, LINKED = (0.05, 0.25, 0.4, 0.25, 0.05), 0.25, 0.8
+#: Articles under this share of the largest one's text are teasers
+TEASER = 0.25
 #: What an element's mark says
-PLAIN, LAYOUT, READERS = 0, 1, 2
+PLAIN, WEIGHED, LAYOUT, READERS = 0, 1, 2, 3
 
 
 def _said(word: str) -> int:
     return READERS if word in COMMENTS else LAYOUT if word in MARKS or word.startswith(STEMS) else PLAIN
 
 
+def _token(kind: str, name: str, token: str) -> int:
+    """What one class, id or role says."""
+    words = WORDS.findall(token)
+    if not words or words[0] in ABOUT:
+        return PLAIN
+    most = max(map(_said, words))
+    own = [w for w in words if not _said(w) and w not in STRUCTURE and len(w) > 2]
+    if not own or not most:
+        return most
+    if kind == "id":
+        ends = name not in HEADINGS and len(words) == 2 and COMMENTS.intersection(words)
+        return READERS if ends else PLAIN
+    return most if kind == "role" else WEIGHED
+
+
 def _marked(name: str, attrs: str) -> tuple[int, str]:
-    """What an element's attributes mark it as, and its classes, id and role."""
+    """What an element's name and attributes mark it as, and its classes, id and role."""
     found = [(kind.lower(), value.strip("\"'").lower()) for kind, value in MARKED.findall(attrs)] if "=" in attrs else []
-    most = PLAIN
+    most = LAYOUT if name == "form" else PLAIN
     for kind, value in found:
-        for token in value.split():
-            words = WORDS.findall(token)
-            if not words or words[0] in ABOUT or kind == "id" and (name in HEADINGS or any(not _said(w) and w not in STRUCTURE for w in words)):
-                continue
-            most = max(most, *map(_said, words))
+        if kind != "id" or name not in HEADINGS:
+            most = max([most, *(_token(kind, name, t) for t in value.split())])
     if name in ("html", "body", "main") or name == "article" and most == LAYOUT:
         most = PLAIN
     return most, ".".join(value for _, value in found)
@@ -210,9 +226,23 @@ def _unmarked(page: Page, blocks: list[Block]) -> list[Block]:
     gone = [False] * len(page.marks)
     for mark in range(1, len(gone)):
         kind, around = page.marks[mark]
-        most = fused[mark] > total / 2 and (kind == LAYOUT or page.held[mark])
+        most = kind == WEIGHED or fused[mark] > total / 2 and (kind == LAYOUT or page.held[mark])
         gone[mark] = not most or gone[max(0, around)]
-    return [b for b in blocks if not gone[b.mark]]
+    blocks = [b for b in blocks if not gone[b.mark]]
+    if any(kind == WEIGHED for kind, _ in page.marks) and blocks:
+        picked, size, good = content_paths(blocks), [0] * len(gone), [0] * len(gone)
+        for b in blocks:
+            size[b.mark] += len(b.text)
+            good[b.mark] += len(b.text) * (b.path in picked)
+        for mark in range(len(gone) - 1, 0, -1):
+            around = max(0, page.marks[mark][1])
+            size[around] += size[mark]
+            good[around] += good[mark]
+        for mark in range(1, len(gone)):
+            kind, around = page.marks[mark]
+            gone[mark] = gone[mark] or gone[max(0, around)] or kind == WEIGHED and 2 * good[mark] < size[mark]
+        blocks = [b for b in blocks if not gone[b.mark]]
+    return blocks
 
 
 def content_paths(blocks: list[Block]) -> set[int]:
@@ -234,7 +264,30 @@ def content_paths(blocks: list[Block]) -> set[int]:
     return {p for p, x in total.items() if x / sums[p][2] >= least and sums[p][1]} or {max(sums, key=lambda p: sums[p][0])}
 
 
+def _without_teasers(page: Page, blocks: list[Block]) -> list[Block]:
+    """Blocks outside of articles that are small beside the largest one and neither in it nor around it."""
+    size = [0] * len(page.boxes)
+    for b in blocks:
+        size[b.box] += len(b.text)
+    for k in range(len(size) - 1, 0, -1):
+        size[page.boxes[k][1]] += size[k]
+    articles = [k for k, (name, _) in enumerate(page.boxes) if name == "article" and size[k]]
+    if len(articles) < 2:
+        return blocks
+    largest = max(articles, key=lambda k: (size[k], -k))
+    around, k = set(), largest
+    while k >= 0:
+        around.add(k)
+        k = page.boxes[k][1]
+    teaser, inside = [False], [False]
+    for k, (name, up) in enumerate(page.boxes[1:], 1):
+        inside.append(inside[up] or k == largest)
+        teaser.append(teaser[up] or name == "article" and k not in around and not inside[k] and size[k] < TEASER * size[largest])
+    return [b for b in blocks if not teaser[b.box]]
+
+
 def _article(page: Page, blocks: list[Block]) -> list[str]:
+    blocks = _without_teasers(page, blocks)
     picked = content_paths(blocks)
     content = [b.path in picked for b in blocks]
     # of each box: the outermost article or main it is in, and how many content blocks are in it (boxes come after those around them)
@@ -246,8 +299,6 @@ def _article(page: Page, blocks: list[Block]) -> list[str]:
     for k in range(len(below) - 1, 0, -1):
         below[page.boxes[k][1]] += below[k]
     tops = {explicit[b.box] for b, is_content in zip(blocks, content) if is_content and explicit[b.box] >= 0}
-    if tops:
-        return [b.text for b in blocks if explicit[b.box] in tops]
     top = blocks[content.index(True)].box
     while below[top] < sum(content):
         top = page.boxes[top][1]
@@ -257,6 +308,9 @@ def _article(page: Page, blocks: list[Block]) -> list[str]:
     for p in range(1, len(page.names)):
         title.append(title[page.above[p]] or page.names[p] == "h1")
     first, last = content.index(True), len(content) - 1 - content[::-1].index(True)
+    if tops:
+        among = lambda k, b: content[k] or title[b.path] or b.linked < LINKED or first < k < last
+        return [b.text for k, b in enumerate(blocks) if explicit[b.box] in tops and among(k, b)]
     among = lambda k, b: inside[b.box] and b.linked < LINKED and (first < k < last or below[b.box] > 0)
     return [b.text for k, b in enumerate(blocks) if content[k] or title[b.path] or among(k, b)]
 

@@ -158,6 +158,18 @@ LAYOUTS = {
     "<body><div><a href=1>Home</a> <a href=2>News</a></div><div>{P}<ul><li>one</li><li>two</li></ul>{Q}</div><div>Imprint</div></body>": [BOTH[0], "one", "two", BOTH[1]],
     "<body><table><tr><td><a href=1>Home</a></td><td>{P}{Q}</td></tr></table></body>": BOTH,
     "<body><section id=intro><h2>One</h2>{P}</section><div>a break</div><section id=methods><h2>Two</h2>{Q}</section></body>": ["One", BOTH[0], "a break", "Two", BOTH[1]],
+    "<body><form action=/><article>{P}{Q}</article></form></body>": BOTH,
+    "<body><form id=aspnetForm><div class=menu><a href=1>Home</a></div><div>{P}{Q}</div><label>Name</label><input><button>Send</button></form></body>": BOTH,
+    "<body><article>{P}{Q}<form><p>Leave your mail, and we write.</p><input></form></article></body>": BOTH,
+    "<body><article>{P}<p class='search-term'>A term, as one may search for it, and more.</p><div class='share-of-market'>{Q}</div></article></body>": [BOTH[0], "A term, as one may search for it, and more.", BOTH[1]],
+    "<body><article>{P}{Q}<div class='share-icons'>Tweet</div><div class='share-us-now'>Tell others</div></article></body>": BOTH,
+    "<body><article>{P}{Q}</article><div id='user-comments'>{Q}{Q}{Q}{Q}{Q}</div></body>": BOTH,
+    "<body><div>{P}{Q}<ins class='adsbygoogle'>Buy this, now, or never.</ins></div></body>": BOTH,
+    "<body><article>{Q}{Q}{Q}{P}</article><article><h3><a href=1>Other</a></h3><p>Read on, now.</p></article></body>": [BOTH[1]] * 3 + [BOTH[0]],
+    "<body><main><h1>Title</h1><article>{Q}{Q}{Q}{P}</article><article><p>Read on, now.</p></article></main></body>": ["Title"] + [BOTH[1]] * 3 + [BOTH[0]],
+    "<body><article><p>Some text, <button>Copy</button>with marks.</p>{Q}<svg><text>x</text></svg></article></body>": BOTH,
+    "<body><article><ul><li><a href=1>Back</a></li></ul><h2>Part</h2>{P}<ul><li>one</li></ul>{Q}<ul><li><a href=2>More like this</a></li><li><a href=3>And this</a></li></ul></article></body>": ["Part", BOTH[0], "one", BOTH[1]],
+    "<body><section id=comments-on-the-budget>{P}{Q}</section></body>": BOTH,
     "<body><div id=cookie-banner>{P}</div><div class='ad-slot'>{P}</div><div class=newsletterBox>{P}</div><div>{P}{Q}{Q}</div></body>": [*BOTH, BOTH[1]],
 }
 
