@@ -1,6 +1,7 @@
 """Exact deduplication by a tree merge of sorted digest runs, in DataFrame operations only.
 
-The input partitions are dealt into runs, one for each `rows_per_run` rows (64 at least, so their number grows with the table). A run
+Rows are dealt into runs, one for each `rows_per_run` rows (64 at least, so their number grows with the table), by their partition and, within it, by
+stretches of `stretch` rows, so that a table read as one partition gives as many runs as any other. A run
 is its digests in order, each once, with the smallest (or largest) id and a count; it is cut into `ranges` by the digest's leading bits, so
 that a run of any length is many tasks' work. Runs then meet in binomial rounds of `fan_in` partners: in round k those
 runs whose number differs only in digit k (to the base `fan_in`) send their ranges to the one of them with the digit zero, which merges what came in
@@ -30,7 +31,7 @@ from millrace.llm.shared import n_parts, text_or_empty, written
 KEY = ("range", "digest", "n_bytes", "check")
 
 
-def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8, rows_per_run: int = 4_000_000, ranges: int | None = None) -> DataFrame:
+def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", keep: str = "min", n_runs: int | None = None, fan_in: int = 8, rows_per_run: int = 4_000_000, ranges: int | None = None, stretch: int = 1_000) -> DataFrame:
     """One row for each input row: doc_id, keep_id, group_size, kept, text_sha256, text_bytes."""
     best = {"min": F.min, "max": F.max}[keep]
     text = text_or_empty(text_col)
@@ -40,7 +41,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             F.unhex(F.sha2(text, 256)).alias("digest"),
             F.octet_length(text).cast("long").alias("n_bytes"),
             F.xxhash64(text).alias("check"),
-            F.spark_partition_id().alias("part"),
+            F.monotonically_increasing_id().alias("place"),  # the partition's number over 33 bits of the row's
         ),
         "digests",
     )
@@ -48,7 +49,7 @@ def exact_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     n_runs = n_runs or max(64, -(-n_rows // rows_per_run))
     ranges = ranges or max(4 * n_parts(docs.sparkSession), -(-n_rows // rows_per_run))
     leading = F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long")
-    leaf = leaf.select("*", F.pmod("part", F.lit(n_runs)).cast("int").alias("run"), F.floor(leading * ranges / F.lit(float(1 << 32))).cast("int").alias("range")).drop("part")
+    leaf = leaf.select("*", F.pmod(F.shiftright("place", 33) + F.floor(F.col("place").bitwiseAND(F.lit((1 << 33) - 1)) / stretch), F.lit(n_runs)).cast("int").alias("run"), F.floor(leading * ranges / F.lit(float(1 << 32))).cast("int").alias("range")).drop("place")
     # a null struct never wins, so neither does a null id
     merged = lambda rows, own, n: rows.groupBy("run", *KEY).agg(best(own).alias("best"), n.alias("group_size"))
     levels = [merged(leaf, F.when(F.col("doc_id").isNotNull(), F.struct("doc_id")), F.count(F.lit(1)))]

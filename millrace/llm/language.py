@@ -10,8 +10,9 @@ not a letter or a mark on one becomes one space, so that case, digits and symbol
 The score is one minus the ratio of the smallest to the next size, times `SHARP`, at most 1. A text whose margin
 is under `min_margin` is rejected (`accepted` false), as is one without a letter (`und`).
 
-The dictionaries come from a bounded sample: for each language the `sample` labelled ids with the lowest hash, of each a stretch that starts at a place set by that hash, `dictionary` bytes in all for a language. All languages are learned; where they are so many
-that their dictionaries would be over TOTAL bytes, each is shorter.
+The dictionaries come from a bounded sample: for each language the `sample` labelled ids with the lowest hash, of each a stretch that starts at a place set by that hash, `dictionary` bytes in all for a language. They
+are cut and joined in the executors, so the driver gets `dictionary` bytes for each language and no more, and sends them on once to each executor. All languages are learned,
+each with the same number of bytes however many there are; more than `languages` of them are an error, which names what to change.
 
 Defined cases: a null, empty or letterless text is `und` with score 0; a long text is encoded whole, block by block. With no labelled text all are `und`; with one
 language learned, all else are that language with score 0 and accepted. Ties go to the language first in order. Repeated rows and null ids get a row
@@ -32,7 +33,7 @@ from pyspark.sql.types import StructType
 from millrace.llm.shared import row_struct, text_or_empty, texts_of, tidy, written
 
 UND, SHARP = "und", 5.0
-LEVEL, BLOCK, DICTIONARY, TOTAL, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 64 << 20, 400, 0.002
+LEVEL, BLOCK, DICTIONARY, LANGUAGES, SAMPLE, MIN_MARGIN = 6, 1024, 64 << 10, 1024, 400, 0.002
 #: Languages whose counts are broadcast, and tasks that a language's rows are dealt to where there are more
 BROADCAST, DEALS = 10_000, 256
 #: Up to U+02FF there are no marks, and \w has these numbers that are no letters
@@ -48,7 +49,22 @@ def letters(text: str) -> bytes:
     return _NOT_LETTERS.sub(" ", low).strip().encode() if _LETTER.search(low) else b""
 
 
-def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, dictionary: int = DICTIONARY) -> dict[str, bytes]:
+def _joined(dictionary: int):
+    """Function of one language's pieces, at most `sample` of some 4 * dictionary / sample characters: its dictionary."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("h").to_pylist(), table.column("piece").to_pylist()))
+        parts = [letters(t) for _, t in rows]
+        share = max(1, dictionary // len(parts))
+        spare = sum(max(0, share - len(p)) for p in parts)
+        share += spare // max(1, sum(len(p) > share for p in parts))
+        raw = b" ".join(p[:share] for p in parts)[-dictionary:]
+        return pa.table({"lang": table.column("lang").slice(0, 1), "raw": pa.array([raw], pa.binary())})
+
+    return run
+
+
+def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample: int = SAMPLE, dictionary: int = DICTIONARY, languages: int = LANGUAGES) -> dict[str, bytes]:
     """language: dictionary bytes, from a bounded sample of rows with a text and a label."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("text"))
@@ -66,17 +82,10 @@ def learn(labelled: DataFrame, *, text_col: str = "text", lang_col: str = "lang"
     pieces = low.select("lang", "h", F.substring("text", place + 1, size).alias("piece")).groupBy("lang", "h").agg(F.min("piece").alias("piece"))
     first = Window.partitionBy("lang").orderBy("h")
     picked = pieces.withColumn("k", F.row_number().over(first)).where(F.col("k") <= sample)
-    found: dict[str, list[str]] = {}
-    for r in picked.orderBy("lang", "k").toLocalIterator():
-        found.setdefault(r.lang, []).append(r.piece)
-    out, dictionary = {}, min(dictionary, max(1024, TOTAL // max(1, len(found))))
-    for lang, own in sorted(found.items()):
-        share = max(1, dictionary // len(own))
-        parts = [letters(t) for t in own]
-        spare = sum(max(0, share - len(p)) for p in parts)
-        share += spare // max(1, sum(len(p) > share for p in parts))
-        out[lang] = b" ".join(p[:share] for p in parts)[-dictionary:]
-    return out
+    found = picked.select("lang", "h", "piece").groupBy("lang").applyInArrow(_joined(dictionary), "lang string, raw binary").limit(languages + 1).collect()
+    if len(found) > languages:
+        raise ValueError(f"more than {languages} languages: raise `languages`, and lower `dictionary` so that their product fits the driver and the workers")
+    return {r.lang: bytes(r.raw) for r in sorted(found, key=lambda r: r.lang)}
 
 
 def _compressors(model: dict[str, bytes], level: int) -> list:
@@ -112,9 +121,10 @@ def identify(docs: DataFrame, model: dict[str, bytes], *, id_col: str = "doc_id"
     """doc_id, lang_pred, score and accepted, and the whole row as `row` if that is to be kept. The model's size is bounded by `learn`."""
     text = row_struct(docs) if keep_row else text_or_empty(text_col).alias("text")
     rows, langs, columns = docs.select(F.col(id_col).alias("doc_id"), text), sorted(model), docs.columns
+    sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        compressors = _compressors(model, level)
+        compressors = _compressors(sent.value, level)
         for b in batches:
             texts = texts_of(b, columns, text_col) if keep_row else b.column(1)
             out = [decide(sizes(t.as_py(), compressors, block), langs, min_margin) if langs else (UND, 0.0, False) for t in texts]

@@ -44,7 +44,7 @@ from pyspark.sql.types import StructType
 
 from millrace.llm.shared import row_struct, text_or_empty, text_runs, texts_of, tidy, written
 
-FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, AGAIN, EPOCHS = 6000, 1024, 6, 1.0, 0.3, 300
+FIT_ROWS, FEATURES, MIN_ROWS, PENALTY, AGAIN, EPOCHS = 6000, 1024, 4, 1.0, 0.3, 300
 #: domain: condition on the labels table
 DOMAINS = {"good": "quality = 1 and toxic = 0", "poor": "quality = 0 and toxic = 0", "toxic": "toxic = 1"}
 MARKS = ".,;:!?\"'()"
@@ -193,8 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, domains: dict[str, str] = DOMAI
     for k, of in have.items():
         for seen, wanted in ((F.col(f"n{k}"), F.col("n") * of / total), (of - F.col(f"n{k}"), (total - F.col("n")) * of / total)):
             told_by = told_by + F.when(seen > 0, seen * F.log(seen / wanted)).otherwise(0.0)
-    least = min(MIN_ROWS, 1 + total // 100)
-    top = [r.name for r in counts.where(F.col("n") >= least).orderBy(F.round(told_by, 6).desc(), "name").limit(n_features).collect()]
+    top = [r.name for r in counts.where(F.col("n") >= MIN_ROWS).orderBy(F.round(told_by, 6).desc(), "name").limit(n_features).collect()]
 
     def found(batches):
         known = pa.array(top, pa.string())

@@ -17,7 +17,7 @@ the anchor's hash, keep all suffixes with a common prefix together.
 4. A byte goes if a repeat of at least `length` bytes covers it and some occurrence is in a document with a smaller id.
    Spans are joined for each document, and the bytes that remain are hashed.
 
-Documents are dealt by the hash of their id into parts of some PART bytes, so their number grows with the table, and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
+Documents are dealt by the hash of their id and text, so that rows without an id or of one id are dealt too, into parts of some PART bytes, so their number grows with the table, and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
 
 Defined cases: a null or empty text has no bytes and loses none. Texts under `length` bytes stay. Ids are whole numbers; null ids are neither
 sources nor cut. Rows that repeat an id are alike: none of them is a source for the others. An empty table
@@ -469,7 +469,8 @@ def _dealt(docs: DataFrame, parts: int | None, length: int, k: int, id_col: str,
     """The documents' blobs by part, and the contexts' blobs by bucket."""
     parts = parts or max(n_parts(docs.sparkSession), -(-text_bytes(docs, text_col) // PART))
     ids = F.col(id_col).cast("long")
-    rows = docs.select(ids.alias("doc_id"), F.pmod(F.hash(ids), F.lit(parts)).alias("part"), text_or_empty(text_col).alias("text"))
+    text = text_or_empty(text_col)
+    rows = docs.select(ids.alias("doc_id"), F.pmod(F.hash(ids, text), F.lit(parts)).alias("part"), text.alias("text"))
     blobs = "key int, blob binary"
     hashes = rows.mapInArrow(_send_hashes(parts, length, k), blobs)
     shared = hashes.groupBy("key").applyInArrow(_share, blobs)

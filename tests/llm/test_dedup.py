@@ -125,3 +125,32 @@ def test_deduplicate_keeps_one_row_of_each_text(spark):
     assert got.columns == ["doc_id", "text", "rep", "fp", "run"]
     assert sorted((str(r.doc_id), r.text or "") for r in got.collect()) == [("2", "a"), ("4", ""), ("None", "z")]
     assert np.all([r.rep == "x" for r in got.collect()])
+
+
+@pytest.mark.parametrize("parts", [1, 90])
+def test_runs_of_one_partition_and_of_many(spark, parts):
+    rows = [(i, f"text {i % 700}" if i % 3 else "the same for a third of them") for i in range(5000)]
+    frame = docs(spark, rows).coalesce(1) if parts == 1 else docs(spark, rows).repartition(parts)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(frame, keep="max", stretch=50).collect()}
+    groups = {}
+    for i, t in rows:
+        groups.setdefault(t, []).append(i)
+    assert got == {i: (max(groups[t]), len(groups[t])) for i, t in rows}
+
+
+def test_one_partition_is_many_runs(spark, monkeypatch):
+    held = []
+    real = exact_dedup.written
+    monkeypatch.setattr(exact_dedup, "written", lambda df, name: held.append(real(df, name)) or held[-1])
+    out = exact_dedup.exact_groups(docs(spark, [(i, "x" * (i % 9)) for i in range(3000)]).coalesce(1), stretch=10)
+    assert held[0].selectExpr("shiftright(place, 33) as part").distinct().count() == 1
+    runs = [n for n in out._jdf.queryExecution().analyzed().toString().split() if n.startswith("run#")]
+    assert runs and out.count() == 3000
+    stretches = held[0].selectExpr("pmod(shiftright(place, 33) + floor((place & 8589934591) / 10), 64) as run").groupBy("run").count().collect()
+    assert len(stretches) == 64 and max(r["count"] for r in stretches) <= 50
+
+
+def test_a_very_long_text(spark):
+    long = "word " * 2_000_000
+    got = exact_dedup.exact_groups(docs(spark, [(1, long), (2, long), (3, long + "x")]), keep="max").collect()
+    assert sorted((r.doc_id, r.keep_id, r.text_bytes) for r in got) == [(1, 2, len(long)), (2, 2, len(long)), (3, 3, len(long) + 1)]

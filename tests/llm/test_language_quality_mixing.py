@@ -89,6 +89,30 @@ def test_many_languages_and_a_repeated_id(spark, monkeypatch, broadcast):
     assert len(model) == 301 and all(0 < len(d) <= language.DICTIONARY for d in model.values())
 
 
+def test_more_languages_than_the_driver_should_hold(spark):
+    rows = spark.range(10_000).selectExpr("id as doc_id", "concat('l', id % 5000) as lang", "repeat(concat('own', id % 5000, ' tongue', id, ' '), 400) as text")
+    with pytest.raises(ValueError, match="languages"):
+        language.learn(rows)
+    model = language.learn(rows, dictionary=1024, languages=5000)
+    assert len(model) == 5000 and sum(map(len, model.values())) <= 5000 * 1024 and min(map(len, model.values())) > 900
+
+
+def test_dictionaries_are_the_plain_ones(spark):
+    """What learn cuts and joins, by plain Python from the same sample."""
+    words = ["und", "the", "straße", "qu'il", "ñandú", "x"]
+    rows = [(i, " ".join(words[(i * j) % 6] for j in range(1 + i * 7 % 90)) + f" {i}!", "ab"[i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.learn(df, dictionary=300)
+    hashes = {r.doc_id: (r.h, r.k) for r in df.selectExpr("doc_id", "xxhash64(cast(doc_id as string)) as h").selectExpr("doc_id", "h", "xxhash64(h) as k").collect()}
+    for lang in "ab":
+        own = sorted((hashes[i][0], t, hashes[i][1]) for i, t, x in rows if x == lang)
+        size = -(-4 * 300 // len(own))
+        parts = [plain_letters(t[(p := k % max(1, len(t) - size + 1)) : p + size]) for _, t, k in own]
+        share = 300 // len(parts)
+        share += sum(max(0, share - len(p)) for p in parts) // max(1, sum(len(p) > share for p in parts))
+        assert model[lang] == b" ".join(p[:share] for p in parts)[-300:]
+
+
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
