@@ -17,6 +17,9 @@ the anchor's hash, keep all suffixes with a common prefix together.
 4. A byte goes if a repeat of at least `length` bytes covers it and some occurrence is in a document with a smaller id.
    Spans are joined for each document, and the bytes that remain are hashed.
 
+A task can't send a blob to each of very many buckets: at 100 TB these are some 800,000, and of 16 MB of text each would get one or two hashes. Where there are more
+than FAN of them, blobs go to about as many groups of buckets as their square root first, and are put together and cut again by bucket there; the results are the same.
+
 Documents are dealt by the hash of their id and text, so that rows without an id or of one id are dealt too, into parts of some PART bytes, so their number grows with the table, and travel compressed, twice. Long documents are taken apart in blocks, so work arrays stay small.
 
 Defined cases: a null or empty text has no bytes and loses none. Texts under `length` bytes stay. Ids are whole numbers; null ids are neither
@@ -43,6 +46,10 @@ TABLE = np.random.default_rng(20).integers(0, 1 << 63, 256, dtype=np.uint64) * n
 BLOCK = 1 << 16
 #: Bytes of text in a part
 PART = 128 << 20
+#: Buckets that a task sends blobs to, and bytes that are put together before they are cut by bucket
+FAN, HELD = 1024, 16 << 20
+#: First bytes of blobs of settled spans and of contexts
+SPANS, CONTEXTS = b"\0", b"\1"
 _POWERS: list[np.ndarray] = []
 U = np.uint64
 
@@ -302,7 +309,7 @@ def _merge(owner: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nd
 # ---- steps ---------------------------------------------------------------------------------------------------------
 
 
-def _send_hashes(buckets: int, length: int, k: int):
+def _send_hashes(buckets: int, length: int, k: int, size: int = 1):
     """Step 1: (bucket, blob of part, hash, many): each distinct hash and part; many if two documents here have the hash."""
 
     def run(batches):
@@ -318,21 +325,79 @@ def _send_hashes(buckets: int, length: int, k: int):
                 h, part, many = h[first], part[first], many[first].astype(np.uint8)
                 order = np.argsort(part, kind="stable")
                 h, part, many = h[order], part[order], many[order]
-                yield _rows([(key, _pack(*x)) for key, x in _split((h % U(buckets)).astype(np.int64), part, h, many)])
+                yield _rows(_group(_split((h % U(buckets)).astype(np.int64), part, h, many), size))
 
     return run
 
 
-def _share(table: pa.Table) -> pa.Table:
-    """(part, blob of its shared hashes)"""
+def group_size(n: int, fan: int) -> int:
+    """Buckets in a group: one where n of them are few enough to be sent to."""
+    return 1 if n <= fan else int(np.ceil(np.sqrt(n)))
+
+
+def _group(pairs, size: int, mark: bytes = b"", level: int = 1) -> list[tuple[int, bytes]]:
+    """(group, blob of keys and arrays after a mark) from (key, arrays): all that goes to one group of keys in one blob; of groups of one the keys are left out."""
+    if size == 1:
+        return [(key, mark + _pack(*x, level=level)) for key, x in pairs]
+    out: dict[int, list] = {}
+    for key, x in pairs:
+        out.setdefault(key // size, []).append([np.full(len(x[0]), key, np.uint32), *x])
+    return [(g, mark + _pack(*(np.concatenate(a) for a in zip(*own)), level=level)) for g, own in out.items()]
+
+
+def _regroup(kinds: dict[bytes, tuple], held: int = HELD):
+    """Blobs that _group made, sorted by group: put together up to `held` bytes and cut by key. kinds: the arrays after each mark."""
+
+    def cut(blobs):
+        pairs = []
+        for mark, own in kinds.items():
+            mine = [b[len(mark) :] for b in blobs if b.startswith(mark)]
+            if mine:
+                key, *arrays = _gather(mine, np.uint32, *own)
+                pairs += _group(_split(key.astype(np.int64), *arrays), 1, mark)
+        return _rows(pairs)
+
+    def run(batches):
+        now, blobs, size = None, [], 0
+        for b in batches:
+            for group, blob in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if blobs and (group != now or size > held):
+                    yield cut(blobs)
+                    blobs, size = [], 0
+                now, size = group, size + len(blob)
+                blobs.append(blob)
+        if blobs:
+            yield cut(blobs)
+
+    return run
+
+
+def _to_keys(blobs: DataFrame, kinds: dict[bytes, tuple], size: int) -> DataFrame:
+    """(key, blob) of grouped blobs; a group's blobs are dealt over as many tasks as it has keys."""
+    if size == 1:
+        return blobs
+    deal = F.pmod(F.xxhash64("blob"), F.lit(size)).cast("int")
+    return blobs.repartition("key", deal).sortWithinPartitions("key").mapInArrow(_regroup(kinds), "key int, blob binary")
+
+
+def _share(size: int):
+    """Function of a bucket's blobs: (part, or group of parts, blob of its shared hashes)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([_rows(_group(_shared(table), size))])
+
+    return run
+
+
+def _shared(table: pa.Table):
     part, h, many = _gather(table.column("blob").to_pylist(), np.uint32, U, np.uint8)
     order = np.argsort(h, kind="stable")
     h, part, many = h[order], part[order], many[order]
     start = np.flatnonzero(np.concatenate([[True], np.diff(h) != 0])) if len(h) else np.zeros(0, np.int64)
     n = np.diff(np.append(start, len(h)))
     shared = np.repeat((n > 1) | (np.maximum.reduceat(many, start) > 0), n) if len(h) else many.astype(bool)
-    pairs = [(key, _pack(np.unique(x[0]))) for key, x in _split(part[shared].astype(np.int64), h[shared])]
-    return pa.Table.from_batches([_rows(pairs)])
+    for key, x in _split(part[shared].astype(np.int64), h[shared]):
+        yield key, [np.unique(x[0])]
 
 
 def _send_texts():
@@ -365,8 +430,8 @@ def _documents(blobs) -> list[tuple[int, bytes]]:
     return sorted(out)
 
 
-def _send_contexts(buckets: int, length: int, k: int, settle: bool):
-    """Step 2: (bucket, blob): settled spans after a byte 0, contexts of shared anchors after a byte 1."""
+def _send_contexts(buckets: int, length: int, k: int, settle: bool, size: int = 1):
+    """Step 2: (bucket, or group of buckets, blob): settled spans after a byte 0, contexts of shared anchors after a byte 1."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         shared = np.sort(_gather(right.column("blob").to_pylist(), U)[0])
@@ -388,11 +453,10 @@ def _send_contexts(buckets: int, length: int, k: int, settle: bool):
                     stay[order] = doc[order] == least
                 span = _merge(row[~stay], first[~stay], last[~stay] + length)
                 if len(span[0]):
-                    pairs.append((part % buckets, b"\0" + _pack(np.full(len(span[0]), part, np.uint32), *span)))
+                    pairs += _group([(part % buckets, [np.full(len(span[0]), part, np.uint32), *span])], size, SPANS)
             here = np.flatnonzero(stay)
             parts = np.full(len(here), part, np.uint32)
-            for bucket, x in _split((h[here] % U(buckets)).astype(np.int64), parts, doc[here], row[here], p[here], ctx[here]):
-                pairs.append((bucket, b"\1" + _pack(*x, level=3)))
+            pairs += _group(_split((h[here] % U(buckets)).astype(np.int64), parts, doc[here], row[here], p[here], ctx[here]), size, CONTEXTS, 3)
         return pa.Table.from_batches([_rows(pairs)])
 
     return run
@@ -400,20 +464,20 @@ def _send_contexts(buckets: int, length: int, k: int, settle: bool):
 
 def _groups_here(blobs, length: int, k: int):
     """Steps 3: (part, doc, row, anchor) of the contexts that came, their classes, and the maximal repeats among these."""
-    part, doc, row, p, ctx = _gather([b[1:] for b in blobs if b[0] == 1], np.uint32, np.int64, np.uint32, np.int64, _row(length, k))
+    part, doc, row, p, ctx = _gather([b[1:] for b in blobs if b.startswith(CONTEXTS)], np.uint32, np.int64, np.uint32, np.int64, _row(length, k))
     order, starts = classes(ctx)
     number = np.empty(len(order), np.int64)
     number[order] = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order)))) if len(order) else 0
     return (part, doc, row, p, ctx), (order, starts, number), maximal_groups(ctx[order[starts]] if len(order) else ctx, length, k)
 
 
-def _settle(length: int, k: int):
-    """Step 4: (part, blob of row, start, end): spans that an earlier document has too."""
+def _settle(length: int, k: int, size: int = 1):
+    """Step 4: (part, or group of parts, blob of row, start, end): spans that an earlier document has too."""
     side = length - k
 
     def run(table: pa.Table) -> pa.Table:
         blobs = table.column("blob").to_pylist()
-        spans = [[x.astype(np.int64) for x in _unpack(b[1:], np.uint32, np.uint32, np.int64, np.int64)] for b in blobs if b[0] == 0]
+        spans = [[x.astype(np.int64) for x in _unpack(b[1:], np.uint32, np.uint32, np.int64, np.int64)] for b in blobs if b.startswith(SPANS)]
         (part, doc, row, p, ctx), (order, starts, number), (members, at, rights, lefts) = _groups_here(blobs, length, k)
         if len(order):
             least = np.minimum.reduceat(doc[order], starts)
@@ -436,8 +500,8 @@ def _settle(length: int, k: int):
             part, row, start, end = (np.concatenate(x).astype(np.int64) for x in zip(*spans))
             for key, x in _split(part, row, start, end):
                 owner, start, end = _merge(*x)
-                pairs.append((key, _pack(owner.astype(np.uint32), start, end)))
-        return pa.Table.from_batches([_rows(pairs)])
+                pairs.append((key, [owner.astype(np.uint32), start, end]))
+        return pa.Table.from_batches([_rows(_group(pairs, size))])
 
     return run
 
@@ -465,27 +529,27 @@ def _cut(left: pa.Table, right: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(v, kind if c == "spans" else pa.string() if c == "kept_sha256" else pa.int64()) for c, v in out.items()})
 
 
-def _dealt(docs: DataFrame, parts: int | None, length: int, k: int, id_col: str, text_col: str, settle: bool) -> tuple[DataFrame, DataFrame]:
-    """The documents' blobs by part, and the contexts' blobs by bucket."""
+def _dealt(docs: DataFrame, parts: int | None, length: int, k: int, id_col: str, text_col: str, settle: bool, fan: int) -> tuple[DataFrame, DataFrame, int]:
+    """The documents' blobs by part, the contexts' blobs by bucket, and how many buckets a group has."""
     parts = parts or max(n_parts(docs.sparkSession), -(-text_bytes(docs, text_col) // PART))
-    ids = F.col(id_col).cast("long")
-    text = text_or_empty(text_col)
+    size, ids, text = group_size(parts, fan), F.col(id_col).cast("long"), text_or_empty(text_col)
     rows = docs.select(ids.alias("doc_id"), F.pmod(F.hash(ids, text), F.lit(parts)).alias("part"), text.alias("text"))
     blobs = "key int, blob binary"
-    hashes = rows.mapInArrow(_send_hashes(parts, length, k), blobs)
-    shared = hashes.groupBy("key").applyInArrow(_share, blobs)
+    hashes = _to_keys(rows.mapInArrow(_send_hashes(parts, length, k, size), blobs), {b"": (np.uint32, U, np.uint8)}, size)
+    shared = _to_keys(hashes.groupBy("key").applyInArrow(_share(size), blobs), {b"": (U,)}, size)
     texts = rows.mapInArrow(_send_texts(), blobs)
-    return texts, texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_send_contexts(parts, length, k, settle), blobs)
+    found = texts.groupBy("key").cogroup(shared.groupBy("key")).applyInArrow(_send_contexts(parts, length, k, settle, size), blobs)
+    return texts, _to_keys(found, {SPANS: (np.uint32, np.uint32, np.int64, np.int64), CONTEXTS: (np.uint32, np.int64, np.uint32, np.int64, _row(length, k))}, size), size
 
 
-def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = K, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = K, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """One row for each input row: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte spans."""
-    texts, found = _dealt(docs, parts, length, anchor, id_col, text_col, settle=True)
-    spans = found.groupBy("key").applyInArrow(_settle(length, anchor), "key int, blob binary")
+    texts, found, size = _dealt(docs, parts, length, anchor, id_col, text_col, True, fan)
+    spans = _to_keys(found.groupBy("key").applyInArrow(_settle(length, anchor, size), "key int, blob binary"), {b"": (np.uint32, np.int64, np.int64)}, size)
     return texts.groupBy("key").cogroup(spans.groupBy("key")).applyInArrow(_cut, RESULT)
 
 
-def maximal_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = K, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def maximal_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = K, parts: int | None = None, id_col: str = "doc_id", text_col: str = "text", fan: int = FAN) -> DataFrame:
     """All occurrences of all maximal repeats: repeat_id (of its bytes), n_bytes, doc_id, start, n_occurrences.
 
     Repeats are maximal within the context of an anchor, at most 2 * length - anchor bytes: a longer repeat is a chain of overlapping ones.
@@ -508,5 +572,5 @@ def maximal_repeats(docs: DataFrame, *, length: int = LENGTH, anchor: int = K, p
                     out[c].append(v)
         return pa.table({c: pa.array(v, pa.string() if c == "repeat_id" else pa.int64()) for c, v in out.items()})
 
-    _, found = _dealt(docs, parts, length, anchor, id_col, text_col, settle=False)
+    _, found, _ = _dealt(docs, parts, length, anchor, id_col, text_col, False, fan)
     return found.groupBy("key").applyInArrow(run, "repeat_id string, n_bytes long, doc_id long, start long, n_occurrences long")

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from millrace.llm import repeats
@@ -59,6 +60,33 @@ def test_removal_matches_brute_force(spark, seed):
     assert got(df, parts=[1, 3, 7][seed]) == plain([(i, t.encode()) for i, t in rows])
 
 
+@pytest.mark.parametrize(("parts", "fan"), [(7, 2), (30, 5)])
+def test_two_levels_of_dealing_change_nothing(spark, parts, fan):
+    own = list(enumerate(texts(11)))
+    df = spark.createDataFrame(own + [(None, own[3][1])] * 3, "doc_id long, text string").repartition(3)
+    assert got(df, parts=parts, fan=fan) == plain([(i, t.encode()) for i, t in own + [(None, own[3][1])] * 3])
+    names = lambda d: sorted((r.repeat_id, r.doc_id, r.start, r.n_occurrences) for r in d.collect())
+    few = df.where("doc_id < 12")
+    assert names(repeats.maximal_repeats(few, parts=parts, fan=fan)) == names(repeats.maximal_repeats(few, parts=1))
+
+
+def test_blobs_stay_large_at_any_number_of_parts():
+    rng = np.random.default_rng(4)
+    own = [bytes(rng.integers(97, 123, 100_000, dtype=np.uint8)).decode() for _ in range(20)]
+    found = {}
+    for n in (240, 24_000, 800_000):
+        batch = pa.RecordBatch.from_arrays([pa.array(range(20), pa.int64()), pa.array(rng.integers(0, n, 20), pa.int32()), pa.array(own)], ["doc_id", "part", "text"])
+        size = repeats.group_size(n, repeats.FAN)
+        sent = pa.Table.from_batches(list(repeats._send_hashes(n, 50, 24, size)([batch])))
+        groups = sent.sort_by("key")
+        cut = list(repeats._regroup({b"": (np.uint32, np.uint64, np.uint8)})(groups.to_batches())) if size > 1 else []
+        found[n] = sent.num_rows, sum(len(b) for b in sent.column("blob").to_pylist())
+        keys = [k for b in cut for k in b.column(0).to_pylist()]
+        assert found[n][0] <= max(240, 1.2 * n**0.5) and all(0 <= k < n for k in keys)
+        assert size == 1 or {k // size for k in keys} == set(groups.column("key").to_pylist())
+    assert found[800_000][1] < 2 * found[240][1]
+
+
 def test_edge_rows(spark):
     long = "Some words that go on for more than fifty bytes, here and there."
     rows = [(1, long), (1, long), (1, "other text of the same id " * 4), (None, long), (None, None), (2, None), (3, long), (4, long + "x"), (5, "short")]
