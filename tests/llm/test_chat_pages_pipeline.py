@@ -1,4 +1,5 @@
 import json
+import os
 import re
 import time
 from html import unescape
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from millrace.llm import chat, page_text
+from millrace.llm.shared import written
 from tests.llm.test_similar import plain_classes
 
 ODD = ["", "\\", "\\\\", "###", "\\###", "#####", "</turn>", "</turn></turn>\n", "\\h\\t\\n", "### user:\nhi</turn>\n", "a\nb", "\\\\h", "é\\", ":\n", "#" * 7 + "\\" * 5 + "</turn"]
@@ -204,7 +206,7 @@ def test_pipeline_stages(spark):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     columns, rows = docs.columns, {r.doc_id: r for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, sf), name)
+        docs = written(stage(spark, docs, sf), name)
         assert docs.columns == columns
         got = docs.collect()
         assert all(rows[r.doc_id] == r for r in got) and len({r.doc_id for r in got}) == len(got)
@@ -232,7 +234,11 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for name, own in (("some", rows), ("none", [])):
         spark.createDataFrame(own, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/{name}/documents.parquet")
         spark.createDataFrame([(1, 1, 0)] if own else [], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+        before = set(os.listdir(shared))
         got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        left = {x.rsplit("-", 1)[0] for x in set(os.listdir(shared)) - before}
+        assert left == {"mixing", "pieces"}, left  # the tables of earlier stages are gone
         assert {r.doc_id for r in got} <= {1, 3, None} and bool(got) == bool(own)  # rates below one leave some out
 
 
@@ -248,10 +254,10 @@ def test_stages_judge_rows_one_by_one(spark, tmp_path):
     own = {str(tuple(r)) for r in docs.collect()}
     want = {"language": texts[:9], "exact_dedup": [*texts[:5], *texts[6:9]], "near_dedup": [texts[0], texts[2], texts[4], texts[5], texts[8]]}
     for name, stage in corpus_pipeline.STAGES[:3]:
-        docs = corpus_pipeline.written(stage(spark, docs, str(tmp_path)), name)
+        docs = written(stage(spark, docs, str(tmp_path)), name)
         got = docs.collect()
         assert all(str(tuple(r)) in own for r in got) and sorted(map(str, ((r.doc_id, r.text) for r in got))) == sorted(map(str, want[name])), name
-    kept = corpus_pipeline.written(corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)), "mixing")
+    kept = written(corpus_pipeline.mixing_stage(spark, docs, str(tmp_path)), "mixing")
     assert kept.columns == docs.columns and {str(tuple(r)) for r in kept.collect()} <= own
     packed = corpus_pipeline.packing_stage(spark, docs, str(tmp_path))
     assert sorted({str(r.doc_id) for r in packed.collect()}) == sorted({str(i) for i, _ in want["near_dedup"]})
