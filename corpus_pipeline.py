@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import exact_dedup, language, mixing, packing, similar
 from millrace.llm.queries import tokenizer
-from millrace.llm.shared import table, written
+from millrace.llm.shared import drop, table, working_tables, write
 
 #: Tokens of good prose to poor to toxic. Good prose keeps its tokens (the anchor), and no document is repeated.
 TARGETS, ANCHOR = {"good": 0.93, "poor": 0.065, "toxic": 0.005}, "good"
@@ -63,7 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """Working tables of a stage go when its rows are written, and its rows when those of the next stage are."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        with working_tables(spark) as made:
+            docs, path = write(stage(spark, docs, sf_dir), name)
+            made.remove(path)
+        if before:
+            drop(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
