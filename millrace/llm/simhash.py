@@ -14,7 +14,8 @@ three refinements at most 10 bits are free, so no bucket can exceed 1,024 finger
 fingerprint is bounded at any size, with no cap and no lost link. A bucket gives a spanning star for
 each of its components rather than all its pairs.
 
-Copies share a fingerprint and are one row from the start, so they meet in no bucket.
+Copies share a fingerprint and are one row from the start, so they meet in no bucket. Components come back to rows by a broadcast for fingerprints of at least a
+thousandth of the rows, and by a join for the others.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; a long text is hashed whole, some 65,000 shingles at a time. Ids may be of any
 type with an order. A row with a null
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.components import connected_components
-from millrace.llm.shared import tidy, written
+from millrace.llm.shared import cold_values, hot_values, tidy, written
 
 SEED, BUDGET = 42, 2
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -171,8 +172,11 @@ def fingerprint_links(reps: DataFrame, *, budget: int = BUDGET, bucket: int = 10
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", n: int = 3, budget: int = BUDGET, bucket: int = 1024) -> DataFrame:
     """One row for each input row: doc_id, fingerprint (16 hex digits), component_id."""
     fps = written(fingerprints(docs, id_col=id_col, text_col=text_col, n=n), "fingerprints")
-    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    reps = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"))
     known = written(reps.where("rep is not null"), "reps")
     parts = connected_components(fingerprint_links(known, budget=budget, bucket=bucket))
-    found = known.join(parts, known.rep == parts.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(found, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    key = F.unhex(F.lpad(F.hex("fp"), 16, "0"))
+    found = known.join(parts, known.rep == parts.node, "left").select(key.alias("key"), "n", F.coalesce("component", "rep").alias("component_id"))
+    found, rows = written(found, "classes"), fps.withColumn("key", key)
+    rows = cold_values(hot_values(rows, found, "key", "n", ["component_id"]), found, "key", ["component_id"])
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -45,7 +45,7 @@ from pyspark.sql.types import ArrayType, LongType
 
 from millrace.llm import simhash
 from millrace.llm.components import connected_components
-from millrace.llm.shared import text_or_empty, tidy, written
+from millrace.llm.shared import cold_values, hot_values, text_or_empty, tidy, written
 
 N_WORDS, SIMILARITY = 5, 0.8
 SEGMENTS, WIDTH = 8, 3
@@ -251,8 +251,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         schema = schema.add(name, kind)
     marks = written(texts.mapInArrow(tidy(_sketches(n)), schema), "sketches")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    reps = marks.groupBy("digest").agg(F.min(row).alias("first"), F.min_by(F.struct("fp", *SKETCH, "keys", "size"), row).alias("m"))
-    reps = written(reps.select("digest", "first", "m.*", F.monotonically_increasing_id().alias("rep")), "reps")
+    reps = marks.groupBy("digest").agg(F.min(row).alias("first"), F.min_by(F.struct("fp", *SKETCH, "keys", "size"), row).alias("m"), F.count(F.lit(1)).alias("n"))
+    reps = written(reps.select("digest", "first", "n", "m.*", F.monotonically_increasing_id().alias("rep")), "reps")
     by_print = written(reps.groupBy("fp").agg(F.min("rep").alias("rep")), "prints")
     same = reps.select("fp", F.col("rep").alias("b")).join(by_print.withColumnRenamed("rep", "a"), "fp").where("a <> b").select("a", "b")
     pairs = same.union(simhash.fingerprint_links(by_print)).union(ring_candidates(reps, bucket=bucket))
@@ -276,8 +276,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, block=block))
     parts = written(connected_components(links), "classes")
     best = parts.join(reps.select(F.col("rep").alias("node"), "first"), "node").groupBy("component").agg(F.min("first").alias("best"))
-    known = reps.join(parts.join(best, "component").select(F.col("node").alias("rep"), "best"), "rep", "left").select("digest", F.coalesce("best", "first").alias("best"))
-    out = marks.select("doc_id", "text_hash", "digest").join(known, "digest")
+    known = reps.join(parts.join(best, "component").select(F.col("node").alias("rep"), "best"), "rep", "left").select("digest", "n", F.coalesce("best", "first").alias("best"))
+    known, rows = written(known, "known"), marks.select("doc_id", "text_hash", "digest")
+    out = cold_values(hot_values(rows, known, "digest", "n", ["best"]), known, "digest", ["best"])
     return out.select("doc_id", "text_hash", F.col("best.doc_id").alias("component_id"), (F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("text_hash") == F.col("best.text_hash"))).alias("kept"))
 
 
