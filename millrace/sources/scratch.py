@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +32,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_MADE: list[list[str]] = []
+
+
+@contextmanager
+def working_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """The paths of the tables that are written meanwhile. At the end they are removed, but for those taken out of the list.
+
+    Operators return lazily, so their results have to be written or collected before the end.
+    """
+    _MADE.append([])
+    try:
+        yield _MADE[-1]
+    finally:
+        for path in _MADE.pop():
+            drop(spark, path)
+
+
 def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """df as a table in the shared folder, and its path: its lineage ends there, lost executors don't matter."""
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
+    if _MADE:
+        _MADE[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

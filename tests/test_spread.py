@@ -2,6 +2,7 @@
 
 import datetime
 import math
+import os
 import random
 from collections import Counter
 from statistics import median
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from millrace.operators import events, heavy, intervals, joins, ranking, scan, theta
 from millrace.operators.scan import Running
+from millrace.sources import scratch
 
 
 @pytest.fixture
@@ -202,6 +204,21 @@ def test_an_interval_over_everything_is_dealt_out(spark):
     assert intervals.overlaps(a.limit(0), b, ("s", "e"), ("f", "t")).collect() == []
 
 
+def test_working_tables_go(spark):
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(os.listdir(shared))
+    with scratch.working_tables(spark) as made:
+        kept, path = scratch.write(ranking.ranks(spark.range(100).selectExpr("id % 7 as x"), ["x"]), "ranked")
+        made.remove(path)
+        assert len(set(os.listdir(shared)) - before) == 2
+    assert len(set(os.listdir(shared)) - before) == 1 and kept.count() == 100
+    scratch.drop(spark, path)
+    with pytest.raises(RuntimeError), scratch.working_tables(spark):
+        scratch.written(spark.range(3), "some")
+        raise RuntimeError
+    assert set(os.listdir(shared)) == before
+
+
 @settings(deadline=None, max_examples=60)
 @given(st.lists(st.lists(st.integers(0, 30), max_size=60), min_size=1, max_size=6), st.integers(1, 8))
 def test_lowered_counters_lose_no_frequent_key(batches, size):
