@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.operators.hashing import row_hash
 from millrace.operators.joins import clock
 from millrace.sources.scratch import written
 
@@ -38,7 +39,7 @@ def _salted(rows: DataFrame, hot: DataFrame, keys: list[str], own: str, other: s
     """rows at their nodes and salts: one of their own, and all of the other side's."""
     rows = rows.join(F.broadcast(hot), keys, "left")
     n = lambda c: F.coalesce(c, F.lit(1))
-    mine = F.pmod(F.xxhash64("row"), n(F.col(own))).cast("int").alias(f"{own}_salt")
+    mine = F.pmod("tie", n(F.col(own))).cast("int").alias(f"{own}_salt")
     return rows.select(*keys, "row", "place", mine, F.explode(F.sequence(F.lit(0), (n(F.col(other)) - 1).cast("int"))).alias(f"{other}_salt"))
 
 
@@ -47,13 +48,13 @@ def _counts(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
 
 
 def keyed(spans: DataFrame, starts: DataFrame, by: list[str], rows_per_task: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """Both sides at their nodes: spans (by, first, last, row) and starts (by, at, row), and the columns they meet by."""
+    """Both sides at their nodes: spans (by, first, last, tie, row) and starts (by, at, tie, row), tie being a hash of the row, and the columns they meet by."""
     levels = [r.level for r in spans.select(_level(F.col("last") - F.col("first")).alias("level")).distinct().collect()]  # 64 at most
     keys, level = [*by, "level", "node"], F.col("level")
     nodes = spans.withColumn("level", _level(F.col("last") - F.col("first")))
-    nodes = nodes.select(*by, "level", F.explode(F.sequence(F.expr("shiftright(first, level)"), F.expr("shiftright(last, level)"))).alias("node"), "row", F.col("first").alias("place"))
-    at = starts.select(*by, F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>")).alias("level"), "at", "row")
-    at = at.select(*by, "level", F.expr("shiftright(at, level)").alias("node"), "row", F.col("at").alias("place"))
+    nodes = nodes.select(*by, "level", F.explode(F.sequence(F.expr("shiftright(first, level)"), F.expr("shiftright(last, level)"))).alias("node"), "tie", "row", F.col("first").alias("place"))
+    at = starts.select(*by, F.explode(F.array(*[F.lit(k) for k in sorted(levels)]).cast("array<int>")).alias("level"), "at", "tie", "row")
+    at = at.select(*by, "level", F.expr("shiftright(at, level)").alias("node"), "tie", "row", F.col("at").alias("place"))
     # starts are counted on the finest level, and those counts on the others
     least = min(levels, default=0)
     fine = written(starts.groupBy(*by, F.shiftright("at", least).alias("fine")).agg(F.count(F.lit(1)).alias("n")), "starts")
@@ -85,7 +86,7 @@ def overlaps(left: DataFrame, right: DataFrame, left_span: tuple[str, str], righ
         ok = d.where(F.col(span[0]) <= F.col(span[1]))
         for c in own:
             ok = ok.where(F.col(c).isNotNull())
-        return written(ok.select(*[F.col(c).alias(k) for k, c in zip(keys, own)], _place(d, span[0], unit).alias("first"), _place(d, span[1], unit).alias("last"), F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("row")), "spans")
+        return written(ok.select(*[F.col(c).alias(k) for k, c in zip(keys, own)], _place(d, span[0], unit).alias("first"), _place(d, span[1], unit).alias("last"), row_hash(d).alias("tie"), F.struct(*[F.col(f"`{c}`") for c in d.columns]).alias("row")), "spans")
 
     a, b = side(left, left_span, [x for x, _ in by]), side(right, right_span, [y for _, y in by])
     found = []

@@ -13,7 +13,7 @@ A running value is over a group of rows that agree in the first `within` columns
 * changes: how many distinct values the first `of` order columns had so far.
 
 Sums and extremes are of integers (64 bits) or doubles. Nulls and NaN are equal to themselves; nulls come first, or last in a descending column. Order
-columns may be of any type that has an order but arrays and structs. Rows equal in all columns are not told apart and stay in one partition. An empty table
+columns may be of any type that has an order but arrays and structs. Rows equal in all columns (maps left out) are not told apart and stay in one partition. An empty table
 gives no rows. Column names clash with nothing.
 """
 
@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StructField, StructType
 
+from millrace.operators.hashing import row_hash
 from millrace.sources.scratch import n_parts, written
 
 KINDS = ("count", "sum", "min", "max", "last", "before", "changes")
@@ -269,8 +270,8 @@ def scan(rows: DataFrame, order: list[str], ops: dict[str, Running], parts: int
     schema = _nullable(StructType(fields + outs + [StructField(f"h{m}", BooleanType()) for m in levels] + [StructField("starts", BooleanType()), StructField("sum", total)]))
     by = [F.col(f"c{k}").desc_nulls_last() if o.startswith("-") else F.col(f"c{k}").asc_nulls_first() for k, o in zip(keys, order)]
     run = _scanner(listed, keys, columns, to_arrow_schema(schema))
-    spread = rows.select(*made).repartitionByRange(parts or n_parts(spark), *by, F.xxhash64(*[f"c{k}" for k in range(len(names))]))
-    spread = spread.sortWithinPartitions(*by).select(F.spark_partition_id().alias("part"), "*")
+    spread = rows.select(*made, row_hash(rows).alias("tie")).repartitionByRange(parts or n_parts(spark), *by, "tie")
+    spread = spread.sortWithinPartitions(*by, "tie").drop("tie").select(F.spark_partition_id().alias("part"), "*")
     scanned = written(spread.mapInArrow(run, schema), "scanned")
     summaries = scanned.where("sum is not null").select("part", "sum").orderBy("part").collect()  # one for each partition
     carry = _inherited(summaries, listed, levels, len(order))

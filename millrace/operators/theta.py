@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from millrace.operators.hashing import row_hash
 from millrace.sources.scratch import written
 
 FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
@@ -43,8 +44,8 @@ def ordinal(column: pa.Array) -> np.ndarray:
 def _celled(side: DataFrame, columns: list[str], rows_per_cell: int, max_cells: int) -> DataFrame:
     known = side.where(" and ".join(f"`{c}` is not null" for c in dict.fromkeys(columns)))
     cells = max(1, min(max_cells, -(-known.count() // rows_per_cell)))
-    rows = known.select(F.struct(*[F.col(f"`{c}`") for c in side.columns]).alias("row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)])
-    rows = rows.repartitionByRange(cells, "k0", F.xxhash64("row"))
+    rows = known.select(F.struct(*[F.col(f"`{c}`") for c in side.columns]).alias("row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)], row_hash(side).alias("tie"))
+    rows = rows.repartitionByRange(cells, "k0", "tie").drop("tie")
     return written(rows.select(F.spark_partition_id().alias("cell"), "*"), "cells")
 
 

@@ -169,6 +169,17 @@ def test_ordinals_keep_the_order(values):
             assert (p < q) == (x < y if not any(nan) else nan == (False, True)) and (p == q) == (x == y or all(nan))
 
 
+def test_columns_that_have_no_hash(spark):
+    a = spark.createDataFrame([(k, k + 5, {"a": k}, [{"b": k}]) for k in range(20)], "s long, e long, m map<string,int>, n array<map<string,int>>")
+    b = a.toDF("f", "t", "p", "q")
+    met = intervals.overlaps(a, b, ("s", "e"), ("f", "t")).collect()
+    assert len(met) == sum(abs(x - y) <= 5 for x in range(20) for y in range(20)) and all(r.m == {"a": r.s} and r.q == [{"b": r.f}] for r in met)
+    assert len([r for r in theta.theta(a, b, [("s", "<", "f")], rows_per_cell=4).collect() if r.m == {"a": r.s}]) == 190
+    at = joins.as_of(a.withColumn("k", F.lit(1)), b.select(F.lit(1).alias("k"), "f", F.col("t").alias("v")), "k", "s", "f", "v").collect()
+    assert all(r.v == r.s + 5 and r.m == {"a": r.s} for r in at) and len(at) == 20
+    assert scan.scan(a.select("m"), [], {"n": Running("count")}).count() == 20
+
+
 @pytest.mark.parametrize("hot", [False, True])
 def test_overlaps_against_brute_force(spark, hot):
     r = random.Random(5)
@@ -193,8 +204,8 @@ def test_overlaps_against_brute_force(spark, hot):
 
 
 def test_an_interval_over_everything_is_dealt_out(spark):
-    spans = spark.range(1).select(F.lit(0).cast("long").alias("first"), F.lit(100_000).cast("long").alias("last"), F.struct("id").alias("row"))
-    starts = spark.range(20_000).select((F.col("id") * 5).alias("at"), F.struct("id").alias("row"))
+    spans = spark.range(1).select(F.lit(0).cast("long").alias("first"), F.lit(100_000).cast("long").alias("last"), F.col("id").alias("tie"), F.struct("id").alias("row"))
+    starts = spark.range(20_000).select((F.col("id") * 5).alias("at"), F.xxhash64("id").alias("tie"), F.struct("id").alias("row"))
     held, at, on = intervals.keyed(spans, starts, [], 500)
     assert at.groupBy(*on).count().agg(F.max("count")).first()[0] <= 1000
     assert held.count() == 40 and at.join(held.drop("row"), on).count() == 20_000
