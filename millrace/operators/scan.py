@@ -246,6 +246,8 @@ def scan(rows: DataFrame, order: list[str], ops: dict[str, Running], parts: int
     spark, names = rows.sparkSession, rows.columns
     if bad := [o.kind for o in ops.values() if o.kind not in KINDS]:
         raise ValueError(f"no running value {bad[0]}")
+    if not order:
+        raise ValueError("an order has a column at least")
     plain = [o.removeprefix("-") for o in order]
     kind_of = {f.name: f.dataType for f in rows.schema.fields}
     number = lambda t: LongType() if t.typeName() in ("byte", "short", "integer", "long") else DoubleType()
