@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from millrace.llm.shared import drop, write
 
 
+#: Edges of a task that writes a round: small rounds are few files
+ROWS = 10_000
+
+
 def _stars(edges: DataFrame, small: bool) -> DataFrame:
     both = edges if small else edges.union(edges.select("v", "u"))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -22,7 +26,7 @@ def _stars(edges: DataFrame, small: bool) -> DataFrame:
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of an edge; component is the smallest node reachable.
 
-    Each round is written to the shared folder (and the one before removed), and only two numbers of it come to the driver. Edges
+    Each round is written to the shared folder (and the one before removed), in as many files as its edges ask for, and only two numbers of it come to the driver. Edges
     with a null end and self-loops are left out. An empty table gives no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
@@ -34,5 +38,6 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         if state[0] == 0:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
         before, last = state, path
-        now, path = write(_stars(_stars(now, small=False), small=True), "edges")
+        stars = _stars(_stars(now, small=False), small=True)
+        now, path = write(stars.coalesce(-(-state[0] // ROWS)), "edges")
         drop(now.sparkSession, last)

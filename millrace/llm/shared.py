@@ -1,20 +1,21 @@
-"""Folders and tables that all executors can see, and small helpers of the operators."""
+"""Small helpers of the corpus operators; working tables and folders that all executors can see are those of the library."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.sources.scratch import drop, fresh_path, n_parts, shared_root, working_tables, write, written
+from millrace.sources.tables import table
+
+__all__ = ["drop", "fresh_path", "n_parts", "shared_root", "table", "working_tables", "write", "written"]
+
 #: The bytes that separate words, fixed by the word pattern [^\x20\x09-\x0D]+
 SPACES = " \t\n\x0b\x0c\r"
 _MEMORIES: dict[str, dict] = {}
@@ -44,69 +45,6 @@ def tidy(run):
     return tidied
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder: spark.checkpoint.dir, or the context's checkpoint folder.
-
-    Only where neither is set and the master is local, a temporary folder is made and set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        context = spark.sparkContext._jsc.sc()
-        if context.getCheckpointDir().isDefined():
-            root = context.getCheckpointDir().get()
-        elif context.master().startswith("local-cluster") or not context.master().startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        else:
-            root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_MADE: list[list[str]] = []
-
-
-@contextmanager
-def working_tables(spark: SparkSession) -> Iterator[list[str]]:
-    """The paths of the tables that are written meanwhile. At the end they are removed, but for those taken out of the list."""
-    _MADE.append([])
-    try:
-        yield _MADE[-1]
-    finally:
-        for path in _MADE.pop():
-            drop(spark, path)
-
-
-def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, and its path: its lineage ends there, lost executors don't matter."""
-    spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
-    if _MADE:
-        _MADE[-1].append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    return write(df, name)[0]
-
-
-def drop(spark: SparkSession, path: str) -> None:
-    """Remove a written table that nothing reads any more."""
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def n_parts(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def text_or_empty(col: str = "text"):
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
