@@ -11,11 +11,12 @@ tokens in all files before it (a prefix sum over the files' totals), so that bas
 place in the whole corpus. Files are named by task attempt and only those of attempts that
 succeeded are in the manifest, so a lost executor leaves nothing wrong.
 
-There is a file for each `bytes_per_file` bytes of text, so their number grows with the table. Files are memory-mapped where the folder is a mounted one,
+Texts are encoded where they are read, and only ids of 2 or 4 bytes go to the task of their range, whose bounds come from a sample of ids and text hashes: SAMPLED for
+each file, a million at most. There is a file for each `bytes_per_file` bytes of text, so their number grows with the table. Files are memory-mapped where the folder is a mounted one,
 else read in ranges through pyarrow's file systems.
 
 Defined cases: a null or empty text is only the end id; a long text is encoded some 4 MB at a time; null ids come first; repeated ids lie side by
-side, ordered by the hash of their text and then by the text, so that one id's rows are not one task's; an empty table gives an empty manifest. Ids
+side, ordered by the hash of their text and then by its tokens, so that one id's rows are not one task's; an empty table gives an empty manifest. Ids
 are whole numbers. Other columns are not read, whatever their names.
 """
 
@@ -26,41 +27,85 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.shared import fresh_path, n_parts, text_bytes, text_or_empty, tidy, written
+from millrace.llm.shared import fresh_path, n_parts, text_or_empty, tidy, written
 from millrace.llm.tokens import encoder
 
 NULL_ID = -(1 << 63)
+#: Pairs of id and text hash that a file's range is cut by
+SAMPLED = 100
 MANIFEST = "file string, first_id long, first_hash long, n_docs long, n_tokens long, width int"
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def bounds(ids: np.ndarray, hashes: np.ndarray, files: int) -> tuple[np.ndarray, np.ndarray]:
+    """(id, hash) pairs, ascending, that cut a sample of such pairs into as many ranges as there are files."""
+    order = np.lexsort([hashes, ids])
+    cut = order[(np.arange(1, files) * len(order)) // files] if len(order) else order
+    return ids[cut], hashes[cut]
+
+
+def range_of(ids: np.ndarray, hashes: np.ndarray, cuts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The number of each pair's range: how many of the cuts are no larger."""
+    first, last = (np.searchsorted(cuts[0], ids, side) for side in ("left", "right"))
+    out = first.copy()
+    for k in np.flatnonzero(first < last).tolist():  # ids that are a cut's, too
+        out[k] += np.searchsorted(cuts[1][first[k] : last[k]], hashes[k], "right")
+    return out
+
+
+def _encoded(tokenizer: str, end_id: int, cuts):
+    """Function of (doc_id, h, text): (range, doc_id, h, ids with the end id, as bytes)."""
+
     def run(batches):
-        enc, out, last, n, first = None, None, 0, 0, None
+        enc, at = encoder(tokenizer), cuts.value
+        kind = f"<u{enc.width}"
         for b in batches:
-            if not b.num_rows:
-                continue
-            if out is None:
-                enc = encoder(tokenizer)
-                name = f"{folder}/part-{uuid.uuid4().hex}"
-                fs, path = pyarrow.fs.FileSystem.from_uri(name)
-                fs.create_dir(path.rpartition("/")[0], recursive=True)
-                out = [fs.open_output_stream(f"{path}.{x}") for x in ("bin", "idx", "ids")]
-                out[1].write(np.zeros(1, "<u8").tobytes())
-                first = [pa.array([b.column(i)[0].as_py()], pa.int64()) for i in (0, 2)]
-            out[2].write(np.asarray(b.column(0).fill_null(NULL_ID)).astype("<i8").tobytes())
-            for _, ids, ends in enc.runs(b.column(1), end_id):
-                out[0].write(ids.astype(f"<u{enc.width}").tobytes())
-                out[1].write((last + ends).astype("<u8").tobytes())
-                last += len(ids)
-            n += b.num_rows
-        if out:
+            for start, ids, ends in enc.runs(b.column(2), end_id):
+                own = [b.column(k).slice(start, len(ends)) for k in (0, 1)]
+                part = range_of(*(np.asarray(c.fill_null(NULL_ID)) for c in own), at)
+                raw, edges = ids.astype(kind).tobytes(), np.concatenate([[0], ends * enc.width])
+                blobs = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(edges.astype(np.int64)), pa.py_buffer(raw)])
+                yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), *own, blobs.cast(pa.binary())], ["range", "doc_id", "h", "ids"])
+
+    return run
+
+
+def _writer(folder: str, width: int):
+    """Function of sorted (range, doc_id, h, ids): the files of each range, and a row of the manifest for it."""
+
+    def run(batches):
+        out, now, name, last, n, first = None, None, None, 0, 0, None
+
+        def ended():
             for x in out:
                 x.close()
-            yield pa.RecordBatch.from_pydict({"file": [name], "first_id": first[0], "first_hash": first[1], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([last], pa.int64()), "width": pa.array([enc.width], pa.int32())})
+            return pa.RecordBatch.from_pydict({"file": [name], "first_id": first[0], "first_hash": first[1], "n_docs": pa.array([n], pa.int64()), "n_tokens": pa.array([last], pa.int64()), "width": pa.array([width], pa.int32())})
+
+        for whole in batches:
+            part = whole.column(0).to_numpy()
+            for rows in np.split(np.arange(whole.num_rows), np.flatnonzero(np.diff(part)) + 1) if whole.num_rows else ():
+                b = whole.slice(int(rows[0]), len(rows))
+                if part[rows[0]] != now:
+                    if out:
+                        yield ended()
+                    now, last, n = part[rows[0]], 0, 0
+                    name = f"{folder}/part-{uuid.uuid4().hex}"
+                    fs, path = pyarrow.fs.FileSystem.from_uri(name)
+                    fs.create_dir(path.rpartition("/")[0], recursive=True)
+                    out = [fs.open_output_stream(f"{path}.{x}") for x in ("bin", "idx", "ids")]
+                    out[1].write(np.zeros(1, "<u8").tobytes())
+                    first = [pa.array([b.column(i)[0].as_py()], pa.int64()) for i in (1, 2)]
+                ends = last + np.cumsum(pc.binary_length(b.column(3)).to_numpy().astype(np.int64) // width)
+                out[0].write(b"".join(b.column(3).to_pylist()))
+                out[1].write(ends.astype("<u8").tobytes())
+                out[2].write(np.asarray(b.column(1).fill_null(NULL_ID)).astype("<i8").tobytes())
+                last, n = int(ends[-1]), n + b.num_rows
+        if out:
+            yield ended()
 
     return run
 
@@ -69,11 +114,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, *, end_id: int = 2, id_co
     """Write the files of docs in ascending id order; returns the manifest with each file's base."""
     spark = docs.sparkSession
     folder = folder or fresh_path(spark, "tokens")
-    files = files or max(n_parts(spark), -(-text_bytes(docs, text_col) // bytes_per_file))
     text = text_or_empty(text_col)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
-    rows = rows.repartitionByRange(files, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text", "h")
-    manifest = written(rows.mapInArrow(tidy(_writer(folder, tokenizer, end_id)), MANIFEST), "manifest")
+    keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    size, count = keys.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1))).first()
+    files = files or max(n_parts(spark), -(-size // bytes_per_file))
+    share = min(1.0, min(1_000_000, SAMPLED * files) / max(1, count))
+    some = keys.select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "h").sample(share, 1).toArrow()
+    cuts = spark.sparkContext.broadcast(bounds(*(some[c].to_numpy() for c in ("doc_id", "h")), files))
+    ids = keys.mapInArrow(tidy(_encoded(tokenizer, end_id, cuts)), "range int, doc_id long, h long, ids binary")
+    rows = ids.repartitionById(files, "range").sortWithinPartitions("range", "doc_id", "h", "ids")
+    manifest = written(rows.mapInArrow(tidy(_writer(folder, encoder(tokenizer).width)), MANIFEST), "manifest")
     before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash").rowsBetween(Window.unboundedPreceding, -1)
     return manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 

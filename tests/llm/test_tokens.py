@@ -92,6 +92,16 @@ def test_ids_that_are_null_or_repeat_are_many_tasks(spark):
     assert [r.doc_id for r in sorted(got, key=lambda r: r.start)] == [None] * 200 + [7] * 200
 
 
+@given(st.lists(st.tuples(st.integers(-3, 3), st.integers(-3, 3)), max_size=40), st.integers(1, 6))
+def test_ranges_are_those_of_pairs_in_order(pairs, files):
+    ids, hashes = np.array(pairs, np.int64).reshape(-1, 2).T
+    cuts = token_files.bounds(ids, hashes, files)
+    flat = list(zip(*(c.tolist() for c in cuts)))
+    assert flat == sorted(flat) and len(flat) == (files - 1 if pairs else 0)
+    got = token_files.range_of(ids, hashes, cuts).tolist()
+    assert got == [sum(c <= p for c in flat) for p in pairs]
+
+
 def test_ranged_reads(tmp_path):
     np.arange(10, dtype="<u2").tofile(tmp_path / "x")
     own = token_files._Ranged(token_files.pyarrow.fs.LocalFileSystem().open_input_file(str(tmp_path / "x")), "<u2")
