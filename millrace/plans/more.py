@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import python
-from millrace.operators import events, sketches
+from millrace.operators import events, ranking, sketches
 from millrace.sources.tables import table
 
 
@@ -157,17 +157,10 @@ def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drawdowns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The deepest fall below a day's highest value so far, of each user and day; some 100,000 rows of whole users go to one call."""
+    """The deepest fall below a day's highest value so far, of each user and day; a user with most of the events is spread over all tasks."""
     rows = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("date").alias("day"), "ts", "event_id", "value")
-    calls = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows.count() // 100_000)
-    rows = rows.withColumn("call", F.pmod(F.xxhash64("user_id"), F.lit(calls)))
-    return python.by_group(rows, ["call"], _drawdown, "user_id long, day date, fall double")
-
-
-def _drawdown(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values(["user_id", "day", "ts", "event_id"])
-    rows["fall"] = rows.groupby(["user_id", "day"])["value"].cummax() - rows["value"]
-    return rows.groupby(["user_id", "day"], as_index=False)["fall"].max().round({"fall": 4})
+    high = ranking.running(rows, ["user_id", "day"], ["ts", "event_id"], {"high": ("max", "value")})
+    return high.groupBy("user_id", "day").agg(F.round(F.max(F.col("high") - F.col("value")), 4).alias("fall"))
 
 
 def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
