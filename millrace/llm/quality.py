@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.shared import SPACES, text_or_empty
 
+WORD = r"[^\x20\x09-\x0D]+"
 SYMBOLS = "#*$%&|<>"
 #: Letters counted as upper case
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ"
@@ -45,27 +46,29 @@ def mask(policy: str) -> int:
 
 
 def _without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
+def _count(text: Column, chars: str) -> Column:
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, the measurements, and fail_bits."""
     text = text_or_empty(text_col)
     d = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-    flat = F.trim(F.translate("text", SPACES, " " * len(SPACES)))
     d = d.withColumns(
         {
-            "words": F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +")),
-            "lines": F.filter(F.split("text", "\n"), lambda x: _without(x, SPACES) != ""),
-            "n_chars": F.length("text"),
-            "word_chars": F.length(_without(F.col("text"), SPACES)).cast("long"),
+            "words": F.regexp_extract_all("text", F.lit(WORD), F.lit(0)),
+            "lines": F.filter(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != ""),
         }
     )
-    n = F.size("words")
+    n, text = F.size("words"), F.col("text")
     d = d.select(
-        "doc_id", "word_chars", n.cast("long").alias("n_words"),
-        (F.col("n_chars") - F.length(_without(F.col("text"), SYMBOLS))).cast("long").alias("n_symbols"),
-        (F.col("n_chars") - F.length(_without(F.col("text"), CAPITALS))).cast("long").alias("n_capitals"),
+        "doc_id", F.length(_without(text, SPACES)).cast("long").alias("word_chars"), n.cast("long").alias("n_words"),
+        _count(text, SYMBOLS).alias("n_symbols"), _count(text, CAPITALS).alias("n_capitals"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.transform(F.slice("words", 1, F.greatest(n - 2, F.lit(0))), lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))).alias("windows"),
