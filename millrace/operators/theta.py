@@ -1,19 +1,22 @@
 """Joins on inequalities alone, without an equality to join by.
 
-Spark plans such a join as a nested loop over both tables. Here each side is range-partitioned into cells of some `rows_per_cell` rows by the first
-condition's column (Spark samples the splitters, and a hash tells equal values apart, so that a value held by a third of the rows fills
+Spark plans such a join as a nested loop over both tables. Here rows beyond the other side's least or greatest value go first. What is left of each side is
+range-partitioned into cells of some `rows_per_cell` rows by the first condition's column (Spark samples the splitters, and a hash tells equal values apart, so that a value held by a third of the rows fills
 several even cells). The least and greatest value of every condition's columns in each cell come to the driver, two numbers for a
-cell and condition, and tell which pairs of cells can meet at all. Only those pairs are made: rows go to the pairs of their cell, a pair is one
-group of a task, and within it the right side is sorted once for each condition. A left row's partners under a
+cell and condition, and tell which pairs of cells can meet at all. Only those pairs are made, in blocks: both cells are cut by the hash into slices of some `rows_per_slice` rows, of
+which every two meet. A task gets blocks of some `per_task` pairs of rows in all, so its work is the same at any size of the tables; that of all tasks
+grows as the pairs do. Within a block the right side is sorted once for each condition. A left row's partners under a
 condition are then one run of that order; the condition with the fewest candidates is followed, the others are checked on them.
 
-A task holds one right cell and gives its pairs out in pieces. Rows with a null in a condition's column match nothing. NaN equals NaN and is above all numbers, as in Spark. Columns
+A task holds one right slice and gives its pairs out in pieces. Rows with a null in a condition's column match nothing. NaN equals NaN and is above all numbers, as in Spark. Columns
 of the two sides have different names; those of a condition are of one type: whole numbers, doubles, dates or times. Repeated rows each have their pairs;
 empty sides give none.
 """
 
 from __future__ import annotations
 
+import operator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,7 +26,10 @@ from pyspark.sql.types import StructField, StructType
 from millrace.operators.hashing import row_hash
 from millrace.sources.scratch import written
 
+OPS = {"<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
 FLIP = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+#: Tasks at most, a bound on the shuffle; beyond it they grow
+MAX_TASKS = 100_000
 TYPES = ("byte", "short", "integer", "long", "float", "double", "date", "timestamp", "timestamp_ntz")
 
 
@@ -41,24 +47,37 @@ def ordinal(column: pa.Array) -> np.ndarray:
     return column.cast(pa.int64()).to_numpy(zero_copy_only=False)
 
 
-def _celled(side: DataFrame, columns: list[str], rows_per_cell: int, max_cells: int) -> DataFrame:
-    known = side.where(" and ".join(f"`{c}` is not null" for c in dict.fromkeys(columns)))
+def _ends(rows: DataFrame, columns: list[str]) -> pa.Table:
+    """The least (a) and greatest (b) value of each column: for each cell if rows have cells, with their number."""
+    most = [f(f"`{c}`").alias(f"{name}{i}") for i, c in enumerate(columns) for f, name in ((F.min, "a"), (F.max, "b"))]
+    return (rows.groupBy("cell") if "cell" in rows.columns else rows).agg(F.count(F.lit(1)).alias("n"), *most).toArrow()
+
+
+def _reaching(side: DataFrame, columns: list[str], ops: list[str], ends: pa.Table) -> DataFrame:
+    """Rows that hold for the other side's most favourable values."""
+    far = side.sparkSession.createDataFrame(ends)
+    for i, (c, op) in enumerate(zip(columns, ops)):
+        side = side.where(OPS[op](F.col(f"`{c}`"), far.select(f"b{i}" if op in ("<", "<=") else f"a{i}").scalar()))
+    return side
+
+
+def _celled(known: DataFrame, columns: list[str], keep: list[str], rows_per_cell: int, max_cells: int) -> DataFrame:
     cells = max(1, min(max_cells, -(-known.count() // rows_per_cell)))
-    rows = known.select(F.struct(*[F.col(f"`{c}`") for c in side.columns]).alias("row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)], row_hash(side).alias("tie"))
-    rows = rows.repartitionByRange(cells, "k0", "tie").drop("tie")
+    rows = known.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)], row_hash(known).alias("tie"))
+    rows = rows.repartitionByRange(cells, "k0", "tie")
     return written(rows.select(F.spark_partition_id().alias("cell"), "*"), "cells")
 
 
-def _reach(celled: DataFrame, n: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray]]:
-    """Cells, and for each condition the least and greatest of each, as longs."""
-    ends = celled.groupBy("cell").agg(*[f(f"k{i}").alias(f"{name}{i}") for i in range(n) for f, name in ((F.min, "a"), (F.max, "b"))]).toArrow()
+def _reach(celled: DataFrame, n: int) -> tuple[list[int], list[np.ndarray], list[np.ndarray], np.ndarray]:
+    """Cells, for each condition the least and greatest of each, as longs, and their rows."""
+    ends = _ends(celled, [f"k{i}" for i in range(n)])
     get = lambda name: [ordinal(ends[f"{name}{i}"]) for i in range(n)]
-    return ends["cell"].to_pylist(), get("a"), get("b")
+    return ends["cell"].to_pylist(), get("a"), get("b"), ends["n"].to_numpy()
 
 
 def meeting(left: tuple, right: tuple, ops: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the cells that can meet, left and right."""
-    (cells, low, high), (others, from_, to) = left, right
+    (cells, low, high), (others, from_, to) = left[:3], right[:3]
     found = []
     for x in range(len(cells)):
         fits = np.ones(len(others), bool)
@@ -77,7 +96,7 @@ def _runs(sorted_keys: np.ndarray, own: np.ndarray, op: str) -> tuple[np.ndarray
 
 
 class _Cell:
-    """The right side of one pair of cells."""
+    """The right side of one block."""
 
     def __init__(self, batches: list[pa.RecordBatch], n: int, ops: list[str]):
         self.rows = pa.concat_arrays([b.column(3) for b in batches])
@@ -112,14 +131,14 @@ def _joiner(ops: list[str], chunk: int):
     def run(batches):
         now, held, cell = None, [], None
         for b in batches:
-            pair, side = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-            cuts = np.flatnonzero((np.diff(pair) != 0) | (np.diff(side) != 0)) + 1
+            block, side = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+            cuts = np.flatnonzero((np.diff(block) != 0) | (np.diff(side) != 0)) + 1
             for start, stop in zip([0, *cuts], [*cuts, b.num_rows]):
                 if stop == start:
                     continue
                 part = b.slice(start, stop - start)
-                if pair[start] != now:
-                    now, held, cell = pair[start], [], None
+                if block[start] != now:
+                    now, held, cell = block[start], [], None
                 if side[start] == 0:
                     held.append(part)
                 elif held:
@@ -129,11 +148,25 @@ def _joiner(ops: list[str], chunk: int):
     return run
 
 
-def theta(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], *, rows_per_cell: int = 20_000, max_cells: int = 4_096, chunk: int = 1 << 16) -> DataFrame:
-    """Pairs of rows for which all (left column, <, <=, > or >=, right column) hold.
+def _blocks(left: tuple, right: tuple, ops: list[str], rows_per_slice: int, per_task: int) -> tuple[pa.Table, int]:
+    """Pairs of cells that meet, with their slices, the number of their first block, and the tasks as a line: the first block's place and a block's length. The number of tasks."""
+    x, y = meeting(left, right, ops)
+    n, m = left[3][x], right[3][y]
+    slices = -(-n // rows_per_slice), -(-m // rows_per_slice)
+    blocks, work = slices[0] * slices[1], n.astype(float) * m
+    per_task = max(per_task, work.sum() / MAX_TASKS)
+    before = lambda v: np.cumsum(v) - v
+    cells = lambda side, at: pa.array(np.array(side[0], np.int32)[at] if len(at) else [], pa.int32())
+    table = {"left": cells(left, x), "right": cells(right, y), "left_slices": pa.array(slices[0], pa.int64()), "right_slices": pa.array(slices[1], pa.int64()), "first": pa.array(before(blocks), pa.int64())}
+    table |= {"place": pa.array(before(work) / per_task, pa.float64()), "length": pa.array(work / per_task / np.maximum(blocks, 1), pa.float64())}
+    return pa.table(table), int(work.sum() // per_task) + 1
+
+
+def theta(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], *, keep: list[str] | None = None, rows_per_cell: int = 20_000, max_cells: int = 4_096, rows_per_slice: int = 4_096, per_task: int = 1 << 26, chunk: int = 1 << 16) -> DataFrame:
+    """Pairs of rows for which all (left column, <, <=, > or >=, right column) hold; `keep` names the columns that are returned, else all are.
 
     The first condition's columns deal the cells, so it should be the one that leaves the fewest of them to meet. Beyond
-    rows_per_cell * max_cells rows cells grow.
+    rows_per_cell * max_cells rows cells grow, and have more slices.
     """
     if clash := set(left.columns) & set(right.columns):
         raise ValueError(f"both sides have {sorted(clash)}")
@@ -142,15 +175,24 @@ def theta(left: DataFrame, right: DataFrame, on: list[tuple[str, str, str]], *,
         if op not in FLIP or kinds[0] != kinds[1] or kinds[0].typeName() not in TYPES:
             raise TypeError(f"{a} {op} {b} is no comparison of two columns of one type")
     spark, ops = left.sparkSession, [op for _, op, _ in on]
-    a, b = _celled(left, [x for x, _, _ in on], rows_per_cell, max_cells), _celled(right, [y for _, _, y in on], rows_per_cell, max_cells)
-    ends = _reach(a, len(on)), _reach(b, len(on))
-    x, y = meeting(*ends, ops)
-    pairs = pa.table({"pair": pa.array(np.arange(len(x))), "left": pa.array(np.array(ends[0][0], np.int32)[x] if len(x) else [], pa.int32()), "right": pa.array(np.array(ends[1][0], np.int32)[y] if len(y) else [], pa.int32())})
-    pairs = spark.createDataFrame(pairs)
+    columns = [x for x, _, _ in on], [y for _, _, y in on]
+    known = [d.where(" and ".join(f"`{c}` is not null" for c in dict.fromkeys(own))) for d, own in zip((left, right), columns)]
+    far = [_ends(d, own) for d, own in zip(known, columns)]
+    known = _reaching(known[0], columns[0], ops, far[1]), _reaching(known[1], columns[1], [FLIP[op] for op in ops], far[0])
+    a, b = (_celled(d, own, [c for c in d.columns if keep is None or c in keep], rows_per_cell, max_cells) for d, own in zip(known, columns))
+    blocks, tasks = _blocks(_reach(a, len(on)), _reach(b, len(on)), ops, rows_per_slice, per_task)
+    pairs = spark.createDataFrame(blocks)
     keys = [f"k{i}" for i in range(len(on))]
     none = lambda d: F.lit(None).cast(d.schema["row"].dataType)
-    ours = a.join(pairs.select("pair", F.col("left").alias("cell")), "cell").select("pair", F.lit(1).alias("side"), F.col("row").alias("l"), none(b).alias("r"), *keys)
-    theirs = b.join(pairs.select("pair", F.col("right").alias("cell")), "cell").select("pair", F.lit(0).alias("side"), none(a).alias("l"), F.col("row").alias("r"), *keys)
-    met = theirs.union(ours).repartition("pair").sortWithinPartitions("pair", "side")
+
+    def dealt(d: DataFrame, own: str, other: str, place, row: list) -> DataFrame:
+        """Each row in the blocks of its slice; place tells a block's from its own slice and the other's."""
+        met = d.join(pairs.withColumnRenamed(own, "cell"), "cell").withColumn("mine", F.expr(f"pmod(tie, {own}_slices)"))
+        met = met.withColumn("theirs", F.explode(F.expr(f"sequence(0L, {other}_slices - 1)"))).withColumn("at", place)
+        return met.select(F.floor(F.col("place") + F.col("at") * F.col("length")).cast("int").alias("task"), (F.col("first") + F.col("at")).alias("block"), *row, *keys)
+
+    ours = dealt(a, "left", "right", F.expr("mine * right_slices + theirs"), [F.lit(1).alias("side"), F.col("row").alias("l"), none(b).alias("r")])
+    theirs = dealt(b, "right", "left", F.expr("theirs * right_slices + mine"), [F.lit(0).alias("side"), none(a).alias("l"), F.col("row").alias("r")])
+    met = theirs.union(ours).repartitionById(tasks, "task").drop("task").sortWithinPartitions("block", "side")
     schema = StructType([StructField("l", a.schema["row"].dataType), StructField("r", b.schema["row"].dataType)])
     return met.mapInArrow(_joiner(ops, chunk), schema).select("l.*", "r.*")

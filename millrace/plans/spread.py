@@ -38,14 +38,14 @@ def late_cheaper_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     early = o.select(F.col("o_orderkey").alias("early"), (F.col("o_orderdate") + F.expr("interval 2390 days")).alias("until"), F.col("o_totalprice").alias("price"))
     late = o.select(F.col("o_orderkey").alias("late"), F.col("o_orderdate").alias("day"), F.col("o_totalprice").alias("less"))
-    return theta.theta(early, late, [("until", "<=", "day"), ("price", ">", "less")]).select("early", "late")
+    return theta.theta(early, late, [("until", "<=", "day"), ("price", ">", "less")], keep=["early", "late"])
 
 
 def close_balances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers whose balances lie within 2 of each other: a band without any key."""
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") - 2).alias("low"), (F.col("s_acctbal") + 2).alias("high"))
-    return theta.theta(c, s, [("c_acctbal", ">=", "low"), ("c_acctbal", "<=", "high")]).select("c_custkey", "s_suppkey")
+    return theta.theta(c, s, [("c_acctbal", ">=", "low"), ("c_acctbal", "<=", "high")], keep=["c_custkey", "s_suppkey"])
 
 
 def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -146,6 +146,18 @@ def test_theta_against_brute_force(spark, small_batches, tables, on):
     assert max(sizes) <= 75  # a value of a third of the rows is several cells
 
 
+def test_one_pair_of_cells_is_several_tasks(spark):
+    # two rows that keep all others: within the ends of the other side
+    a = spark.range(12_000).select("id", F.lit(0).alias("a"), F.expr("if(id = 0, 20000, cast(id * 7919 % 12000 as int))").alias("b"))
+    b = spark.range(12_000).select(F.col("id").alias("j"), F.lit(1).alias("c"), F.expr("if(id = 0, -1, cast(11900 + id % 100 as int))").alias("d"))
+    want = sum(120 * min(100, x - 11_900) for x in range(11_900, 12_000)) - sum(x > 11_900 for x in range(12_000)) + 12_000 + 11_999
+    n = [r["count"] for r in theta.theta(a, b, [("a", "<", "c"), ("b", ">", "d")]).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(n) == want and len(n) > 1 and max(n) < 0.7 * want
+    few = theta.theta(a.where("id < 900"), b.where("j < 700"), [("a", "<", "c")], keep=["id", "j"], rows_per_slice=100, per_task=30_000)
+    n = [r["count"] for r in few.groupBy(F.spark_partition_id()).count().collect()]
+    assert few.columns == ["id", "j"] and sum(n) == 900 * 700 and len(n) > 15 and max(n) <= 60_000 and few.distinct().count() == 900 * 700
+
+
 def test_theta_of_other_types_and_empty_sides(spark):
     day = lambda k: datetime.date(2024, 1, 1 + k)
     a, b = spark.createDataFrame([(day(k), k) for k in range(9)], "a date, i long"), spark.createDataFrame([(day(k), k) for k in range(5)], "b date, j long")
