@@ -68,7 +68,8 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+    """Rows are short beside the texts of a part, so they are sent to few tasks: files of Spark's advisory size rather than one for each part."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("spans").hint("rebalance", "doc_id")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

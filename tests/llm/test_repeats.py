@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from millrace.llm import repeats
+from millrace.llm import queries, repeats
 
 
 def plain(rows, length=50):
@@ -138,3 +138,8 @@ def test_maximal_repeats_list_all_occurrences(spark):
         for d, s, n, _ in occurrences:
             covered[d] |= set(range(s, s + n))
     assert {d: len(c) for d, c in covered.items()} == {1: 60, 2: 60, 3: 60, 4: 0}
+
+
+def test_rows_of_many_parts_are_few_files(spark, small_tasks, tmp_path):
+    queries.op8_repeated_passages(spark, "/root/testdata/sf0.01").write.parquet(f"file://{tmp_path}/out")
+    assert len(list(tmp_path.glob("out/*.parquet"))) <= 3 and spark.read.parquet(f"file://{tmp_path}/out").count() == 1000
