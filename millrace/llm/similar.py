@@ -147,7 +147,7 @@ def ring_candidates(reps: DataFrame, *, bucket: int = 1024) -> DataFrame:
         last = large.isEmpty()
         small = rows if last else rows.join(large, ["segment", "key"], "left_anti")
         groups = small.groupBy("segment", "key").agg(F.array_sort(F.collect_list(F.struct("rep", *SKETCH))).alias("members")).where(F.size("members") > 1)
-        found = written(groups.select("members").mapInArrow(tidy(_forests), "a long, b long"), "pairs")
+        found = written(groups.select("members").mapInArrow(tidy(_forests), "a long, b long"), "pairs", "a")
         pairs = found if pairs is None else pairs.union(found)
         if last:
             return pairs
@@ -229,10 +229,10 @@ def key_links(reps: DataFrame, parts: DataFrame, sets_of, *, similarity: float =
     open_keys = known.groupBy("segment", "key").agg(F.ceil(F.sum("size") / block).cast("int").alias("blocks"), F.min("component").alias("x"), F.max("component").alias("y"))
     open_keys = open_keys.where("x < y").select("segment", "key", "blocks")
     rows = known.join(open_keys, ["segment", "key"]).withColumn("block", F.pmod(F.xxhash64("rep", "segment"), "blocks").cast("int"))
-    rows = written(rows.select("rep", "size", "component", "segment", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")), "open-rows")
+    rows = written(rows.select("rep", "size", "component", "segment", "key", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")), "open-rows", "rep")
     sets = sets_of(rows.select("rep").distinct())
     meet = rows.select("*", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).drop("other")
-    return written(meet.join(sets, "rep").groupBy("segment", "key", "i", "j").applyInArrow(_joins(similarity), "a long, b long"), "key-links")
+    return written(meet.join(sets, "rep").groupBy("segment", "key", "i", "j").applyInArrow(_joins(similarity), "a long, b long"), "key-links", "a")
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame, end: str, name: str, most: int = 4096) -> DataFrame:
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     schema = texts.drop("text").schema
     for name, kind in (("digest", "binary"), ("fp", "long"), *((x, "long") for x in SKETCH), ("keys", ArrayType(LongType())), ("size", "long")):
         schema = schema.add(name, kind)
-    marks = written(texts.mapInArrow(tidy(_sketches(n)), schema), "sketches")
+    marks = written(texts.mapInArrow(tidy(_sketches(n)), schema), "sketches", "digest")
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     reps = marks.groupBy("digest").agg(F.min(row).alias("first"), F.min_by(F.struct("fp", *SKETCH, "keys", "size"), row).alias("m"), F.count(F.lit(1)).alias("n"))
     reps = written(reps.select("digest", "first", "n", "m.*", F.monotonically_increasing_id().alias("rep")), "reps")
@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
         """The shingle sets of the reps in the one column of ends."""
         rows = reps.join(ends.toDF("rep"), "rep", "left_semi").select("rep", F.col("first.doc_id").alias("i"), F.col("first.text_hash").alias("h"))
         whole = texts.join(rows, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("h"))).select("rep", "text")
-        sets = written(whole.mapInArrow(tidy(_sets(n)), "rep long, shingles array<long>"), "shingles")
+        sets = written(whole.mapInArrow(tidy(_sets(n)), "rep long, shingles array<long>"), "shingles", "rep")
         if sets.groupBy("rep").count().where("count > 1").isEmpty():
             return sets
         return written(sets.dropDuplicates(["rep"]), "shingles")  # rows that repeat both id and text
@@ -271,7 +271,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     both = F.size(F.array_intersect("x", "y"))
     links = _with_sets(_with_sets(pairs, sets, "a", "x"), sets, "b", "y")
     links = links.select("a", "b", (both / (F.size("x") + F.size("y") - both)).alias("similarity"))
-    links = written(links.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links")
+    links = written(links.where(F.col("similarity") >= similarity - 1e-12).select("a", "b"), "links", "a")
 
     links = links.union(key_links(reps, connected_components(links), sets_of, similarity=similarity, block=block))
     parts = written(connected_components(links), "classes")

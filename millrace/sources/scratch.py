@@ -49,8 +49,12 @@ def working_tables(spark: SparkSession) -> Iterator[list[str]]:
             drop(spark, path)
 
 
-def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """df as a table in the shared folder, and its path: its lineage ends there, lost executors don't matter."""
+def write(df: DataFrame, name: str, by: str | None = None) -> tuple[DataFrame, str]:
+    """df as a table in the shared folder, and its path: its lineage ends there, lost executors don't matter.
+
+    Where rows are few or short beside what makes them, `by` names a column by which they are sent to files of Spark's advisory size, rather than one for each task.
+    """
+    df = df.hint("rebalance", by) if by else df
     spark, path = df.sparkSession, fresh_path(df.sparkSession, name)
     if _MADE:
         _MADE[-1].append(path)
@@ -58,8 +62,8 @@ def write(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    return write(df, name)[0]
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    return write(df, name, by)[0]
 
 
 def drop(spark: SparkSession, path: str) -> None:

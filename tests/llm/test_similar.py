@@ -1,9 +1,11 @@
 import random
 import re
+from pathlib import Path
 
 import pytest
 
 from millrace.llm import similar
+from millrace.sources import scratch
 
 DOCS = "doc_id long, text string, rep string, fp long, digest int"
 
@@ -121,3 +123,15 @@ def test_pairs_within_a_large_key(spark):
     rows = family(400, 0.7, 60, 0.82)
     want = {i: i if i < 280 else i - i % 2 for i, _ in rows}
     assert dict(found(spark, rows, bucket=64, block=20_000)) == want
+
+
+def test_short_working_tables_are_few_files(spark, small_tasks, tmp_path):
+    base = [" ".join(f"w{random.Random(i).random()}x{k}" for k in range(300)) for i in range(150)]
+    docs = spark.createDataFrame([(2 * i + j, t + f" end{j}", "x", 1, 2) for i, t in enumerate(base) for j in (0, 1)], DOCS).repartition(12)
+    with scratch.working_tables(spark) as made:
+        assert similar.near_duplicates(docs).where("kept").count() == 150
+        files = {}
+        for path in made:
+            name = path.rsplit("/", 1)[1].rsplit("-", 1)[0]
+            files[name] = max(files.get(name, 0), len(list(Path(path.removeprefix("file://")).glob("*.parquet"))))
+    assert all(files[x] <= 2 for x in ("sketches", "links", "key-links", "open-rows")), files
